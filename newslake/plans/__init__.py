@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_health"]
+MODULES = ["q_health", "q_dedup"]
 
 
 def load_all() -> None:
