@@ -291,52 +291,70 @@ def _meets(side: Column) -> Column:
     return F.when(side == 0, 0).when(side == 1, 2).otherwise(1)
 
 
-def greedy_keep_first(items: DataFrame, families: list[Family], on_round: Callable[[int, int], None] | None = None) -> DataFrame:
-    """Sequential keep-first as rounds over keys: an item is dropped if an earlier kept item conflicts with it.
-
-    In a round, items that are first in all their keys are kept (nothing undecided
-    and earlier can conflict with them), and the undecided items that share a key with a newly
-    kept one and really conflict are dropped.  A key brings at most its first
-    item into a round, so a cluster of near copies costs linear work.  The undecided
-    rows are written to the checkpoint folder every round.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _conflicts(left: DataFrame, f: Family, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(conflict edges from the first ``depth`` rows of each key, ids that have earlier rows beyond them)."""
+    rows = f.rows(left)
+    heads = ordered.first_n(rows, ["k", "side"], ["arrival_idx"], depth)
+    heads = heads.select(F.col("k").alias("_k"), _meets(F.col("side")).alias("_side"), F.col("id").alias("e"),
+                         F.col("arrival_idx").alias("_idx"), *[F.col(c).alias(f"e_{c}") for c in f.carry])
+    later = rows.select("id", "arrival_idx", "side", "k", *[F.col(c).alias(f"l_{c}") for c in f.carry])
+    met = (F.col("k") == F.col("_k")) & (F.col("side") == F.col("_side"))
+    edges = later.join(heads, met & (F.col("_idx") < F.col("arrival_idx")) & f.conflict).select("e", F.col("id").alias("l"))
+    full = heads.groupBy("_k", "_side").agg(F.count("*").alias("_n"), F.max("_idx").alias("_last")).filter(F.col("_n") >= depth)
+    beyond = rows.select("id", "arrival_idx", "side", "k").join(full, met & (F.col("_last") < F.col("arrival_idx")), "left_semi")
+    return edges, beyond.select(F.col("id").alias("l"))
+
+
+def greedy_keep_first(items: DataFrame, families: list[Family], depth: int = 256,
+                      on_round: Callable[[int, int], None] | None = None) -> DataFrame:
+    """Sequential keep-first: an item is dropped if an earlier kept item conflicts with it.
+
+    A round looks at conflicts with the first ``depth`` undecided rows of each key, so a
+    key costs linear work.  On a large input the first round uses depth 1: there the first of a
+    cluster of near copies removes the whole cluster at once.  Items with earlier
+    rows beyond the depth wait for a later round; no conflict is left out.  Conflict edges and
+    undecided rows are written to the checkpoint folder.
     """
-    left = cut(items)
-    kept_parts: list[DataFrame] = []
-    round_no = 0
+    left, kept_parts, round_no = cut(items), [], 0
     while True:
         n = left.count()
         if on_round:
             on_round(round_no, n)
         if n == 0:
             break
-        blocked = None
-        for f in families:
-            rows = f.rows(left)
-            firsts = rows.groupBy("k", "side").agg(F.min("arrival_idx").alias("_first"))
-            firsts = firsts.select(F.col("k").alias("_k"), _meets(F.col("side")).alias("_side"), "_first")
-            late = rows.join(firsts, (F.col("k") == F.col("_k")) & (F.col("side") == F.col("_side"))
-                             & (F.col("_first") < F.col("arrival_idx")), "left_semi").select("id")
-            blocked = late if blocked is None else blocked.unionByName(late)
-        kept = cut(left.join(blocked.distinct(), "id", "left_anti"))
-        kept_parts.append(kept.select("id"))
-        rest = left.join(kept.select("id"), "id", "left_anti")
-        dropped = None
-        for f in families:
-            later = f.rows(rest).select("id", "arrival_idx", "side", "k", *[F.col(c).alias(f"l_{c}") for c in f.carry])
-            earlier = f.rows(kept).select(
-                F.col("k").alias("_k"), _meets(F.col("side")).alias("_side"), F.col("arrival_idx").alias("_idx"),
-                *[F.col(c).alias(f"e_{c}") for c in f.carry])
-            hit = later.join(earlier, (F.col("k") == F.col("_k")) & (F.col("side") == F.col("_side"))
-                             & (F.col("_idx") < F.col("arrival_idx")) & f.conflict, "left_semi").select("id")
-            dropped = hit if dropped is None else dropped.unionByName(hit)
-        left = cut(rest.join(dropped.distinct(), "id", "left_anti"))
+        reach = 1 if round_no == 0 and n > 2000 else depth
+        found = [_conflicts(left, f, reach) for f in families]
+        edges = cut(_union([e for e, _ in found]).distinct())
+        waiting = cut(_union([w for _, w in found]).distinct())
+        dropped = []
+        # a row that waits, or that still has an undecided earlier conflict, cannot be decided as kept
+        while True:
+            held = edges.select(F.col("l").alias("e")).unionByName(waiting.select(F.col("l").alias("e")))
+            sources = edges.select("e").distinct().join(held, "e", "left_anti")
+            gone = cut(edges.join(sources, "e", "left_semi").select("l").distinct())
+            if gone.count() == 0:
+                break
+            dropped.append(gone)
+            # every conflict of a dropped row vanishes, on either side
+            edges = cut(edges.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("e")), "e", "left_anti"))
+            waiting = waiting.join(gone, "l", "left_anti")
+        out = _union(dropped).select(F.col("l").alias("id")) if dropped else None
+        rest = left.join(out, "id", "left_anti") if out is not None else left
+        pending = edges.select(F.col("l").alias("id")).unionByName(waiting.select(F.col("l").alias("id"))).distinct()
+        kept = cut(rest.join(pending, "id", "left_anti").select("id"))
+        kept_parts.append(kept)
+        left = cut(rest.join(pending, "id", "left_semi"))
         round_no += 1
     if not kept_parts:
         return items
-    kept_ids = kept_parts[0]
-    for part in kept_parts[1:]:
-        kept_ids = kept_ids.unionByName(part)
-    return items.join(kept_ids, "id", "left_semi")
+    return items.join(_union(kept_parts), "id", "left_semi")
 
 
 def near_duplicate_resolution(items: DataFrame, as_of: Column, threshold: float = 0.85, radius: int = RADIUS) -> DataFrame:
