@@ -124,5 +124,14 @@ def lookup(c: ColumnOrName, table: dict[str, str], default: Column | None = None
     return out.otherwise(default if default is not None else F.lit(None).cast("string"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times.
+
+    Repeating a Column repeats its whole expression tree; binding it to a lambda
+    variable keeps plans small and evaluates the value a single time.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newslake.functions import lexicon as lx
-from newslake.functions.base import ColumnOrName, col, strip, text
+from newslake.functions.base import ColumnOrName, col, let, lookup, strip, text
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
 _RFC = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(?::\d{2})?)\s*([A-Za-z]{1,4}|[+-]\d{4})?$"
@@ -32,28 +32,29 @@ def parse_datetime(value: ColumnOrName, zone: str = "UTC") -> Column:
     Text without an offset is taken in the project ``zone``.  The session time
     zone must be UTC (``newslake.session`` sets it).
     """
-    raw = strip(text(value))
-    iso = F.regexp_replace(F.regexp_replace(raw, ",", "."), r"\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
-    iso = F.when(raw.rlike(_ISO), F.when(F.length(raw) <= 10, raw).otherwise(iso))
-    iso_ts = iso.try_cast("timestamp")
-    iso_ts = F.when(raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(raw) > 10), iso_ts).otherwise(to_utc(iso_ts, zone))
-
-    stamp = F.regexp_extract(raw, _RFC, 1)
-    stamp = F.when(F.length(stamp) == 0, F.lit(None)).when(
-        stamp.rlike(r"\d{2}:\d{2}:\d{2}$"), stamp
-    ).otherwise(F.concat(stamp, F.lit(":00")))
-    offset = F.upper(F.regexp_extract(raw, _RFC, 2))
-    for name, value_ in _RFC_ZONES.items():
-        offset = F.when(offset == name, F.lit(value_)).otherwise(offset)
-    rfc_local = F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss"))
-    rfc_zoned = F.try_to_timestamp(F.concat_ws(" ", stamp, offset), F.lit("d MMM yyyy HH:mm:ss Z"))
-    rfc = F.when(offset.rlike(r"^[+-]\d{4}$") & (offset != "-0000"), rfc_zoned).otherwise(to_utc(rfc_local, zone))
+    return let(strip(text(value)), lambda raw: _parse(raw, zone))
 
+
+def _parse(raw: Column, zone: str) -> Column:
+    has_offset = raw.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(raw) > 10)
+    spelled = F.regexp_replace(F.replace(raw, F.lit(","), F.lit(".")), r"\s*([+-]\d{2}):?(\d{2})$", "$1:$2")
+    spelled = F.when(raw.rlike(_ISO), F.when(F.length(raw) <= 10, raw).otherwise(spelled))
+    iso = let(spelled.try_cast("timestamp"), lambda ts: F.when(has_offset, ts).otherwise(to_utc(ts, zone)))
+
+    def mail(parts: Column) -> Column:
+        offset = lookup(F.upper(parts["zone"]), _RFC_ZONES, parts["zone"])
+        zoned = F.try_to_timestamp(F.concat_ws(" ", parts["stamp"], offset), F.lit("d MMM yyyy HH:mm:ss Z"))
+        local = F.try_to_timestamp(parts["stamp"], F.lit("d MMM yyyy HH:mm:ss"))
+        known = let(offset, lambda o: o.rlike(r"^[+-]\d{4}$") & (o != "-0000"))
+        return F.when(parts["stamp"] == "", F.lit(None)).when(known, zoned).otherwise(to_utc(local, zone))
+
+    stamp = F.regexp_replace(F.regexp_extract(raw, _RFC, 1), r"( \d{2}:\d{2})$", "$1:00")
+    mailed = let(F.struct(stamp.alias("stamp"), F.regexp_extract(raw, _RFC, 2).alias("zone")), mail)
     dotted = F.coalesce(
         F.try_to_timestamp(F.when(raw.rlike(r"^\d{2}\.\d{2}\.\d{4} \d{2}:\d{2}$"), raw), F.lit("dd.MM.yyyy HH:mm")),
         F.try_to_timestamp(F.when(raw.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), raw), F.lit("dd.MM.yyyy")),
     )
-    return F.coalesce(iso_ts, rfc, to_utc(dotted, zone))
+    return F.coalesce(iso, mailed, to_utc(dotted, zone))
 
 
 def date_text(ts: ColumnOrName, zone: str = "UTC") -> Column:
@@ -73,12 +74,12 @@ def confidence_rank(c: ColumnOrName) -> Column:
 
 def feed_date(published: ColumnOrName, updated: ColumnOrName, zone: str = "UTC") -> Column:
     """Feed dates with the confidence they deserve: published high, updated medium."""
-    p, u = parse_datetime(published, zone), parse_datetime(updated, zone)
-    return F.struct(
-        F.coalesce(p, u).alias("published_at"),
-        F.when(p.isNotNull(), "high").when(u.isNotNull(), "medium").otherwise("none").alias("confidence"),
-        F.when(p.isNotNull(), "rss:published").when(u.isNotNull(), "rss:updated").alias("label"),
-    )
+    both = F.struct(parse_datetime(published, zone).alias("p"), parse_datetime(updated, zone).alias("u"))
+    return let(both, lambda d: F.struct(
+        F.coalesce(d["p"], d["u"]).alias("published_at"),
+        F.when(d["p"].isNotNull(), "high").when(d["u"].isNotNull(), "medium").otherwise("none").alias("confidence"),
+        F.when(d["p"].isNotNull(), "rss:published").when(d["u"].isNotNull(), "rss:updated").alias("label"),
+    ))
 
 
 def merge_page_date(feed: Column, page: Column) -> Column:
@@ -87,19 +88,20 @@ def merge_page_date(feed: Column, page: Column) -> Column:
     Both arguments are structs with ``published_at, published_date,
     published_time, confidence, label``.
     """
-    weak = feed["published_at"].isNull() | F.coalesce(feed["confidence"], F.lit("none")).isin("none", "low")
-    better = confidence_rank(page["confidence"]) >= confidence_rank(F.coalesce(feed["confidence"], F.lit("none")))
-    take = weak & better & page["confidence"].isNotNull()
+    return let(F.struct(feed.alias("feed"), page.alias("page")), lambda d: _merge(d["feed"], d["page"]))
+
+
+def _merge(feed: Column, page: Column) -> Column:
+    held = F.coalesce(feed["confidence"], F.lit("none"))
+    weak = feed["published_at"].isNull() | held.isin("none", "low")
+    take = weak & page["confidence"].isNotNull() & (confidence_rank(page["confidence"]) >= confidence_rank(held))
 
     def pick(name: str) -> Column:
-        return F.when(take, F.coalesce(page[name], feed[name])).otherwise(feed[name])
+        return F.when(take, F.coalesce(page[name], feed[name])).otherwise(feed[name]).alias(name)
 
     return F.struct(
-        pick("published_at").alias("published_at"),
-        pick("published_date").alias("published_date"),
-        pick("published_time").alias("published_time"),
-        F.when(take, page["confidence"]).otherwise(F.coalesce(feed["confidence"], F.lit("none"))).alias("confidence"),
-        pick("label").alias("label"),
+        pick("published_at"), pick("published_date"), pick("published_time"),
+        F.when(take, page["confidence"]).otherwise(held).alias("confidence"), pick("label"),
     )
 
 

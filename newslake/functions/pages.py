@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newslake.functions import lexicon as lx
 from newslake.functions.base import (
-    ColumnOrName, any_of, col, contains_any, hits, lines, prefix, squeeze, strip, strings, text, words,
+    ColumnOrName, any_of, col, contains_any, hits, let, lines, prefix, squeeze, strip, strings, text, words,
 )
 from newslake.functions.dates import date_text, parse_datetime, time_text
 from newslake.functions.urls import url_date
@@ -46,11 +46,14 @@ def _numeric_entities(c: Column) -> Column:
 
 def unescape(c: ColumnOrName) -> Column:
     """Character entities to characters: numeric ones and a fixed set of names."""
-    out = _numeric_entities(col(c))
+    return let(col(c), lambda raw: F.when(F.contains(raw, F.lit("&")), _unescaped(raw)).otherwise(raw))
+
+
+def _unescaped(raw: Column) -> Column:
+    out = _numeric_entities(raw)
     for name, char in lx.NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(col(c), F.lit("&")), out).otherwise(col(c))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
 def page_text(html: ColumnOrName) -> Column:
@@ -102,21 +105,21 @@ def article_body(html: ColumnOrName, limit: int | None = None, nav: list[str] |
     block = (
         r'(?is)<(?:article|main|div[^>]*class="[^"]*(?:article|main|content|body)[^"]*")[^>]*>(.*?)</(?:article|main|div)>'
     )
-    main = F.regexp_extract(body, block, 1)
-    body = unescape(F.regexp_replace(F.when(body.rlike(block), main).otherwise(body), _TAG, "\n"))
+    body = let(body, lambda b: F.when(b.rlike(block), F.regexp_extract(b, block, 1)).otherwise(b))
+    body = unescape(F.regexp_replace(body, _TAG, "\n"))
 
     def keep(line: Column) -> Column:
         low = F.lower(line)
         w = words(line)
         capitals = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Lu}")))
         head = F.array_join(F.slice(words(low), 1, 4), " ")
-        repeated = (F.size(w) >= 4) & (F.locate(head, F.substring(low, F.length(head) + 1, F.length(low))) > 0)
+        repeated = (F.size(w) >= 4) & F.contains(F.substring(low, F.length(head) + 1, F.length(low)), head)
         listing = (F.size(w) > 5) & (capitals > F.size(w) * 0.7)
         bait = (F.length(line) < 150) & (hits(low, lx.CLICKBAIT_MARKS) >= 2)
         return (F.length(line) >= 40) & ~listing & ~contains_any(low, nav or lx.ARTICLE_NAV_PHRASES) & ~repeated & ~bait
 
     kept = F.array_join(F.slice(F.filter(lines(body), keep), 1, 3), "\n")
-    kept = F.when(F.length(kept) >= 50, kept)
+    kept = let(kept, lambda k: F.when(F.length(k) >= 50, k))
     return kept if limit is None else prefix(kept, limit)
 
 
@@ -184,14 +187,14 @@ def published_info(html: ColumnOrName, url: ColumnOrName, zone: str = "UTC") ->
     page = text(html)
 
     def found(ts: Column, confidence: str, label: str) -> Column:
-        return F.when(
-            ts.isNotNull(),
+        return let(ts, lambda at: F.when(
+            at.isNotNull(),
             F.struct(
-                ts.alias("published_at"), date_text(ts, zone).alias("published_date"),
-                time_text(ts, zone).alias("published_time"), F.lit(confidence).alias("confidence"),
+                at.alias("published_at"), date_text(at, zone).alias("published_date"),
+                time_text(at, zone).alias("published_time"), F.lit(confidence).alias("confidence"),
                 F.lit(label).alias("label"),
             ),
-        )
+        ))
 
     steps = []
     for attr, value, label, confidence in lx.META_DATE_TAGS:

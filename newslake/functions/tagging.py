@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newslake.functions import lexicon as lx
 from newslake.functions.base import (
-    ColumnOrName, blank_to_null, col, contains_any, keep_first, lookup, squeeze, strip, strings, text,
+    ColumnOrName, blank_to_null, col, contains_any, keep_first, let, lookup, squeeze, strip, strings, text,
 )
 from newslake.functions.urls import category_by_url
 
@@ -121,23 +121,30 @@ def _first_tag(content: Column, aliases: dict[str, list[str]]) -> Column:
 def geo_tags(title: ColumnOrName, body: ColumnOrName, language: ColumnOrName | None = None,
              tax: Taxonomy = DEFAULT) -> Column:
     """Struct g0..g3: world or country, district, region, city."""
-    content = F.lower(_title_text(title, body))
     lang = F.lower(F.coalesce(col(language), F.lit("ru"))) if language is not None else F.lit("ru")
-    region, city = _first_tag(content, tax.region_aliases), _first_tag(content, tax.city_aliases)
-    is_world = contains_any(content, tax.world_markers)
-    is_russia = contains_any(content, tax.russia_markers) | region.isNotNull() | city.isNotNull()
-    home = (
-        F.when(is_world & ~is_russia, F.lit(False)).when(is_russia & ~is_world, F.lit(True)).otherwise(lang == "ru")
-    )
-    g2 = F.coalesce(region, F.when(city == tax.capital_tag, city).otherwise(lookup(city, tax.city_regions)))
-    g3 = F.coalesce(city, F.when(g2 == tax.capital_tag, g2), lookup(g2, tax.region_capitals))
-    placed = home & (region.isNotNull() | city.isNotNull())
-    return F.struct(
-        F.when(home, lx.RUSSIA).otherwise(lx.WORLD).alias("g0"),
-        F.when(placed, lx.CENTRAL_DISTRICT).alias("g1"),
-        F.when(placed, g2).alias("g2"),
-        F.when(placed, g3).alias("g3"),
-    )
+
+    def found(content: Column) -> Column:
+        return F.struct(
+            _first_tag(content, tax.region_aliases).alias("region"), _first_tag(content, tax.city_aliases).alias("city"),
+            contains_any(content, tax.world_markers).alias("world"), contains_any(content, tax.russia_markers).alias("russia"),
+            lang.alias("lang"),
+        )
+
+    def placed(f: Column) -> Column:
+        local = f["region"].isNotNull() | f["city"].isNotNull()
+        russia = f["russia"] | local
+        home = F.when(f["world"] & ~russia, F.lit(False)).when(russia & ~f["world"], F.lit(True)).otherwise(f["lang"] == "ru")
+        region = F.coalesce(f["region"], F.when(f["city"] == tax.capital_tag, f["city"]).otherwise(lookup(f["city"], tax.city_regions)))
+        return F.struct(home.alias("home"), (home & local).alias("placed"), region.alias("region"), f["city"].alias("city"))
+
+    def tags(p: Column) -> Column:
+        city = F.coalesce(p["city"], F.when(p["region"] == tax.capital_tag, p["region"]), lookup(p["region"], tax.region_capitals))
+        return F.struct(
+            F.when(p["home"], lx.RUSSIA).otherwise(lx.WORLD).alias("g0"), F.when(p["placed"], lx.CENTRAL_DISTRICT).alias("g1"),
+            F.when(p["placed"], p["region"]).alias("g2"), F.when(p["placed"], city).alias("g3"),
+        )
+
+    return let(let(let(F.lower(_title_text(title, body)), found), placed), tags)
 
 
 def rubric_tag(title: ColumnOrName, body: ColumnOrName, tax: Taxonomy = DEFAULT) -> Column:
@@ -174,7 +181,10 @@ def allowlist(tax: Taxonomy = DEFAULT) -> dict[str, list[str]]:
 
 def validate_pack(pack: Column, tax: Taxonomy = DEFAULT) -> Column:
     """Drop tags outside the allow-list; a city equal to its region is dropped."""
-    allow = allowlist(tax)
+    return let(pack, lambda p: _validated(p, allowlist(tax)))
+
+
+def _validated(pack: Column, allow: dict[str, list[str]]) -> Column:
     g2 = F.when(pack["g2"].isin(allow["g2"]), pack["g2"])
     g3 = F.when(pack["g3"].isin(allow["g3"]), pack["g3"])
     same = F.coalesce(tag_key(g2) == tag_key(g3), F.lit(False)) & g2.isNotNull() & g3.isNotNull()
@@ -193,39 +203,43 @@ def distinct_tags(arr: Column) -> Column:
 
 def ordered_tags(pack: Column) -> Column:
     """World: [g0, r0]; country: [g0, g1?, g2?, g3?, r0]; repeats dropped."""
-    full = F.array(pack["g0"], pack["g1"], pack["g2"], pack["g3"], pack["r0"])
-    return distinct_tags(F.when(pack["g0"] == lx.WORLD, F.array(pack["g0"], pack["r0"])).otherwise(full))
+    listed = let(pack, lambda p: F.when(p["g0"] == lx.WORLD, F.array(p["g0"], p["r0"])).otherwise(
+        F.array(p["g0"], p["g1"], p["g2"], p["g3"], p["r0"])))
+    return let(listed, distinct_tags)
 
 
 def item_tags(title: ColumnOrName, body: ColumnOrName, tax: Taxonomy = DEFAULT) -> Column:
     """Full tag list, whole-word rubric form."""
-    g0 = strict_g0(title, body, tax)
-    geo = geo_tags(title, body, None, tax)
-    home = g0 == lx.RUSSIA
-    g1 = F.when(home, F.coalesce(geo["g1"], F.when(geo["g2"].isNotNull() | geo["g3"].isNotNull(), lx.CENTRAL_DISTRICT)))
-    return ordered_tags(validate_pack(F.struct(
-        g0.alias("g0"), g1.alias("g1"), F.when(home, geo["g2"]).alias("g2"), F.when(home, geo["g3"]).alias("g3"),
-        rubric_by_words(title, body, tax).alias("r0"),
-    ), tax))
+    seen = F.struct(strict_g0(title, body, tax).alias("g0"), geo_tags(title, body, None, tax).alias("geo"),
+                    rubric_by_words(title, body, tax).alias("r0"))
+
+    def pack(s: Column) -> Column:
+        home, geo = s["g0"] == lx.RUSSIA, s["geo"]
+        district = F.coalesce(geo["g1"], F.when(geo["g2"].isNotNull() | geo["g3"].isNotNull(), lx.CENTRAL_DISTRICT))
+        return F.struct(s["g0"].alias("g0"), F.when(home, district).alias("g1"), F.when(home, geo["g2"]).alias("g2"),
+                        F.when(home, geo["g3"]).alias("g3"), s["r0"].alias("r0"))
+
+    return ordered_tags(validate_pack(let(seen, pack), tax))
 
 
 def stored_tags(title: ColumnOrName, body: ColumnOrName, language: ColumnOrName | None = None,
                 tax: Taxonomy = DEFAULT) -> Column:
     """Full tag list as stored with the item, stem rubric form."""
-    g0 = strict_g0(title, body, tax)
-    geo = geo_tags(title, body, language, tax)
-    home = (g0 == lx.RUSSIA) & (geo["g1"] == lx.CENTRAL_DISTRICT)
-    return ordered_tags(validate_pack(F.struct(
-        g0.alias("g0"), F.when(home, geo["g1"]).alias("g1"), F.when(home, geo["g2"]).alias("g2"),
-        F.when(home, geo["g3"]).alias("g3"), rubric_tag(title, body, tax).alias("r0"),
-    ), tax))
+    seen = F.struct(strict_g0(title, body, tax).alias("g0"), geo_tags(title, body, language, tax).alias("geo"),
+                    rubric_tag(title, body, tax).alias("r0"))
+
+    def pack(s: Column) -> Column:
+        home = (s["g0"] == lx.RUSSIA) & (s["geo"]["g1"] == lx.CENTRAL_DISTRICT)
+        return F.struct(s["g0"].alias("g0"), *[F.when(home, s["geo"][k]).alias(k) for k in ("g1", "g2", "g3")], s["r0"].alias("r0"))
+
+    return ordered_tags(validate_pack(let(seen, pack), tax))
 
 
 def english_tags(tags: Column, table: dict[str, str] | None = None) -> Column:
     """Tags through the RU → EN table; unknown ones stay."""
     mapping = table or lx.TAGS_EN
     normal = F.transform(F.filter(tags, lambda t: blank_to_null(t).isNotNull()), normalize_tag)
-    return keep_first(F.transform(normal, lambda t: lookup(t, mapping, t)), tag_key)
+    return let(F.transform(normal, lambda t: lookup(t, mapping, t)), lambda arr: keep_first(arr, tag_key))
 
 
 def category_tag(category: ColumnOrName, language: str = "ru") -> Column:

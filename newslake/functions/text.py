@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslake.functions import lexicon as lx
 from newslake.functions.base import (
-    ColumnOrName, any_of, col, contains_any, count_chars, hits, keep_first, lines, prefix, rfind, rstrip, squeeze,
+    ColumnOrName, any_of, col, contains_any, count_chars, hits, let, lines, prefix, rfind, rstrip, squeeze,
     strip, text, word_count, words,
 )
 
@@ -24,24 +24,27 @@ def detect_language(body: ColumnOrName, title: ColumnOrName | None = None) -> Co
 
 def quality_parts(body: ColumnOrName, phrases: list[str] | None = None) -> Column:
     """Struct of length, sentence_count, noise_ratio, repeat_ratio and the score in 0..1."""
-    raw = strip(text(body))
+    return let(strip(text(body)), lambda raw: _quality(raw, phrases or lx.NOISE_PHRASES))
+
+
+def _quality(raw: Column, phrases: list[str]) -> Column:
     length = F.length(raw)
     sentences = F.when(raw == "", 0).otherwise(F.regexp_count(raw, F.lit(r"(?U)[.!?]\s+")) + 1)
-    noise = F.least(F.lit(1.0), hits(F.lower(raw), phrases or lx.NOISE_PHRASES) / F.greatest(F.lit(1), sentences))
-    body_lines = lines(raw)
-    repeat = F.when(
-        F.size(body_lines) > 0, F.lit(1.0) - F.size(F.array_distinct(body_lines)) / F.size(body_lines)
-    ).otherwise(F.lit(0.0))
+    noise = F.least(F.lit(1.0), hits(F.lower(raw), phrases) / F.greatest(F.lit(1), sentences))
+    repeat = let(lines(raw), lambda ls: F.when(
+        F.size(ls) > 0, F.lit(1.0) - F.size(F.array_distinct(ls)) / F.size(ls)).otherwise(F.lit(0.0)))
+    parts = F.struct(length.alias("length"), sentences.alias("sentence_count"), noise.alias("noise_ratio"), repeat.alias("repeat_ratio"))
+    return let(parts, _scored)
+
+
+def _scored(p: Column) -> Column:
     score = (
-        F.least(F.lit(1.0), length / F.lit(900.0)) * 0.5
-        + F.least(F.lit(1.0), sentences / F.lit(5.0)) * 0.3
-        - (noise * 0.1 + repeat * 0.1)
-    )
-    score = F.when(raw == "", F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-    return F.struct(
-        length.alias("length"), sentences.alias("sentence_count"), noise.alias("noise_ratio"),
-        repeat.alias("repeat_ratio"), score.alias("score"),
+        F.least(F.lit(1.0), p["length"] / F.lit(900.0)) * 0.5
+        + F.least(F.lit(1.0), p["sentence_count"] / F.lit(5.0)) * 0.3
+        - (p["noise_ratio"] * 0.1 + p["repeat_ratio"] * 0.1)
     )
+    score = F.when(p["length"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    return F.struct(*[p[c].alias(c) for c in ("length", "sentence_count", "noise_ratio", "repeat_ratio")], score.alias("score"))
 
 
 def quality_score(body: ColumnOrName, phrases: list[str] | None = None) -> Column:
@@ -66,25 +69,30 @@ def validate_summary(body: ColumnOrName, low: int = 60, high: int = 150, per_sen
 # -------------------------------------------------------------- truncation
 def truncate_text(c: ColumnOrName, limit: int = 500) -> Column:
     """Cut at the last space inside the limit and add dots."""
-    cut = prefix(c, limit)
-    space = rfind(cut, " ")
-    return F.when(F.length(col(c)) <= limit, col(c)).otherwise(
-        F.concat(F.when(space > 0, prefix(cut, space)).otherwise(cut), F.lit("..."))
-    )
+
+    def shorten(cut: Column) -> Column:
+        space = rfind(cut, " ")
+        return F.concat(F.when(space > 0, prefix(cut, space)).otherwise(cut), F.lit("..."))
+
+    return let(col(c), lambda full: F.when(F.length(full) <= limit, full).otherwise(let(prefix(full, limit), shorten)))
 
 
 def truncate_message(c: ColumnOrName, limit: int = 1000) -> Column:
     """Hard limit; the word boundary is used only if it lies in the second half."""
-    cut = prefix(c, limit)
-    space = rfind(cut, " ")
-    return F.when(F.length(col(c)) <= limit, col(c)).otherwise(
-        F.concat(rstrip(F.when(space > limit // 2, prefix(cut, space)).otherwise(cut)), F.lit("..."))
-    )
+
+    def shorten(cut: Column) -> Column:
+        space = rfind(cut, " ")
+        return F.concat(rstrip(F.when(space > limit // 2, prefix(cut, space)).otherwise(cut)), F.lit("..."))
+
+    return let(col(c), lambda full: F.when(F.length(full) <= limit, full).otherwise(let(prefix(full, limit), shorten)))
 
 
 def compact_text(c: ColumnOrName, limit: int, whole: bool = True) -> Column:
     """Head … middle … tail of a cleaned text within a budget, then cut at a word."""
-    cleaned = squeeze(c)
+    return let(squeeze(c), lambda cleaned: _compact(cleaned, limit, whole))
+
+
+def _compact(cleaned: Column, limit: int, whole: bool) -> Column:
     n = F.length(cleaned)
     chunk = max(1, limit // 3)
     joined = F.concat_ws(
@@ -233,7 +241,10 @@ def sentences(c: ColumnOrName) -> Column:
 def first_good_sentence(c: ColumnOrName, limit: int = 800, phrases: list[str] | None = None) -> Column:
     """First long, clean and mostly Cyrillic sentence; empty if none."""
     stop = phrases or lx.LEAD_STOP_PHRASES
-    cleaned = clean_text(c)
+    return let(clean_text(c), lambda cleaned: _good_sentence(cleaned, limit, stop))
+
+
+def _good_sentence(cleaned: Column, limit: int, stop: list[str]) -> Column:
     good = F.filter(
         sentences(cleaned),
         lambda s: (F.length(s) >= 50)
@@ -247,7 +258,10 @@ def first_good_sentence(c: ColumnOrName, limit: int = 800, phrases: list[str] |
 def lead_of_clean_text(cleaned: ColumnOrName, limit: int = 800, emergency: bool = True,
                        phrases: list[str] | None = None) -> Column:
     """Lead of an already cleaned page or feed text, with its fallbacks."""
-    body = col(cleaned)
+    return let(col(cleaned), lambda body: _lead(body, limit, emergency, phrases))
+
+
+def _lead(body: Column, limit: int, emergency: bool, phrases: list[str] | None) -> Column:
     picks = [choose_lead(lead_candidates(body, phrases=phrases), limit, phrases), first_good_sentence(body, limit, phrases)]
     if emergency:
         usable = F.filter(
@@ -261,7 +275,7 @@ def lead_of_clean_text(cleaned: ColumnOrName, limit: int = 800, emergency: bool
         ]
         stop_at = F.coalesce(F.least(*points), F.lit(120))
         picks.append(F.when(F.length(body) >= 100, strip(prefix(body, stop_at))).otherwise(F.lit("")))
-    found = F.coalesce(*[F.when(p != "", p) for p in picks], F.lit(""))
+    found = F.coalesce(*[let(p, lambda x: F.when(x != "", x)) for p in picks], F.lit(""))
     return F.when(F.length(body) < 50, F.lit("")).otherwise(found)
 
 
@@ -272,31 +286,41 @@ def render_message(title: ColumnOrName, body: ColumnOrName, source: ColumnOrName
     head = text(title)
     for pattern in lx.TITLE_PREFIX_PATTERNS:
         head = F.regexp_replace(head, f"(?iu){pattern}", "")
-    rejected = (
-        (F.length(head) < 15) | F.startswith(head, F.lit("/"))
-        | contains_any(F.lower(head), noise or lx.MESSAGE_TITLE_NOISE)
+    parts = F.struct(
+        head.alias("head"), squeeze(F.regexp_replace(text(body), "<[^>]+>", "")).alias("body"), text(source).alias("source"),
+        text(url).alias("url"), text(category_line).alias("line"),
     )
-    clean = lambda c: F.translate(c, "/|\\", " ")  # noqa: E731  slash to space, bar and backslash away
-    body_text = clean(squeeze(F.regexp_replace(text(body), "<[^>]+>", "")))
-    head = clean(head)
+    return let(parts, lambda p: F.when(_bad_head(p["head"], noise or lx.MESSAGE_TITLE_NOISE), F.lit("")).otherwise(
+        truncate_message(_message(p), 1000)))
+
+
+def _bad_head(head: Column, noise: list[str]) -> Column:
+    return (F.length(head) < 15) | F.startswith(head, F.lit("/")) | contains_any(F.lower(head), noise)
+
+
+def _message(p: Column) -> Column:
+    plain = lambda c: F.translate(c, "/|\\", " ")  # noqa: E731  slash to space, bar and backslash away
     fold = lambda c: squeeze(F.lower(c))
-    rest = strip(F.ltrim(strip(F.substring(body_text, F.length(head) + 1, F.length(body_text))), F.lit("|:.-")))
-    body_text = F.when(F.startswith(fold(body_text), fold(head)), rest).otherwise(body_text)
-    paragraph = strip(prefix(body_text, 300))
-    paragraph = F.when(F.length(paragraph) < 30, truncate_text(body_text, 200)).otherwise(paragraph)
-    paragraph = escape_markdown(paragraph)
-    relayed = F.startswith(text(source), F.lit("@")) | F.contains(F.lower(text(url)), F.lit("rsshub"))
-    titled = F.concat(
-        escape_markdown(head), F.lit("\n"),
-        F.when(paragraph != "", F.concat(F.lit("\n"), strip(paragraph), F.lit("\n"))).otherwise(F.lit("")),
-    )
-    message = F.concat(
-        F.when(relayed, F.concat(paragraph, F.lit("\n"))).otherwise(titled),
-        F.lit("\nИсточник: "), escape_markdown(text(source)), F.lit("\n"), escape_markdown(text(url)),
-        F.lit("\n\n"), text(category_line),
-    )
-    return F.when(rejected, F.lit("")).otherwise(truncate_message(message, 1000))
+    head = plain(p["head"])
+
+    def without_head(body: Column) -> Column:
+        rest = strip(F.ltrim(strip(F.substring(body, F.length(head) + 1, F.length(body))), F.lit("|:.-")))
+        return F.when(F.startswith(fold(body), fold(head)), rest).otherwise(body)
+
+    def preview(body: Column) -> Column:
+        start = strip(prefix(body, 300))
+        return escape_markdown(F.when(F.length(start) < 30, truncate_text(body, 200)).otherwise(start))
 
+    relayed = F.startswith(p["source"], F.lit("@")) | F.contains(F.lower(p["url"]), F.lit("rsshub"))
+
+    def laid_out(paragraph: Column) -> Column:
+        titled = F.concat(
+            escape_markdown(head), F.lit("\n"),
+            F.when(paragraph != "", F.concat(F.lit("\n"), strip(paragraph), F.lit("\n"))).otherwise(F.lit("")),
+        )
+        return F.concat(
+            F.when(relayed, F.concat(paragraph, F.lit("\n"))).otherwise(titled),
+            F.lit("\nИсточник: "), escape_markdown(p["source"]), F.lit("\n"), escape_markdown(p["url"]), F.lit("\n\n"), p["line"],
+        )
 
-def ordered_distinct(arr: Column) -> Column:
-    return keep_first(arr)
+    return let(preview(let(plain(p["body"]), without_head)), laid_out)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_health", "q_dedup"]
+MODULES = ["q_health", "q_dedup", "q_text"]
 
 
 def load_all() -> None:

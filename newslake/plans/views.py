@@ -25,7 +25,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                  || CASE WHEN doc_id % 3 = 1 THEN '?a=1&b=2' ELSE '' END END AS canonical
         FROM (SELECT doc_id, doc_id AS entry_id, source, 'https://' || source || '.example.com/rss' AS feed_url, doc_id // 20 AS pos,
                CASE WHEN doc_id % 50 <> 7 THEN split_part(text, chr(10), 1) END AS title, text AS summary,
-               TIMESTAMP '2024-01-30 23:59:00' - to_hours(CAST(doc_id % 72 AS INTEGER)) AS at,
+               TIMESTAMP '2024-01-30 23:59:00' - to_hours(CAST(doc_id % 72 AS INTEGER)) AS stamp,
                CASE WHEN (doc_id // 20) % 3 = 2 THEN doc_id - 20 ELSE doc_id END AS linked
         FROM documents)"""),
     "feed_items": (["feed_entries"], r"""
