@@ -25,14 +25,14 @@ def visible(pairs: DataFrame, settings: DataFrame, sources: DataFrame, env: str
 
 def _source_ids(sources: DataFrame) -> Column:
     """All source ids as one array; the catalogue is a configuration list."""
-    return sources.agg(F.array_sort(F.collect_set("id"))).scalar()
+    return sources.agg(F.sort_array(F.collect_set("id"))).scalar()
 
 
 def enabled_sources(users: DataFrame, settings: DataFrame, sources: DataFrame, env: str = "prod") -> DataFrame:
     """Enabled source ids per user: all of the catalogue minus the user's own off-list."""
     off = disabled_pairs(settings, env).groupBy("user_id").agg(F.collect_set("source_id").alias("_off"))
     ids = F.array_except(_source_ids(sources), F.coalesce("_off", F.array().cast("array<bigint>")))
-    return users.select("user_id").distinct().join(off, "user_id", "left").select("user_id", F.array_sort(ids).alias("source_ids"))
+    return users.select("user_id").distinct().join(off, "user_id", "left").select("user_id", F.sort_array(ids).alias("source_ids"))
 
 
 def enabled_map(users: DataFrame, settings: DataFrame, sources: DataFrame, env: str = "prod") -> DataFrame:
