@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_health", "q_dedup", "q_text", "q_routing", "q_sources"]
+MODULES = ["q_health", "q_dedup", "q_text", "q_routing", "q_sources", "q_streaming"]
 
 
 def load_all() -> None:
