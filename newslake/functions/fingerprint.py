@@ -35,8 +35,9 @@ def _simhash(batch: pd.Series) -> pd.Series:
         toks = [t.lower() for t in find(doc)] if doc else []
         if not toks:
             return None
-        for t in set(toks) - memo.keys():
-            memo[t] = hashlib.sha1(t.encode()).digest()[:8]
+        for t in toks:
+            if t not in memo:
+                memo[t] = hashlib.sha1(t.encode()).digest()[:8]
         bits = np.unpackbits(np.frombuffer(b"".join([memo[t] for t in toks]), np.uint8).reshape(-1, 8), axis=1)
         majority = bits.sum(axis=0, dtype=np.int64) * 2 > len(toks)
         return int.from_bytes(np.packbits(majority).tobytes(), "big", signed=True)
@@ -44,6 +45,11 @@ def _simhash(batch: pd.Series) -> pd.Series:
     return pd.Series([one(d) for d in batch], dtype="Int64")
 
 
+# Marked so that the planner never moves a join or filter below the stage, which
+# would copy the Python evaluation into every use.  Filter rows before the call.
+_simhash_once = _simhash.asNondeterministic()
+
+
 def simhash(body: ColumnOrName, title: ColumnOrName | None = None) -> Column:
     """64-bit simhash of title and body, null if there are no words.
 
@@ -53,7 +59,7 @@ def simhash(body: ColumnOrName, title: ColumnOrName | None = None) -> Column:
     which also shuffles and must be joined back.
     """
     joined = text(body) if title is None else F.concat_ws(" ", text(title), text(body))
-    return _simhash(joined)
+    return _simhash_once(joined)
 
 
 def hamming(a: ColumnOrName, b: ColumnOrName) -> Column:

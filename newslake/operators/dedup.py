@@ -124,6 +124,7 @@ def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS,
             same = F.col("simhash").bitwiseAND(F.lit(mask)) == F.col("_s").bitwiseAND(F.lit(mask))
             left = left.join(small, same & (fp.hamming("simhash", "_s") <= radius), "left_anti")
         return items.join(left.select("id"), "id", "left_anti").filter(F.col("simhash").isNotNull())
+    store = cut(store)  # counted and read; the fingerprints are computed once
     masks = block_masks(blocks_for(store.count()), radius)
     probe = items.filter(F.col("simhash").isNotNull()).select("id", "simhash", F.explode(fingerprint_keys(F.col("simhash"), masks)).alias("k"))
     index = store.select("_s", F.explode(fingerprint_keys(F.col("_s"), masks)).alias("k"))

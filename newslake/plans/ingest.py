@@ -33,31 +33,30 @@ def split_fresh(items: DataFrame, as_of: Column, **kwargs) -> tuple[DataFrame, D
     return judged.filter(F.col("reason").isNull()).drop("reason"), gates.drop_event(judged)
 
 
-def publishable(items: DataFrame, store: DataFrame, as_of: Column, category: str | None = None, limit: int | None = TICK_LIMIT,
-                title_threshold: float = 0.85) -> DataFrame:
-    """Fresh, enriched items that survive all duplicate rules, the first ``limit`` of them by arrival.
+KEY_COLUMNS = ["id", "arrival_idx", "title", "guid", "url_hash", "checksum", "url_normalized", "simhash", "published_at", "category"]
 
-    Cheap rules run first and see only key columns; the texts are joined back for
-    the few survivors.  ``store`` holds the items published before.
+
+def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category: str | None = None, limit: int | None = TICK_LIMIT,
+                    title_threshold: float = 0.85) -> DataFrame:
+    """Ids of the fresh, enriched items that survive all duplicate rules, the first ``limit`` of them by arrival.
+
+    Cheap rules run first, and all of them see key columns only; the caller joins the texts back for the
+    survivors.  ``store`` holds the items published before.
     """
-    keys = ["id", "arrival_idx", "title", "guid", "url_hash", "checksum", "url_normalized", "simhash", "published_at", "category"]
-    # texts stay behind: everything below works on keys, written once because several rules read them
-    rows = cut(items.select(*keys))
+    rows = cut(items.select(*KEY_COLUMNS))  # written once, because several rules read the computed keys
     if category:
         rows = rows.filter(gates.category_matches(F.lit(category), F.col("category")))
     rows = dedup.staged_first_wins(rows)
     rows = dedup.unseen_keys(rows, store)
     rows = dedup.unseen_addresses(rows, store)
     rows = dedup.unseen_checksums(rows, store, as_of)
-    rows = dedup.not_near_stored(rows, dedup.recent_fingerprints(store, as_of), max_rows=dedup.RECENT_LIMIT)
+    rows = cut(dedup.not_near_stored(rows, dedup.recent_fingerprints(store, as_of), max_rows=dedup.RECENT_LIMIT))
     day = store.filter(F.col("published_at") > as_of - F.expr("interval 1 day"))
-    rows = cut(rows)
-    similar = dedup.similar_titles(rows, day, title_threshold).select("id")
-    rows = rows.join(similar, "id", "left_anti")
+    rows = rows.join(dedup.similar_titles(rows, day, title_threshold).select("id"), "id", "left_anti")
     rows = dedup.near_duplicate_resolution(rows, as_of, title_threshold).select("id", "arrival_idx")
     if limit is not None:
         rows = rows.orderBy("arrival_idx").limit(limit)
-    return items.join(rows.select("id"), "id", "left_semi")
+    return rows.select("id")
 
 
 def with_tags(items: DataFrame, tax: tg.Taxonomy = tg.DEFAULT) -> DataFrame:
@@ -67,6 +66,11 @@ def with_tags(items: DataFrame, tax: tg.Taxonomy = tg.DEFAULT) -> DataFrame:
 
 def tick(items: DataFrame, store: DataFrame, as_of: Column, tax: tg.Taxonomy = tg.DEFAULT, category: str | None = None,
          limit: int | None = TICK_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(published rows with tags, drop events) of one batch of collected items."""
-    fresh, drops = split_fresh(enrich(items, tax), as_of)
-    return with_tags(publishable(fresh, store, as_of, category, limit), tax), drops
+    """(published rows with tags, drop events) of one batch of collected items.
+
+    The keys of all fresh items are computed once; the full rows are enriched and tagged only for the survivors.
+    """
+    judged = gates.with_freshness(items.withColumn("domain", urls.item_domain(None, "url")), as_of)
+    fresh = judged.filter(F.col("reason").isNull()).drop("reason")
+    ids = publishable_ids(enrich(fresh, tax), store, as_of, category, limit)
+    return with_tags(enrich(fresh.join(ids, "id", "left_semi"), tax), tax), gates.drop_event(judged)

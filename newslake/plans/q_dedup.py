@@ -140,8 +140,11 @@ def p13(t: Tables) -> DataFrame:
     SELECT simhash FROM simhashes WHERE simhash IS NOT NULL AND published_at > {AS_OF} - INTERVAL 48 HOUR
     ORDER BY published_at DESC, id DESC LIMIT 100""")
 def o02(t: Tables) -> DataFrame:
-    items = t.wide_items.withColumn("simhash", fp.simhash("clean_text", "title"))
-    return dedup.recent_fingerprints(items, as_of(), 48, 100)
+    return dedup.recent_fingerprints(_prints(t.wide_items.filter(F.col("published_at") > as_of() - F.expr("interval 48 hours"))), as_of(), 48, 100)
+
+
+def _prints(items: DataFrame) -> DataFrame:
+    return items.select("id", "published_at", fp.simhash("clean_text", "title").alias("simhash"))
 
 
 J04 = f"""
@@ -154,10 +157,10 @@ J04 = f"""
 @R.add("j04_near_duplicates", views="simhashes", sql=J04)
 def j04(t: Tables) -> DataFrame:
     """New items without a near copy among the newest stored fingerprints (a bounded top-k)."""
-    prints = t.wide_items.select("id", "published_at", fp.simhash("clean_text", "title").alias("simhash"))
-    late = as_of() - F.make_dt_interval(hours=F.lit(12))
-    recents = dedup.recent_fingerprints(prints.filter(F.col("published_at") <= late), as_of(), 48)
-    return dedup.not_near_stored(prints.filter(F.col("published_at") > late), recents, max_rows=dedup.RECENT_LIMIT).select("id")
+    late, horizon = as_of() - F.make_dt_interval(hours=F.lit(12)), as_of() - F.expr("interval 48 hours")
+    new = _prints(t.wide_items.filter(F.col("published_at") > late))
+    old = _prints(t.wide_items.filter((F.col("published_at") <= late) & (F.col("published_at") > horizon)))
+    return dedup.not_near_stored(new, dedup.recent_fingerprints(old, as_of(), 48), max_rows=dedup.RECENT_LIMIT).select("id")
 
 
 @R.add("j04b_near_all", views="simhashes", sql=f"""
@@ -165,9 +168,9 @@ def j04(t: Tables) -> DataFrame:
       SELECT 1 FROM simhashes r WHERE r.published_at <= {AS_OF} - INTERVAL 12 HOUR AND bit_count(xor(n.simhash, r.simhash)) <= 6)""")
 def j04b(t: Tables) -> DataFrame:
     """New items with a near copy anywhere in the store (unbounded: keyed shuffle join)."""
-    prints = t.wide_items.select("id", "published_at", fp.simhash("clean_text", "title").alias("simhash"))
     late = as_of() - F.make_dt_interval(hours=F.lit(12))
-    return dedup.near_stored(prints.filter(F.col("published_at") > late), prints.filter(F.col("published_at") <= late)).select("id")
+    return dedup.near_stored(_prints(t.wide_items.filter(F.col("published_at") > late)),
+                             _prints(t.wide_items.filter(F.col("published_at") <= late))).select("id")
 
 
 @R.add("j05_similar_titles", views="title_sets", sql=f"""

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from newslake.operators import dedup, ordered, routing
 from newslake.plans import ingest
-from newslake.session import checkpoint_dir
+from newslake.session import checkpoint_dir, cut
 
 TICK_INTERVAL = "300 seconds"
 
@@ -73,11 +73,8 @@ def ingest_handler(spark: SparkSession, store_path: str, drops_path: str, as_of:
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        now = as_of(batch)
-        enriched = ingest.enrich(batch)
-        fresh, drops = ingest.split_fresh(enriched, now)
-        stored = _stored(spark, store_path, fresh.withColumn("batch", F.lit(0)))
-        rows = ingest.publishable(fresh, stored.filter(F.col("batch") < batch_id), now, limit=limit)
+        stored = _stored(spark, store_path, ingest.with_tags(ingest.enrich(batch)).withColumn("batch", F.lit(0)))
+        rows, drops = ingest.tick(batch, stored.filter(F.col("batch") < batch_id), as_of(batch), limit=limit)
         rows.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
         drops.write.mode("overwrite").parquet(f"{drops_path}/batch={batch_id}")
 
@@ -105,6 +102,7 @@ def near_duplicate_handler(spark: SparkSession, store_path: str, as_of: Column)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = _stored(spark, store_path, batch.withColumn("batch", F.lit(0))).filter(F.col("batch") < batch_id)
+        batch = cut(batch)  # read by several steps; the fingerprints are computed once
         far = dedup.not_near_stored(batch, dedup.recent_fingerprints(stored, as_of), max_rows=dedup.RECENT_LIMIT)
         slim = far.select("id", "arrival_idx", "simhash")
         kept = dedup.greedy_keep_first(slim, [dedup.fingerprint_family(slim.count())]).select("id")
