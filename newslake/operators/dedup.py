@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from itertools import combinations
 from math import ceil
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ RADIUS = 6
 RECENT_LIMIT = 1500
 # A store side up to this many fingerprints is small enough to be sent to every task.
 BROADCAST_ROWS = 20_000
+# Above this many rows keep-first clears clusters of near copies before it looks deeper into keys.
+LARGE_BATCH = 100_000
 
 
 # ------------------------------------------------------------ exact stages
@@ -109,22 +112,28 @@ def fingerprint_keys(h: Column, masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("m"), h.bitwiseAND(F.lit(mask)).alias("v")) for i, mask in enumerate(masks)])
 
 
-def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, max_rows: int | None = None) -> DataFrame:
-    """Items within the radius of a stored fingerprint.
+def not_near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, max_rows: int | None = None) -> DataFrame:
+    """Items without a stored fingerprint within the radius.
 
-    ``max_rows`` is a proven bound of the stored side (such as a top-k limit).
-    Within ``BROADCAST_ROWS`` it is broadcast and probed by seven map-side semi joins;
-    otherwise both sides are exploded into keys sized for the data and shuffled.
+    ``max_rows`` is a proven bound of the stored side (such as a top-k limit).  Within
+    ``BROADCAST_ROWS`` that side is written once, broadcast, and probed by seven map-side anti
+    joins, so the items are not shuffled; otherwise the keyed join of ``near_stored`` decides.
     """
-    store = fingerprints.select(F.col("simhash").alias("_s")).distinct()
+    if max_rows is None or max_rows > BROADCAST_ROWS:
+        return items.join(near_stored(items, fingerprints, radius).select("id"), "id", "left_anti")
+    store = cut(fingerprints.select(F.col("simhash").alias("_s")).distinct())
+    for mask in block_masks(7, radius):
+        same = F.col("simhash").bitwiseAND(F.lit(mask)) == F.col("_s").bitwiseAND(F.lit(mask))
+        items = items.join(F.broadcast(store), same & (fp.hamming("simhash", "_s") <= radius), "left_anti")
+    return items
+
+
+def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, max_rows: int | None = None) -> DataFrame:
+    """Items within the radius of a stored fingerprint; an unbounded store is joined on keys sized for it."""
     if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        small = F.broadcast(store)
-        left = items
-        for mask in block_masks(7, radius):
-            same = F.col("simhash").bitwiseAND(F.lit(mask)) == F.col("_s").bitwiseAND(F.lit(mask))
-            left = left.join(small, same & (fp.hamming("simhash", "_s") <= radius), "left_anti")
-        return items.join(left.select("id"), "id", "left_anti").filter(F.col("simhash").isNotNull())
-    store = cut(store)  # counted and read; the fingerprints are computed once
+        items = items.filter(F.col("simhash").isNotNull())
+        return items.join(not_near_stored(items, fingerprints, radius, max_rows).select("id"), "id", "left_anti")
+    store = cut(fingerprints.select(F.col("simhash").alias("_s")).distinct())  # counted and read
     masks = block_masks(blocks_for(store.count()), radius)
     probe = items.filter(F.col("simhash").isNotNull()).select("id", "simhash", F.explode(fingerprint_keys(F.col("simhash"), masks)).alias("k"))
     index = store.select("_s", F.explode(fingerprint_keys(F.col("_s"), masks)).alias("k"))
@@ -132,17 +141,6 @@ def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS,
     return items.join(hit.select("id").distinct(), "id", "left_semi")
 
 
-def not_near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, max_rows: int | None = None) -> DataFrame:
-    """Items without a stored fingerprint within the radius; no shuffle when the stored side is bounded."""
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        small = F.broadcast(fingerprints.select(F.col("simhash").alias("_s")).distinct())
-        for mask in block_masks(7, radius):
-            same = F.col("simhash").bitwiseAND(F.lit(mask)) == F.col("_s").bitwiseAND(F.lit(mask))
-            items = items.join(small, same & (fp.hamming("simhash", "_s") <= radius), "left_anti")
-        return items
-    return items.join(near_stored(items, fingerprints, radius, max_rows).select("id"), "id", "left_anti")
-
-
 # -------------------------------------------------------------------- titles
 def title_columns(df: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
     """Add the normalised title and its content words; titles with under three words match nothing."""
@@ -299,9 +297,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _conflicts(left: DataFrame, f: Family, depth: int) -> tuple[DataFrame, DataFrame]:
+def _conflicts(rows: DataFrame, f: Family, depth: int) -> tuple[DataFrame, DataFrame]:
     """(conflict edges from the first ``depth`` rows of each key, ids that have earlier rows beyond them)."""
-    rows = f.rows(left)
     heads = ordered.first_n(rows, ["k", "side"], ["arrival_idx"], depth)
     heads = heads.select(F.col("k").alias("_k"), _meets(F.col("side")).alias("_side"), F.col("id").alias("e"),
                          F.col("arrival_idx").alias("_idx"), *[F.col(c).alias(f"e_{c}") for c in f.carry])
@@ -330,10 +327,14 @@ def greedy_keep_first(items: DataFrame, families: list[Family], depth: int = 256
             on_round(round_no, n)
         if n == 0:
             break
-        reach = 1 if round_no == 0 and n > 2000 else depth
-        found = [_conflicts(left, f, reach) for f in families]
+        reach = 1 if round_no == 0 and n > LARGE_BATCH else depth
+        # key rows are read by both results; if an executor takes its copies along, they are computed again
+        keyed = [f.rows(left).persist(StorageLevel.MEMORY_AND_DISK) for f in families]
+        found = [_conflicts(rows, f, reach) for rows, f in zip(keyed, families)]
         edges = cut(_union([e for e, _ in found]).distinct())
         waiting = cut(_union([w for _, w in found]).distinct())
+        for rows in keyed:
+            rows.unpersist()
         dropped = []
         # a row that waits, or that still has an undecided earlier conflict, cannot be decided as kept
         while True:

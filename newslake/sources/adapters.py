@@ -15,6 +15,9 @@ from newslake.session import spread
 
 AS_OF = "2024-01-31 00:00:00"
 
+# Read with a fixed schema: event times as UTC instants, so that time ranges reach the scan without a cast.
+SCHEMAS = {"events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string"}
+
 
 def as_of(value: str = AS_OF) -> Column:
     return F.lit(value).cast("timestamp")
@@ -42,7 +45,8 @@ class Tables:
         self.spark, self.path = spark, path.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+        return reader.parquet(f"{self.path}/{name}.parquet")
 
     # ------------------------------------------------------------- content
     @cached_property
