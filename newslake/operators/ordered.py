@@ -121,13 +121,13 @@ def rank_in_gap_sessions(df: DataFrame, key: str, ts: str, tie: str, gap_seconds
 
 def rank_by_id(items: DataFrame, marks: DataFrame, item_id: str, mark_id: str, width: int = 100_000
                ) -> tuple[DataFrame, DataFrame]:
-    """Dense rank of items by id, and for each mark the number of items with an id up to it.
+    """Dense rank of items by id, and for each distinct mark the number of items with an id up to it.
 
-    Works on id ranges of a fixed width, so no task sorts all ids and no pair of
-    item and mark is formed.
+    Works on id ranges of a fixed width and on distinct marks (many users may share
+    one), so no task sorts all ids and no pair of item and mark is formed.
     """
-    both = items.select(F.col(item_id).cast("long").alias("_id"), F.lit(1).alias("_is"), F.lit(None).cast("string").alias("_m")) \
-        .unionByName(marks.select(F.col(mark_id).cast("long").alias("_id"), F.lit(0).alias("_is"), F.col("_m")))
+    both = items.select(F.col(item_id).cast("long").alias("_id"), F.lit(1).alias("_is")) \
+        .unionByName(marks.select(F.col(mark_id).cast("long").alias("_id"), F.lit(0).alias("_is")).distinct())
     both = both.withColumn("_b", F.floor(F.col("_id") / width))
     sizes = both.groupBy("_b").agg(F.sum("_is").alias("_n"))
     # one row per id range; ranges are few against ids
@@ -137,5 +137,5 @@ def rank_by_id(items: DataFrame, marks: DataFrame, item_id: str, mark_id: str, w
     ranked = both.join(before, "_b").withColumn("_rank", F.col("_before") + F.sum("_is").over(inside))
     return (
         ranked.filter("_is = 1").select(F.col("_id").alias(item_id), F.col("_rank").alias("id_rank")),
-        ranked.filter("_is = 0").select("_m", F.col("_rank").alias("items_before")),
+        ranked.filter("_is = 0").select(F.col("_id").alias(mark_id), F.col("_rank").alias("items_before")),
     )

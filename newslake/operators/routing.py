@@ -54,8 +54,8 @@ def pending(items: DataFrame, users: DataFrame, as_of: Column, per_user: int = 5
     meet on the items' dense rank, never as a cross product.
     """
     marks = users.select("user_id", "category_filter", F.coalesce("last_delivered_news_id", F.lit(0)).alias("_last"))
-    by_rank, before = ordered.rank_by_id(items, marks.select(F.col("user_id").alias("_m"), "_last"), "id", "_last")
-    window = marks.join(before.withColumnRenamed("_m", "user_id"), "user_id").select(
+    by_rank, before = ordered.rank_by_id(items, marks, "id", "_last")
+    window = marks.join(before, "_last").select(
         "user_id", "category_filter",
         F.explode(F.sequence(F.col("items_before") + 1, F.col("items_before") + per_user)).alias("id_rank"),
     )

@@ -22,7 +22,7 @@ def _codes(t: Tables) -> DataFrame:
 
 
 @R.add("a01_item_totals", views="items", sql=f"""
-    SELECT count(*) AS total, CAST(count_if(published_at > {AS_OF} - INTERVAL 1 DAY) AS BIGINT) AS today FROM items""")
+    SELECT count(*) AS total, count(*) FILTER (WHERE published_at > {AS_OF} - INTERVAL 1 DAY) AS today FROM items""")
 def a01(t: Tables) -> DataFrame:
     return health.item_totals(t.items, as_of())
 
@@ -108,8 +108,8 @@ def a15(t: Tables) -> DataFrame:
 
 
 @R.add("a16_keep_drop_counts", views="items", sql=f"""
-    SELECT source, count(*) AS total, CAST(count_if(reason IS NULL) AS BIGINT) AS kept,
-           CAST(count_if(reason IS NOT NULL) AS BIGINT) AS dropped
+    SELECT source, count(*) AS total, count(*) FILTER (WHERE reason IS NULL) AS kept,
+           count(*) FILTER (WHERE reason IS NOT NULL) AS dropped
     FROM (SELECT source, {REASON} AS reason FROM items) GROUP BY source""")
 def a16(t: Tables) -> DataFrame:
     return health.keep_drop_counts(_rejected(t))
@@ -133,7 +133,7 @@ def a17(t: Tables) -> DataFrame:
 @R.add("a18_tick_stats", views="items", sql=f"""
     SELECT tick_id, fetched, published, fetched - published AS deduped FROM (
       SELECT strftime(fetched_at, '%Y-%m-%d %H') AS tick_id, count(*) AS fetched,
-             CAST(count_if(published_at >= {AS_OF} - INTERVAL 36 HOUR) AS BIGINT) AS published FROM items GROUP BY 1)""")
+             count(*) FILTER (WHERE published_at >= {AS_OF} - INTERVAL 36 HOUR) AS published FROM items GROUP BY 1)""")
 def a18(t: Tables) -> DataFrame:
     rows = _rejected(t).select(F.date_format("fetched_at", "yyyy-MM-dd HH").alias("tick_id"), F.col("reason").isNull().alias("published"))
     return audit.tick_stats(rows)
@@ -172,14 +172,14 @@ def p16(t: Tables) -> DataFrame:
 
 # ------------------------------------------------------------------ usage
 @R.add("a06_cache_stats", views="response_cache", sql=f"""
-    SELECT count(*) AS total, CAST(count_if(expires_at > {AS_OF}) AS BIGINT) AS active,
-           CAST(count_if(expires_at <= {AS_OF}) AS BIGINT) AS expired FROM response_cache""")
+    SELECT count(*) AS total, count(*) FILTER (WHERE expires_at > {AS_OF}) AS active,
+           count(*) FILTER (WHERE expires_at <= {AS_OF}) AS expired FROM response_cache""")
 def a06(t: Tables) -> DataFrame:
     return usage.cache_stats(t.response_cache, as_of())
 
 
 @R.add("a07_expired_purge", views="response_cache", sql=f"""
-    SELECT CAST(count_if(expires_at < {AS_OF}) AS BIGINT) AS deleted, CAST(count_if(expires_at >= {AS_OF}) AS BIGINT) AS kept FROM response_cache""")
+    SELECT count(*) FILTER (WHERE expires_at < {AS_OF}) AS deleted, count(*) FILTER (WHERE expires_at >= {AS_OF}) AS kept FROM response_cache""")
 def a07(t: Tables) -> DataFrame:
     kept, deleted = usage.purge_expired(t.response_cache, as_of())
     return deleted.withColumn("kept", kept.agg(F.count("*")).scalar())
@@ -187,7 +187,7 @@ def a07(t: Tables) -> DataFrame:
 
 @R.add("a08_usage_totals", views="usage_log", sql="""
     SELECT count(*) AS total_requests, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS total_tokens, round(sum(cost_usd), 6) AS total_cost_usd,
-""" + ",\n".join(f"""CAST(count_if(operation = '{o}') AS BIGINT) AS {o}_requests,
+""" + ",\n".join(f"""count(*) FILTER (WHERE operation = '{o}') AS {o}_requests,
            CAST(coalesce(sum(tokens_in + tokens_out) FILTER (operation = '{o}'), 0) AS BIGINT) AS {o}_tokens""" for o in usage.OPERATIONS) + " FROM usage_log")
 def a08(t: Tables) -> DataFrame:
     return usage.usage_totals(t.usage_log).withColumn("total_cost_usd", F.round("total_cost_usd", 6))
@@ -371,8 +371,8 @@ def a19(t: Tables) -> DataFrame:
 
 
 @R.add("a20_completeness", views="feed_items", sql="""
-    SELECT count(*) AS total, CAST(count_if(coalesce(title, '') = '') AS BIGINT) AS missing_title,
-           CAST(count_if(coalesce(url, '') = '') AS BIGINT) AS missing_url, CAST(count_if(coalesce(guid, '') = '') AS BIGINT) AS missing_guid
+    SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(title, '') = '') AS missing_title,
+           count(*) FILTER (WHERE coalesce(url, '') = '') AS missing_url, count(*) FILTER (WHERE coalesce(guid, '') = '') AS missing_guid
     FROM feed_items""")
 def a20(t: Tables) -> DataFrame:
     return audit.completeness(feed_items(t), ["title", "url", "guid"])
@@ -384,7 +384,7 @@ def _checks(t: Tables) -> DataFrame:
 
 
 LOG_SQL = """
-    SELECT file, CAST(count_if(level = 'ERROR') AS BIGINT) AS errors, CAST(count_if(level = 'WARNING') AS BIGINT) AS warnings FROM (
+    SELECT file, count(*) FILTER (WHERE level = 'ERROR') AS errors, count(*) FILTER (WHERE level = 'WARNING') AS warnings FROM (
       SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_no DESC) AS rn FROM log_lines) WHERE rn <= 500 GROUP BY file"""
 
 
@@ -392,8 +392,8 @@ LOG_SQL = """
     WITH c AS (SELECT CASE WHEN success_count > 0 AND {RATE} < 0.5 THEN 'green' WHEN error_count > 0 THEN 'red' ELSE 'yellow' END AS colour FROM event_counts),
     l AS ({LOG_SQL}), s AS (SELECT sum(errors) AS e, sum(warnings) AS w FROM l)
     SELECT errors, warnings, CASE WHEN NOT core_ok THEN 'critical' WHEN errors > 0 OR warnings > 0 THEN 'degraded' ELSE 'normal' END AS overall_status
-    FROM (SELECT CAST(count_if(colour = 'red') + (SELECT CASE WHEN e > 0 THEN e ELSE 0 END FROM s) AS BIGINT) AS errors,
-                 CAST(count_if(colour = 'yellow') + (SELECT CASE WHEN e > 0 THEN w ELSE 0 END FROM s) AS BIGINT) AS warnings, count(*) > 0 AS core_ok FROM c)""")
+    FROM (SELECT CAST(count(*) FILTER (WHERE colour = 'red') + (SELECT CASE WHEN e > 0 THEN e ELSE 0 END FROM s) AS BIGINT) AS errors,
+                 CAST(count(*) FILTER (WHERE colour = 'yellow') + (SELECT CASE WHEN e > 0 THEN w ELSE 0 END FROM s) AS BIGINT) AS warnings, count(*) > 0 AS core_ok FROM c)""")
 def a21(t: Tables) -> DataFrame:
     log = audit.log_summary(t.log_lines)
     return audit.overall_status(_checks(t), F.count("*") > 0, log).select("errors", "warnings", "overall_status")

@@ -105,9 +105,9 @@ def t06(t: Tables) -> DataFrame:
 
 
 @R.add("t07_sliding_counts", views="source_events", sql="""
-    SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, source, CAST(count_if(event_type = 'success') AS BIGINT) AS success_count,
-           CAST(count_if(event_type = 'error') AS BIGINT) AS error_count, CAST(count_if(event_type = 'drop_old') AS BIGINT) AS drop_old_count,
-           CAST(count_if(event_type = 'drop_date') AS BIGINT) AS drop_date_count
+    SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, source, count(*) FILTER (WHERE event_type = 'success') AS success_count,
+           count(*) FILTER (WHERE event_type = 'error') AS error_count, count(*) FILTER (WHERE event_type = 'drop_old') AS drop_old_count,
+           count(*) FILTER (WHERE event_type = 'drop_date') AS drop_date_count
     FROM (SELECT *, date_trunc('hour', created_at) - to_hours(CAST(h AS INTEGER)) AS start FROM source_events, (SELECT unnest(range(24)) AS h)) GROUP BY ALL""")
 def t07(t: Tables) -> DataFrame:
     counts = jobs.sliding_event_counts(_streams(t).source_events)

@@ -112,7 +112,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                turn % 5 = 0 AS cache_hit, conv_id, turn FROM conversations)"""),
     "daily_usage": (["usage_log"], """
         SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
-               sum(cost_usd) AS cost_usd, count(*) AS calls, CAST(count_if(cache_hit) AS BIGINT) AS cache_hits
+               sum(cost_usd) AS cost_usd, count(*) AS calls, count(*) FILTER (WHERE cache_hit) AS cache_hits
         FROM usage_log GROUP BY 1"""),
     "response_cache": ([], """
         SELECT md5(text) AS cache_key, CASE item_id % 3 WHEN 0 THEN 'summarize' WHEN 1 THEN 'category' ELSE 'text_clean' END AS task_type,
@@ -134,10 +134,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         UNION ALL SELECT 'global', 'ai_summary_level', '4'"""),
     # board of source status: counts in the last day, last codes
     "event_counts": (["sources", "source_events"], f"""
-        SELECT s.code AS source, CAST(count_if(e.event_type = 'success') AS BIGINT) AS success_count,
-               CAST(count_if(e.event_type = 'error') AS BIGINT) AS error_count,
-               CAST(count_if(e.event_type = 'drop_old') AS BIGINT) AS drop_old_count,
-               CAST(count_if(e.event_type = 'drop_date') AS BIGINT) AS drop_date_count
+        SELECT s.code AS source, count(*) FILTER (WHERE e.event_type = 'success') AS success_count,
+               count(*) FILTER (WHERE e.event_type = 'error') AS error_count,
+               count(*) FILTER (WHERE e.event_type = 'drop_old') AS drop_old_count,
+               count(*) FILTER (WHERE e.event_type = 'drop_date') AS drop_date_count
         FROM sources s LEFT JOIN source_events e ON e.source = s.code AND e.created_at >= {AS_OF} - INTERVAL 24 HOUR
         GROUP BY s.code"""),
     "titles": (["items"], r"""

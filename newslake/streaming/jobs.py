@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,9 +60,10 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 # --------------------------------------------------------------- ingestion
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Rows written so far; an empty table before the first write."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
-    return spark.read.schema(like.schema).parquet(path) if exists else spark.createDataFrame([], like.schema)
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], like.schema)
 
 
 def ingest_handler(spark: SparkSession, store_path: str, drops_path: str, as_of: Callable[[DataFrame], Column],
