@@ -154,7 +154,11 @@ def seen_keys(items: DataFrame, store: DataFrame) -> DataFrame:
 def summary_eligibility(body: Column, level: Column, manual: Column, auto_min: int = 200, manual_min: int = 20) -> Column:
     """Null when a text may be summarised, else the reason against it."""
     n = F.length(strip(text(body)))
-    return F.when(level == 0, "disabled").when(n < F.when(manual, manual_min).otherwise(auto_min), "too_short")
+    return (
+        F.when(~manual & (text(body) != "") & (n < auto_min), "too_short")
+        .when(level == 0, "disabled")
+        .when(n < F.when(manual, manual_min).otherwise(auto_min), "too_short")
+    )
 
 
 def estimate_tokens(body: Column) -> Column:

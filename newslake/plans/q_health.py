@@ -249,9 +249,10 @@ def u04(t: Tables) -> DataFrame:
     return state.select("date", F.array_join(usage.degraded_features(F.col("degraded_features"), gate), ",").alias("degraded"))
 
 
-@R.add("p20_summary_eligibility", views="usage_log", sql="""
-    SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 = 0 THEN 'disabled'
-           WHEN length(trim(text, ' ' || chr(10))) < CASE WHEN turn % 3 = 0 THEN 20 ELSE 200 END THEN 'too_short' END AS reason FROM conversations""")
+@R.add("p20_summary_eligibility", sql="""
+    SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 AND text <> '' AND n < 200 THEN 'too_short' WHEN (conv_id + turn) % 6 = 0 THEN 'disabled'
+           WHEN n < CASE WHEN turn % 3 = 0 THEN 20 ELSE 200 END THEN 'too_short' END AS reason
+    FROM (SELECT *, length(trim(text, ' ' || chr(10))) AS n FROM conversations)""")
 def p20(t: Tables) -> DataFrame:
     level = (F.col("conv_id") + F.col("turn")) % 6
     return t.raw("conversations").select(
@@ -299,16 +300,17 @@ def j23(t: Tables) -> DataFrame:
 
 
 @R.add("s20_upsert_cache", views="response_cache", sql=f"""
-    WITH n AS (SELECT md5(text) AS cache_key, 'new' AS task_type, TIMESTAMP '2024-01-30 12:00:00' AS created_at,
-                      TIMESTAMP '2024-02-02 12:00:00' AS expires_at FROM benchmark WHERE item_id % 3 = 0)
+    WITH n AS (SELECT cache_key, 'renewed' AS task_type, TIMESTAMP '2024-01-30 12:00:00' AS created_at,
+                      TIMESTAMP '2024-02-02 12:00:00' AS expires_at FROM response_cache WHERE expires_at < {AS_OF})
     SELECT cache_key, task_type, strftime(expires_at, '{DUCK_TS}') AS expires_at FROM (
       SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC, src DESC) AS rn FROM (
         SELECT cache_key, task_type, created_at, expires_at, 0 AS src FROM response_cache
         UNION ALL SELECT cache_key, task_type, created_at, expires_at, 1 FROM n)) WHERE rn = 1""")
 def s20(t: Tables) -> DataFrame:
-    new = t.raw("benchmark").filter("item_id % 3 = 0").select(
-        F.md5("text").alias("cache_key"), F.lit("new").alias("task_type"), F.lit("2024-01-30 12:00:00").cast("timestamp").alias("created_at"))
+    """Expired responses are renewed."""
     table = t.response_cache.select("cache_key", "task_type", "created_at", "expires_at")
+    new = table.filter(F.col("expires_at") < as_of()).select(
+        "cache_key", F.lit("renewed").alias("task_type"), F.lit("2024-01-30 12:00:00").cast("timestamp").alias("created_at"))
     out = usage.upsert(table, usage.with_expiry(new), ["cache_key"], ["created_at"])
     return out.select("cache_key", "task_type", F.date_format("expires_at", TS).alias("expires_at"))
 

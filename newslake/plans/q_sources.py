@@ -350,16 +350,20 @@ def s16(t: Tables) -> DataFrame:
     return report.select("overall_status", F.to_json("table_counts").alias("table_counts"))
 
 
-@R.add("s17_feed_state", views="fetch_log", sql="""
+MID = "2024-01-16 00:00:00"
+
+
+@R.add("s17_feed_state", views="fetch_log", sql=f"""
     WITH s AS (SELECT url, ts, id, CASE WHEN id % 4 <> 0 THEN 'W/' || id END AS etag, CASE WHEN id % 6 <> 0 THEN 'm' || id END AS last_modified FROM fetch_log)
-    SELECT url, etag, last_modified FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC, id % 2 DESC) AS rn FROM s
-      WHERE id % 2 = 0 OR etag IS NOT NULL OR last_modified IS NOT NULL) WHERE rn = 1""")
+    SELECT url, etag, last_modified FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts DESC) AS rn FROM s
+      WHERE ts < TIMESTAMP '{MID}' OR etag IS NOT NULL OR last_modified IS NOT NULL) WHERE rn = 1""")
 def s17(t: Tables) -> DataFrame:
+    """State of the first half of the month, updated by the responses of the second."""
     k = F.col("id")
-    rows = t.fetch_log.select("url", "ts", "id", F.when(k % 4 != 0, F.concat(F.lit("W/"), k.cast("string"))).alias("etag"),
+    rows = t.fetch_log.select("url", "ts", F.when(k % 4 != 0, F.concat(F.lit("W/"), k.cast("string"))).alias("etag"),
                               F.when(k % 6 != 0, F.concat(F.lit("m"), k.cast("string"))).alias("last_modified"))
-    old, new = rows.filter("id % 2 = 0").drop("id"), rows.filter("id % 2 = 1").drop("id")
-    return sinks.upsert_feed_state(old, new).select("url", "etag", "last_modified")
+    middle = F.lit(MID).cast("timestamp")
+    return sinks.upsert_feed_state(rows.filter(F.col("ts") < middle), rows.filter(F.col("ts") >= middle)).select("url", "etag", "last_modified")
 
 
 @R.add("s19_updated_items", views="items", sql="""

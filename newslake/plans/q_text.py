@@ -61,7 +61,7 @@ def f08(t: Tables) -> DataFrame:
 
 @R.add("p02_quality_gate", views="items", sql=rf"""
     WITH g AS (SELECT id, title, source, category = 'world' AS relayed, source IN ('src1', 'src11') AS long_src,
-                      CASE WHEN id % 2 = 0 THEN 'rss' ELSE 'html' END AS kind, substr(clean_text, 1, CAST(id % 500 AS INTEGER)) AS body FROM items),
+                      CASE WHEN id % 2 = 0 THEN 'rss' ELSE 'html' END AS kind, CASE WHEN id % 3 = 0 THEN title ELSE clean_text END AS body FROM items),
     l AS (SELECT *, CASE WHEN long_src THEN 400 WHEN kind = 'rss' THEN 20 ELSE 40 END AS base FROM g),
     f AS (SELECT *, length(trim(body, {TRIM})) < base AND title <> '' AS used FROM l),
     b AS (SELECT *, CASE WHEN used THEN trim(title, {TRIM}) ELSE body END AS gate_text FROM f),
@@ -79,7 +79,7 @@ def f08(t: Tables) -> DataFrame:
 def p02(t: Tables) -> DataFrame:
     rows = t.wide_items.select(
         "id", "title", "source", (F.col("category") == "world").alias("relayed"), F.when(F.col("id") % 2 == 0, "rss").otherwise("html").alias("kind"),
-        F.substring("clean_text", F.lit(1), (F.col("id") % 500).cast("int")).alias("body"))
+        F.when(F.col("id") % 3 == 0, F.col("title")).otherwise(F.col("clean_text")).alias("body"))
     rows = rows.withColumn("src_mark", F.when(F.col("source").isin("src1", "src11"), "lenta.ru").otherwise(F.col("source")))
     out = gates.with_quality_gate(rows, "body", "title", "src_mark", "kind", F.col("relayed"), phrases=DEMO_NOISE)
     return out.select("id", "used_title", F.round("quality_score", 6).alias("quality_score"), "gate_reason")
