@@ -37,7 +37,3 @@ def wordlist(text: Column) -> Column:
     bare = F.btrim(text, F.lit(SPACE_CHARS))
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
 
-
-def without(text: Column, chars: str) -> Column:
-    """The text without the given characters."""
-    return F.translate(text, chars, "")

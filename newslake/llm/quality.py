@@ -5,15 +5,19 @@ Native: every step is a built-in expression over one row, so a scan is the only
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslake.functions.base import let
-from newslake.llm.common import SPACE_CHARS, WORD, text_of, without, wordlist
+from newslake.llm.common import SPACE, SPACE_CHARS, WORD, text_of, wordlist
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
+SYMBOL = f"[{SYMBOLS}]"
 #: A line fails if over one character in this many is a symbol.
 SYMBOL_SHARE = 10
 #: Lines of fewer words need a final punctuation mark.
@@ -36,19 +40,34 @@ LINE_PATTERNS = {
 FINISHED = r"[.!?…:;。！？][\"'”’»)\]]*\s*$"
 
 
-def line_fails(line: Column) -> Column:
+#: A pattern can match a line only if the lower-cased text holds one of these; the tests keep patterns off most texts.
+GATES = {
+    "shouted": ("!!",),
+    "menu_bar": ("|", "»", "›", "•", "·"),
+    "boilerplate": ("cookie", "privacy", "terms", "javascript", "subscribe", "sign up", "click here", "read more", "follow us",
+                    "share", "wordpress", "lorem", "skip to", "rights reserved"),
+}
+#: So many words make a line long enough to end without a mark.
+LONG_LINE = SPACE.replace("+", "*") + "(?:" + WORD + SPACE + ")" + "{%d}" % (SHORT_LINE - 1) + WORD
+
+
+def line_fails(line: Column, gates: dict[str, Column], symbols: Column) -> Column:
     """True if a line is not running text: shouted, a menu, boilerplate, symbols, or a short scrap without an end."""
     failed = F.lit(False)
-    for pattern in LINE_PATTERNS.values():
-        failed = failed | line.rlike(pattern)
-    symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    scrap = (F.regexp_count(line, F.lit(WORD)) < SHORT_LINE) & ~line.rlike(FINISHED)
-    return failed | (symbols * SYMBOL_SHARE > F.length(line)) | (F.length(F.btrim(line, F.lit(SPACE_CHARS))) > 0) & scrap
+    for name, pattern in LINE_PATTERNS.items():
+        failed = failed | (gates[name] & line.rlike(pattern) if name in gates else line.rlike(pattern))
+    scrap = ~line.rlike("^" + LONG_LINE) & ~line.rlike(FINISHED) & line.rlike(WORD)
+    return failed | (symbols > 0) & (F.regexp_count(line, F.lit(SYMBOL)) * SYMBOL_SHARE > F.length(line)) | scrap
 
 
-def clean_lines(text: Column) -> Column:
-    """The text without the lines that fail; lines without a word stay."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line_fails(line)), "\n")
+def clean_lines(text: Column, symbols: Column) -> Column:
+    """The text without the lines that fail; lines without a word stay. ``symbols`` is the text's number of symbols."""
+    def gates(lowered: Column) -> Column:
+        held = {n: reduce(or_, [F.contains(lowered, F.lit(w)) for w in words]) for n, words in GATES.items()}
+        return F.struct(symbols.alias("symbols"), *[c.alias(n) for n, c in held.items()])
+
+    return let(let(F.lower(text), gates), lambda g: F.array_join(F.filter(
+        F.split(text, "\n"), lambda line: ~line_fails(line, {n: g[n] for n in GATES}, g["symbols"])), "\n"))
 
 
 def repeated_words(words: Column) -> Column:
@@ -58,18 +77,18 @@ def repeated_words(words: Column) -> Column:
     windows together, so the cost is n log n for any text.
     """
     def windows(w: Column) -> Column:
-        bits = F.expr("0").cast("int") + F.length(F.bin(F.size(w)))
+        bits = F.length(F.bin(F.size(w)))
         mask = F.call_function("shiftleft", F.lit(-1).cast("bigint"), bits)
         return let(mask, lambda m: let(
-            F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(
-                F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(m).bitwiseOR(i.cast("bigint")))),
+            F.sort_array(F.transform(F.sequence(F.lit(0).cast("bigint"), F.size(w).cast("bigint") - 3), lambda i: F.xxhash64(
+                F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(m).bitwiseOR(i))),
             lambda s: covered(places(s, m))))
 
     def places(s: Column, m: Column) -> Column:
-        same = lambda j, k: F.get(s, j).bitwiseAND(m) == F.get(s, k).bitwiseAND(m)
-        hit = lambda j: F.coalesce(same(j, j + 1), F.lit(False)) | F.coalesce(same(j, j - 1), F.lit(False))
-        held = F.filter(F.sequence(F.lit(0), F.size(s) - 1), hit)
-        return F.sort_array(F.transform(held, lambda j: F.get(s, j).bitwiseAND(F.bitwise_not(m))))
+        held = F.filter(F.sequence(F.lit(0), F.size(s) - 2),
+                        lambda j: F.get(s, j).bitwiseXOR(F.get(s, j + 1)).bitwiseAND(m) == 0)
+        place = lambda j: F.get(s, j).bitwiseAND(F.bitwise_not(m))
+        return F.sort_array(F.array_distinct(F.concat(F.transform(held, place), F.transform(held, lambda j: place(j + 1)))))
 
     def covered(found: Column) -> Column:
         return let(found, lambda p: F.aggregate(
@@ -80,6 +99,11 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("bigint")).otherwise(windows(words))
 
 
+def word_chars(text: Column) -> Column:
+    """Code points outside white space."""
+    return (F.length(text) - F.regexp_count(text, F.lit(SPACE.rstrip("+")))).cast("bigint")
+
+
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their measures, ``clean_text`` and the verdict ``kept``, in columns named ``q_*``.
 
@@ -93,14 +117,13 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     worded = F.filter(lines, lambda line: F.length(F.btrim(line, F.lit(SPACE_CHARS))) > 0)
     measured = measured.withColumns({
         "q_n_words": F.col("q.n_words"),
-        "q_word_chars": F.length(without(t, SPACE_CHARS)).cast("bigint"),
-        "q_n_symbols": (F.length(t) - F.length(without(t, SYMBOLS))).cast("bigint"),
+        "q_word_chars": word_chars(t),
+        "q_n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("bigint"),
         "q_n_dup_lines": let(worded, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("bigint"),
         "q_n_repeat_words": F.col("q.n_repeat_words"),
-        "q_clean_text": clean_lines(t),
-    }).drop("q")
+    }).drop("q").withColumn("q_clean_text", clean_lines(t, F.col("q_n_symbols")))
     failed = (F.col("q_n_words") < MIN_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * MAX_REPEAT_PERCENT)
-    left = F.length(without(F.col("q_clean_text"), SPACE_CHARS)) * 100 >= F.col("q_word_chars") * MIN_KEPT_PERCENT
+    left = word_chars(F.col("q_clean_text")) * 100 >= F.col("q_word_chars") * MIN_KEPT_PERCENT
     return measured.withColumn("q_base_failed", failed).withColumn("q_kept", ~F.col("q_base_failed") & left)
 
 

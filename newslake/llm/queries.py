@@ -6,15 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import quality
+from newslake.llm import chat, licenses, mixing, quality, topk, urlfilter
 from newslake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing_sources(spark: SparkSession, path: str) -> DataFrame:
+    return mixing.report(table(spark, path, "documents", ["doc_id", "text", "source"]))
+
+
+def op2_url_filters(spark: SparkSession, path: str) -> DataFrame:
+    return urlfilter.judge(table(spark, path, "pages", ["page_id", "url", "html"])).drop("component")
+
+
+def op4_license_scans(spark: SparkSession, path: str) -> DataFrame:
+    return licenses.scan(table(spark, path, "documents", ["doc_id", "text"]))
+
+
 def op5_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     return quality.report(table(spark, path, "documents", ["doc_id", "text"]))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_quality_rules,)}
-SQL: dict[str, str] = {"op5_quality_rules": quality.sql()}
+def op7_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
+    return chat.report(chat.with_control_strings(spark, table(spark, path, "conversations")))
+
+
+def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
+    return topk.report(table(spark, path, "embeddings", ["vec_id", "embedding"]))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_mixing_sources, op2_url_filters, op4_license_scans, op5_quality_rules, op7_chat_formatting, op10_exact_topk,
+)}
+SQL: dict[str, str] = {
+    "op2_url_filters": urlfilter.sql(), "op5_quality_rules": quality.sql(), "op7_chat_formatting": chat.sql(),
+    "op10_exact_topk": topk.sql(),
+}
