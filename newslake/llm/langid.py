@@ -128,15 +128,13 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """The documents plus ``lang_pred``, ``score`` and ``ambiguous``; reads the column ``text`` alone.
 
     A null text or one without a letter is ``und`` with score 0, as is any text if the model knows no language. Repeated
-    rows get equal answers, an empty table gives an empty one, and clashing columns are replaced.
+    rows get equal answers, an empty table gives an empty one, and clashing columns are replaced. The model travels with the task: languages times ``BUCKETS`` numbers.
     """
     kept = docs.drop("lang_pred", "score", "ambiguous")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages times BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in batches:
-            found = [known.predict(t.as_py()) for t in batch.column("text")]
+            found = [model.predict(t.as_py()) for t in batch.column("text")]
             columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"]
             names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import chat, licenses, mixing, quality, topk, urlfilter
+from newslake.llm import chat, langid, licenses, mixing, neardup, quality, topk, urlfilter
 from newslake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_url_filters(spark: SparkSession, path: str) -> DataFrame:
     return urlfilter.judge(table(spark, path, "pages", ["page_id", "url", "html"])).drop("component")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return neardup.report(table(spark, path, "documents", ["doc_id", "text"]))
+
+
 def op4_license_scans(spark: SparkSession, path: str) -> DataFrame:
     return licenses.scan(table(spark, path, "documents", ["doc_id", "text"]))
 
@@ -32,12 +36,17 @@ def op7_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.report(chat.with_control_strings(spark, table(spark, path, "conversations")))
 
 
+def op9_language_id(spark: SparkSession, path: str) -> DataFrame:
+    return langid.report(table(spark, path, "documents", ["doc_id", "text", "lang"]))
+
+
 def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
     return topk.report(table(spark, path, "embeddings", ["vec_id", "embedding"]))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing_sources, op2_url_filters, op4_license_scans, op5_quality_rules, op7_chat_formatting, op10_exact_topk,
+    op1_mixing_sources, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_quality_rules, op7_chat_formatting,
+    op9_language_id, op10_exact_topk,
 )}
 SQL: dict[str, str] = {
     "op2_url_filters": urlfilter.sql(), "op5_quality_rules": quality.sql(), "op7_chat_formatting": chat.sql(),
