@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import chat, langid, licenses, mixing, neardup, quality, topk, urlfilter
+from newslake.llm import bpe, chat, langid, licenses, mixing, neardup, quality, topk, urlfilter
 from newslake.llm.common import table
 
+#: Rank file of the tokenizer, among the public vocabularies.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -36,6 +40,10 @@ def op7_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.report(chat.with_control_strings(spark, table(spark, path, "conversations")))
 
 
+def op8_byte_level_bpe(spark: SparkSession, path: str) -> DataFrame:
+    return bpe.report(table(spark, path, "documents", ["doc_id", "text"]), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op9_language_id(spark: SparkSession, path: str) -> DataFrame:
     return langid.report(table(spark, path, "documents", ["doc_id", "text", "lang"]))
 
@@ -46,7 +54,7 @@ def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mixing_sources, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_quality_rules, op7_chat_formatting,
-    op9_language_id, op10_exact_topk,
+    op8_byte_level_bpe, op9_language_id, op10_exact_topk,
 )}
 SQL: dict[str, str] = {
     "op2_url_filters": urlfilter.sql(), "op5_quality_rules": quality.sql(), "op7_chat_formatting": chat.sql(),
