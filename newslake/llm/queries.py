@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newslake.llm import bpe, chat, langid, licenses, mixing, neardup, quality, topk, urlfilter
+from newslake.llm import bpe, chat, langid, licenses, mixing, neardup, quality, suffixdedup, topk, urlfilter
 from newslake.llm.common import table
 
 #: Rank file of the tokenizer, among the public vocabularies.
@@ -36,6 +36,10 @@ def op5_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     return quality.report(table(spark, path, "documents", ["doc_id", "text"]))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return suffixdedup.report(table(spark, path, "documents", ["doc_id", "text"]))
+
+
 def op7_chat_formatting(spark: SparkSession, path: str) -> DataFrame:
     return chat.report(chat.with_control_strings(spark, table(spark, path, "conversations")))
 
@@ -53,7 +57,7 @@ def op10_exact_topk(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mixing_sources, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_quality_rules, op7_chat_formatting,
+    op1_mixing_sources, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_quality_rules, op6_suffix_array_dedup, op7_chat_formatting,
     op8_byte_level_bpe, op9_language_id, op10_exact_topk,
 )}
 SQL: dict[str, str] = {
