@@ -22,7 +22,7 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrase and label of the base detections.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-VERSION = r"(?: version| v)?"
+VERSION = r"(?: version)? v?"
 GRANTS = r"(?:released|licensed|distributed|available|provided|published|covered|made available) under (?:the )?(?:terms of )?(?:the )?"
 
 
@@ -38,13 +38,13 @@ def rules() -> list[tuple[int, str, str, str]]:
     tails = (("-or-later", r"(?: or| and)(?: at your option)?(?: any)? later(?: version)?"), ("-only", r" only"), ("", ""))
     for (label, keyword, long, short), version, (suffix, tail) in product(gnu, ("1", "2", "2 1", "3"), tails):
         name = f"{label}-{version.replace(' ', '.')}{suffix}"
-        out.append((name, keyword, long + VERSION + " " + version + r"(?: 0)?" + tail))
-        out.append((name, short, short + VERSION + " ?" + version + r"(?: 0)?" + tail))
+        out.append((name, keyword, long + VERSION + version + r"(?: 0)?" + tail))
+        out.append((name, short, short + "(?: version)? ?v?" + version + r"(?: 0)?" + tail))
     for parts, version in product(("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by"), ("1 0", "2 0", "2 5", "3 0", "4 0", "")):
         name = f"cc-{parts.replace(' ', '-')}" + (f"-{version.replace(' ', '.')}" if version else "")
         long = " ".join({"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}[p]
                         for p in parts.split())
-        tail = f"(?: license)?{VERSION} {version}" if version else ""
+        tail = f"(?: license)?{VERSION}{version}" if version else ""
         out.append((name, "cc by", f"cc {parts}{tail}"))
         out.append((name, "creative commons", f"creative commons {long}{tail}"))
         out.append((name, "creativecommons", f"creativecommons org licenses {parts}{' ' + version if version else ''}"))
@@ -67,7 +67,7 @@ def rules() -> list[tuple[int, str, str, str]]:
     for label, keyword, form, versions in versioned:
         for version in (*versions, ""):
             name = label + (f"-{version.replace(' ', '.')}" if version else "")
-            tail = f"{VERSION} {version}" if version else ""
+            tail = f"{VERSION}{version}" if version else ""
             out += [(name, keyword, GRANTS + form + tail), (name, keyword, form + tail)]
     plain = (
         ("mit", "mit license", r"mit license"),
@@ -130,8 +130,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, the base measures, labels, score and ``n_detections``.
 
     A null or empty text has no words and score 0. Every row counts by itself, repeated ids included; equal detections of
-    two rules keep the one of better priority; other columns are not read; an empty table gives an empty one. The score is
-    the share of the detections' words that a grant or title needs: 1 - 1 / (1 + distinct labels).
+    two rules keep the one of better priority; other columns are not read; an empty table gives an empty one. The score
+    is 1 - 1 / (1 + number of labels).
     """
     table = rules()
     keywords = sorted({r[2] for r in table})

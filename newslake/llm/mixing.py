@@ -159,6 +159,6 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     plan = cut(mix(numbered, "mix_row").where("taken > 0").select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")))
     copies = numbered.join(plan, "mix_row").withColumn("mix_copy", F.explode(F.expr("sequence(0L, (mix_taken - 1) div mix_size)")))
     left = F.col("mix_taken") - F.col("mix_copy") * F.col("mix_size")
-    head = F.concat(F.lit(f"^(?:{SPACE.replace('+', '*')}{WORD}){{"), left.cast("string"), F.lit("}"))
+    head = F.concat(F.lit(f"^(?:{SPACE.replace('+', '*+')}{WORD}+){{"), left.cast("string"), F.lit("}+"))  # possessive: no stack
     part = F.call_function("regexp_extract", F.col("text"), head, F.lit(0))
     return copies.withColumn("text", F.when(left >= F.col("mix_size"), F.col("text")).otherwise(part)).select(*docs.columns)

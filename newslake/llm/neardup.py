@@ -32,7 +32,7 @@ BLOCK = 384
 #: Bytes of texts that are hashed together.
 RUN = 1 << 21
 
-SIGNED = "doc_id long, mark long, n_shingles long, digest binary, keys array<bigint>, signature binary"
+SIGNED = "doc_id long, row long, mark long, n_shingles long, digest binary, keys array<bigint>, signature binary"
 
 
 class Signer:
@@ -72,14 +72,14 @@ def signed(docs: DataFrame) -> DataFrame:
                 keys, low = signer.sign([sets[i] for i in held]) if held else ([], [])
                 place = dict(zip(held, range(len(held))))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, len(texts)), batch.column("mark").slice(at, len(texts)),
+                    *(batch.column(c).slice(at, len(texts)) for c in ("doc_id", "row", "mark")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([keys[place[i]].tolist() if i in place else None for i in range(len(sets))], pa.list_(pa.int64())),
                     pa.array([low[place[i]].tobytes() if i in place else None for i in range(len(sets))], pa.binary()),
-                ], names=["doc_id", "mark", "n_shingles", "digest", "keys", "signature"])
+                ], names=["doc_id", "row", "mark", "n_shingles", "digest", "keys", "signature"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "row", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, SIGNED)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -172,16 +172,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return ordered.select("bucket", "i", "j", "node", "at", "shingles", "signature").mapInArrow(_tile_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Rows row, doc_id, n_shingles, component_id, kept and ``group`` (a number of the component).
 
     Words are separated by white space, A-Z count as a-z. A document with fewer words than a shingle has one shingle, one
     without words or text none, and is linked with nothing. ``component_id`` is the smallest id of the component; a row is
     kept if it has that id. Equal sets are one class from the start, so copies cost one row each. Rows that repeat an id
     are linked by their texts like any others; a null id is smaller than none, and a component without ids keeps its rows
-    without one. Columns other than doc_id and text are not read; an empty table gives an empty one.
+    without one. ``row`` names a column that numbers the rows; without one they are numbered. Columns other than doc_id and text are not read; an empty table gives an empty one.
     """
-    rows = cut(signed(docs).withColumn("row", F.monotonically_increasing_id()))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = cut(signed(docs.select("doc_id", "text", number.alias("row"))))
     first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r"))
     lead = cut(first.select("digest", F.col("r.row").alias("node")))
     classes = cut(lead.select(F.col("node").alias("row")).join(rows, "row").withColumnRenamed("row", "node"))
@@ -196,3 +197,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One document of each group; of rows that repeat the id that stays, the first."""
+    numbered = cut(docs.withColumn("near_row", F.monotonically_increasing_id()))
+    judged = near_duplicates(numbered, "near_row").where("kept")
+    chosen = cut(judged.groupBy("group").agg(F.min("row").alias("near_row")).select("near_row"))
+    return numbered.join(chosen, "near_row", "left_semi").select(*docs.columns)

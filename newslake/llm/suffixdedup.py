@@ -286,7 +286,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def stripped(docs: DataFrame) -> DataFrame:
-    """The documents without the removed bytes; parts of characters that a cut leaves are dropped, and empty texts stay."""
+    """The documents without the removed bytes; parts of characters that a cut leaves become U+FFFD, and empty texts stay."""
     judged, _ = removal(docs)
     changed = cut(judged.where("rest IS NOT NULL").select(F.col("key").alias("k"), F.col("extra").alias("x"), "rest"))
     named = _named(docs).join(changed, (F.col("key") == F.col("k")) & (F.col("extra") == F.col("x")), "left")
