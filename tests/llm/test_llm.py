@@ -220,7 +220,7 @@ def test_url_filter(spark, checkpoints, none):
     got = {r.page_id: r for r in urlfilter.judge(df).collect()}
     verdicts = {k: r.verdict for k, r in got.items()}
     blocked = {k for k, v in verdicts.items() if v == "block"}
-    assert blocked == {1, 2, 3, 4, 8, 13} and got[12].verdict == "allow" and got[12].rule is None
+    assert blocked == {1, 2, 3, 4, 8, 13} and got[12].verdict == "allow" and got[12].rule == "org/"
     assert (got[7].host, got[7].path, got[5].host, got[6].path) == ("x.org", "", "", "") and got[7].rule is None
     assert got[9].component == got[10].component and got[14].component == got[15].component and got[11].component is None
     more = spark.createDataFrame([("http://b.net/z?q=1", "http://b.net/z"), (None, "x")], "from_url string, to_url string")
