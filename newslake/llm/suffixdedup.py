@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.anchors import LENGTH, SPAN, Piece, runs
+from newslake.llm.anchors import LENGTH, PIECE, SPAN, Piece, runs
 from newslake.llm.common import cut, text_of
 from newslake.llm.shingles import mix
 
@@ -91,7 +91,7 @@ def _scan(summary: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def _blocks(summary: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Blocks of the runs' starts: the bucket is the hash of the bytes that all strings of the block share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             key, place, piece, at = _around(batch)
             anchor, high, low = _unpack(place)
             a = at + high
@@ -114,6 +114,13 @@ def _blocks(summary: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = PIECE // (LENGTH + SPAN)) -> Iterator[pa.RecordBatch]:
+    """Parts of batches whose surroundings fit into one piece."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _around(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Piece, np.ndarray]:
     """Keys and places of a batch of surroundings, their bytes joined, and where each begins."""
     parts = [t.as_py() for t in batch.column("around")]
@@ -124,7 +131,7 @@ def _around(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Piece, np.nd
 def _singles(summary: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Single starts of the listed blocks: bucket (gram) and hash of the string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             key, place, piece, at = _around(batch)
             anchor, high, _ = _unpack(place)
             gram = batch.column("bucket").to_numpy()
