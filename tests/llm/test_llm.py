@@ -323,3 +323,11 @@ def test_top_k_on_odd_rows(spark, checkpoints, monkeypatch):
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
     assert sort(topk.report(df).collect()) == sort(want)
     assert topk.report(df.where("false")).collect() == []
+
+
+def test_repeated_bytes_with_many_surroundings_in_a_batch(spark, checkpoints):
+    rng = random.Random(6)
+    shared = ["".join(rng.choice("abcdefghij ") for _ in range(420)) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(shared)[rng.randrange(150):] + f" {rng.random()} " for _ in range(60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sort(suffixdedup.report(df).collect()) == sort(brute.repeated_bytes(rows))
