@@ -25,11 +25,10 @@ from newslake.operators.health import recent
 from newslake.session import cut
 
 RADIUS = 6
-RECENT_LIMIT = 1500
-# A store side up to this many fingerprints is small enough to be sent to every task.
-BROADCAST_ROWS = 20_000
-# Above this many rows keep-first clears clusters of near copies before it looks deeper into keys.
-LARGE_BATCH = 100_000
+# Runs into which a fingerprint is cut: more of them make longer, rarer keys, and more keys per row.
+BLOCKS = 8
+# Titles of more words are compared on single words instead of triples.
+LONG_TITLE = 40
 
 
 # ------------------------------------------------------------ exact stages
@@ -58,28 +57,32 @@ def staged_first_wins(items: DataFrame, stages: dict[str, Column] | None = None)
 
 def unseen_keys(items: DataFrame, store: DataFrame) -> DataFrame:
     """Drop items whose guid or address hash is stored (two anti joins)."""
-    stored = lambda c: store.select(c).filter(text(c) != "").distinct()
-    return items.join(stored("guid"), "guid", "left_anti").join(stored("url_hash"), "url_hash", "left_anti").select(*items.columns)
+    return _unseen(_unseen(items, store, "guid"), store, "url_hash")
+
+
+def _unseen(items: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Items whose key is not stored; an item without one joins on a value of its own, so such items never meet in one task."""
+    stored = store.select(F.col(key).alias("_k")).filter(text("_k") != "").distinct()
+    own = F.when(text(key) == "", F.concat(F.lit("\x00"), F.col("id").cast("string"))).otherwise(F.col(key))
+    return items.join(stored, own == F.col("_k"), "left_anti")
 
 
 def unseen_addresses(items: DataFrame, store: DataFrame) -> DataFrame:
-    stored = store.select("url_normalized").filter(text("url_normalized") != "").distinct()
-    return items.join(stored, "url_normalized", "left_anti").select(*items.columns)
+    return _unseen(items, store, "url_normalized")
 
 
 def unseen_checksums(items: DataFrame, store: DataFrame, as_of: Column, hours: int = 48) -> DataFrame:
     """Drop items whose content was published within the last hours."""
-    stored = recent(store, "published_at", as_of, hours).select("checksum").filter(text("checksum") != "").distinct()
-    return items.join(stored, "checksum", "left_anti").select(*items.columns)
+    return _unseen(items, recent(store, "published_at", as_of, hours), "checksum")
 
 
 # -------------------------------------------------------------- fingerprints
-def recent_fingerprints(store: DataFrame, as_of: Column, hours: int = 48, limit: int = RECENT_LIMIT) -> DataFrame:
-    """Newest stored fingerprints (a top-k)."""
-    return (
-        recent(store, "published_at", as_of, hours).filter(F.col("simhash").isNotNull())
-        .orderBy(F.desc("published_at"), F.desc("id")).limit(limit).select("simhash")
-    )
+def recent_fingerprints(store: DataFrame, as_of: Column, hours: int = 48, limit: int | None = None) -> DataFrame:
+    """Stored fingerprints of the horizon; with ``limit`` the newest of them (a top-k)."""
+    kept = recent(store, "published_at", as_of, hours).filter(F.col("simhash").isNotNull())
+    if limit is not None:
+        kept = kept.orderBy(F.desc("published_at"), F.desc("id")).limit(limit)
+    return kept.select("simhash")
 
 
 def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -99,43 +102,21 @@ def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     return masks
 
 
-def blocks_for(rows: int) -> int:
-    """Number of blocks for which a key is shared by only a few unrelated rows."""
-    for blocks, most in ((7, 500), (8, 20_000), (9, 500_000), (10, 10_000_000)):
-        if rows <= most:
-            return blocks
-    return 11
-
-
 def fingerprint_keys(h: Column, masks: list[int]) -> Column:
     """Array of keys (mask number, masked bits) of a fingerprint."""
     return F.array(*[F.struct(F.lit(i).alias("m"), h.bitwiseAND(F.lit(mask)).alias("v")) for i, mask in enumerate(masks)])
 
 
-def not_near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, max_rows: int | None = None) -> DataFrame:
-    """Items without a stored fingerprint within the radius.
+def not_near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Items without a stored fingerprint within the radius."""
+    return items.join(near_stored(items, fingerprints, radius, blocks).select("id"), "id", "left_anti")
 
-    ``max_rows`` is a proven bound of the stored side (such as a top-k limit).  Within
-    ``BROADCAST_ROWS`` that side is written once, broadcast, and probed by seven map-side anti
-    joins, so the items are not shuffled; otherwise the keyed join of ``near_stored`` decides.
-    """
-    if max_rows is None or max_rows > BROADCAST_ROWS:
-        return items.join(near_stored(items, fingerprints, radius).select("id"), "id", "left_anti")
-    store = cut(fingerprints.select(F.col("simhash").alias("_s")).distinct())
-    for mask in block_masks(7, radius):
-        same = F.col("simhash").bitwiseAND(F.lit(mask)) == F.col("_s").bitwiseAND(F.lit(mask))
-        items = items.join(F.broadcast(store), same & (fp.hamming("simhash", "_s") <= radius), "left_anti")
-    return items
-
-
-def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, max_rows: int | None = None) -> DataFrame:
-    """Items within the radius of a stored fingerprint; an unbounded store is joined on keys sized for it."""
-    if max_rows is not None and max_rows <= BROADCAST_ROWS:
-        items = items.filter(F.col("simhash").isNotNull())
-        return items.join(not_near_stored(items, fingerprints, radius, max_rows).select("id"), "id", "left_anti")
-    store = cut(fingerprints.select(F.col("simhash").alias("_s")).distinct())  # counted and read
-    masks = block_masks(blocks_for(store.count()), radius)
+
+def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Items within the radius of a stored fingerprint, found on keys that such pairs must share."""
+    masks = block_masks(blocks, radius)
     probe = items.filter(F.col("simhash").isNotNull()).select("id", "simhash", F.explode(fingerprint_keys(F.col("simhash"), masks)).alias("k"))
+    store = fingerprints.select(F.col("simhash").alias("_s")).distinct()
     index = store.select("_s", F.explode(fingerprint_keys(F.col("_s"), masks)).alias("k"))
     hit = probe.join(index, (probe["k"] == index["k"]) & (fp.hamming("simhash", "_s") <= radius), "left_semi")
     return items.join(hit.select("id").distinct(), "id", "left_semi")
@@ -161,7 +142,20 @@ def overlap_keys(tokens: Column, threshold: float) -> Column:
     common, and in one fixed word order the first ``c`` common words lie in the
     first ``n - ceil(threshold·n) + c`` words of both.  The order is longest word first,
     which puts rarer words in front without a pass over word counts.
+
+    Triples of a long title's head would be many, so titles of over ``LONG_TITLE`` words show single words (``c`` = 1).
+    Titles that reach the threshold differ in length by no more than its share, so titles down to that share of
+    ``LONG_TITLE`` show both kinds of keys and every pair has one kind in common.
     """
+    n = F.size(tokens)
+    none = F.array().cast("array<string>")
+    short = F.when(n <= LONG_TITLE, _combined_keys(tokens, threshold)).otherwise(none)
+    single = F.slice(tokens, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1)
+    long = F.when(n >= int(LONG_TITLE * threshold), F.transform(single, lambda w: F.concat(F.lit("1|"), w))).otherwise(none)
+    return F.concat(short, long)
+
+
+def _combined_keys(tokens: Column, threshold: float) -> Column:
     c = min(3, ceil(3 * threshold - 1e-9))
     n = F.size(tokens)
     head = F.slice(tokens, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + c)
@@ -262,8 +256,8 @@ def guid_family() -> Family:
     return Family("guid", [(0, key)], [], F.lit(True))
 
 
-def fingerprint_family(rows: int, radius: int = RADIUS) -> Family:
-    masks = block_masks(blocks_for(rows), radius)
+def fingerprint_family(radius: int = RADIUS, blocks: int = BLOCKS) -> Family:
+    masks = block_masks(blocks, radius)
     keys = F.when(F.col("simhash").isNotNull(), fingerprint_keys(F.col("simhash"), masks))
     return Family("simhash", [(0, keys)], ["simhash"], fp.hamming("e_simhash", "l_simhash") <= radius)
 
@@ -315,8 +309,7 @@ def greedy_keep_first(items: DataFrame, families: list[Family], depth: int = 256
     """Sequential keep-first: an item is dropped if an earlier kept item conflicts with it.
 
     A round looks at conflicts with the first ``depth`` undecided rows of each key, so a
-    key costs linear work.  On a large input the first round uses depth 1: there the first of a
-    cluster of near copies removes the whole cluster at once.  Items with earlier
+    key costs linear work; a small depth suits inputs with large clusters of near copies.  Items with earlier
     rows beyond the depth wait for a later round; no conflict is left out.  Conflict edges and
     undecided rows are written to the checkpoint folder.
     """
@@ -327,10 +320,9 @@ def greedy_keep_first(items: DataFrame, families: list[Family], depth: int = 256
             on_round(round_no, n)
         if n == 0:
             break
-        reach = 1 if round_no == 0 and n > LARGE_BATCH else depth
         # key rows are read by both results; if an executor takes its copies along, they are computed again
         keyed = [f.rows(left).persist(StorageLevel.MEMORY_AND_DISK) for f in families]
-        found = [_conflicts(rows, f, reach) for rows, f in zip(keyed, families)]
+        found = [_conflicts(rows, f, depth) for rows, f in zip(keyed, families)]
         edges = cut(_union([e for e, _ in found]).distinct())
         waiting = cut(_union([w for _, w in found]).distinct())
         for rows in keyed:
@@ -346,7 +338,7 @@ def greedy_keep_first(items: DataFrame, families: list[Family], depth: int = 256
             dropped.append(gone)
             # every conflict of a dropped row vanishes, on either side
             edges = cut(edges.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("e")), "e", "left_anti"))
-            waiting = waiting.join(gone, "l", "left_anti")
+            waiting = cut(waiting.join(gone, "l", "left_anti"))
         out = _union(dropped).select(F.col("l").alias("id")) if dropped else None
         rest = left.join(out, "id", "left_anti") if out is not None else left
         pending = edges.select(F.col("l").alias("id")).unionByName(waiting.select(F.col("l").alias("id"))).distinct()
@@ -366,8 +358,7 @@ def near_duplicate_resolution(items: DataFrame, as_of: Column, threshold: float
         F.array_sort(tx.title_words("title"), lambda a, b: F.when(F.length(a) > F.length(b), -1)
                      .when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("tokens"),
     )
-    slim = cut(slim)
-    families = [guid_family(), fingerprint_family(slim.count(), radius), *title_families(as_of, threshold)]
+    families = [guid_family(), fingerprint_family(radius), *title_families(as_of, threshold)]
     return items.join(greedy_keep_first(slim, families).select("id"), "id", "left_semi")
 
 

@@ -9,8 +9,6 @@ from newslake.functions import fingerprint as fp, tagging as tg, text as tx, url
 from newslake.operators import dedup, gates
 from newslake.session import cut
 
-TICK_LIMIT = 40
-
 
 def enrich(items: DataFrame, tax: tg.Taxonomy = tg.DEFAULT, classify: bool = True) -> DataFrame:
     """Language, hashes, canonical address, fingerprint and category of collected items; all narrow."""
@@ -36,9 +34,9 @@ def split_fresh(items: DataFrame, as_of: Column, **kwargs) -> tuple[DataFrame, D
 KEY_COLUMNS = ["id", "arrival_idx", "title", "guid", "url_hash", "checksum", "url_normalized", "simhash", "published_at", "category"]
 
 
-def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category: str | None = None, limit: int | None = TICK_LIMIT,
+def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category: str | None = None, limit: int | None = None,
                     title_threshold: float = 0.85) -> DataFrame:
-    """Ids of the fresh, enriched items that survive all duplicate rules, the first ``limit`` of them by arrival.
+    """Ids of the fresh, enriched items that survive all duplicate rules; with ``limit`` the first of them by arrival.
 
     Cheap rules run first, and all of them see key columns only; the caller joins the texts back for the
     survivors.  ``store`` holds the items published before.
@@ -50,7 +48,7 @@ def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category:
     rows = dedup.unseen_keys(rows, store)
     rows = dedup.unseen_addresses(rows, store)
     rows = dedup.unseen_checksums(rows, store, as_of)
-    rows = cut(dedup.not_near_stored(rows, dedup.recent_fingerprints(store, as_of), max_rows=dedup.RECENT_LIMIT))
+    rows = cut(dedup.not_near_stored(rows, dedup.recent_fingerprints(store, as_of)))
     day = store.filter(F.col("published_at") > as_of - F.expr("interval 1 day"))
     rows = rows.join(dedup.similar_titles(rows, day, title_threshold).select("id"), "id", "left_anti")
     rows = dedup.near_duplicate_resolution(rows, as_of, title_threshold).select("id", "arrival_idx")
@@ -65,7 +63,7 @@ def with_tags(items: DataFrame, tax: tg.Taxonomy = tg.DEFAULT) -> DataFrame:
 
 
 def tick(items: DataFrame, store: DataFrame, as_of: Column, tax: tg.Taxonomy = tg.DEFAULT, category: str | None = None,
-         limit: int | None = TICK_LIMIT) -> tuple[DataFrame, DataFrame]:
+         limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(published rows with tags, drop events) of one batch of collected items.
 
     The keys of all fresh items are computed once; the full rows are enriched and tagged only for the survivors.

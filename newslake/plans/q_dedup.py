@@ -160,7 +160,7 @@ def j04(t: Tables) -> DataFrame:
     late, horizon = as_of() - F.make_dt_interval(hours=F.lit(12)), as_of() - F.expr("interval 48 hours")
     new = _prints(t.wide_items.filter(F.col("published_at") > late))
     old = _prints(t.wide_items.filter((F.col("published_at") <= late) & (F.col("published_at") > horizon)))
-    return dedup.not_near_stored(new, dedup.recent_fingerprints(old, as_of(), 48), max_rows=dedup.RECENT_LIMIT).select("id")
+    return dedup.not_near_stored(new, dedup.recent_fingerprints(old, as_of(), 48)).select("id")
 
 
 @R.add("j04b_near_all", views="simhashes", sql=f"""

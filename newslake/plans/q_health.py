@@ -154,11 +154,15 @@ def w04(t: Tables) -> DataFrame:
 @R.add("w05_cooldown_state", views="fetch_log", sql=f"""
     WITH c AS (SELECT *, CASE WHEN kind = 'rss' THEN CASE status WHEN 403 THEN 1800 WHEN 404 THEN 3600 WHEN 429 THEN 300 WHEN 503 THEN 300 END
                               ELSE CASE status WHEN 403 THEN 600 WHEN 429 THEN 600 END END AS secs FROM fetch_log),
-    s AS (SELECT *, ts + to_seconds(secs) AS sets FROM c),
+    f AS (SELECT *, lag(ts) OVER w AS prev FROM fetch_log WHERE failed WINDOW w AS (PARTITION BY url ORDER BY ts, id)),
+    g AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 600000000 THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY url ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS seg FROM f),
+    r AS (SELECT id, row_number() OVER (PARTITION BY url, seg ORDER BY ts, id) AS streak_no FROM g),
+    s AS (SELECT c.*, CASE WHEN streak_no % 3 = 0 THEN ts + INTERVAL 900 SECOND ELSE ts + to_seconds(secs) END AS sets FROM c LEFT JOIN r USING (id)),
     l AS (SELECT *, last_value(sets IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM s)
     SELECT id, url, strftime(until, '{DUCK_TS}') AS until, coalesce(until > ts, FALSE) AS in_cooldown FROM l""")
 def w05(t: Tables) -> DataFrame:
-    return health.cooldown_states(t.fetch_log, with_streaks=False).select("id", "url", F.date_format("until", TS).alias("until"), "in_cooldown")
+    return health.cooldown_states(t.fetch_log).select("id", "url", F.date_format("until", TS).alias("until"), "in_cooldown")
 
 
 @R.add("p16_error_codes", views="fetch_log", sql="""

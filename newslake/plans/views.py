@@ -9,7 +9,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "items": ([], """
         SELECT doc_id + 1 AS id, doc_id AS arrival_idx,
                'https://' || source || '.example.com/item/' || doc_id AS url,
-               substr(split_part(text, chr(10), 1), 1, 200) AS title, source,
+               split_part(text, chr(10), 1) AS title, source,
                CASE doc_id % 4 WHEN 0 THEN 'world' WHEN 1 THEN 'russia' WHEN 2 THEN 'moscow' ELSE 'moscow_region' END AS category,
                text AS clean_text,
                TIMESTAMP '2024-01-30 23:59:00' - to_hours(CAST(doc_id % 72 AS INTEGER)) AS published_at, lang AS doc_lang,

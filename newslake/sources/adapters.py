@@ -71,7 +71,7 @@ class Tables:
             docs.select(
                 (d + 1).alias("id"), d.alias("arrival_idx"),
                 F.concat(F.lit("https://"), "source", F.lit(".example.com/item/"), d.cast("string")).alias("url"),
-                F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200).alias("title"),
+                F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
                 "source",
                 _choose(d % 4, "world", "russia", "moscow", "moscow_region").alias("category"),
                 F.col("text").alias("clean_text"),

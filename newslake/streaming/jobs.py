@@ -67,7 +67,7 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def ingest_handler(spark: SparkSession, store_path: str, drops_path: str, as_of: Callable[[DataFrame], Column],
-                   limit: int | None = ingest.TICK_LIMIT) -> Callable[[DataFrame, int], None]:
+                   limit: int | None = None) -> Callable[[DataFrame, int], None]:
     """Batch handler of the ingestion stream: freshness split, duplicate rules against the store, append.
 
     Late and too-early rows go to ``drops_path`` as events instead of vanishing behind a watermark.  The
@@ -105,9 +105,9 @@ def near_duplicate_handler(spark: SparkSession, store_path: str, as_of: Column)
     def handle(batch: DataFrame, batch_id: int) -> None:
         stored = _stored(spark, store_path, batch.withColumn("batch", F.lit(0))).filter(F.col("batch") < batch_id)
         batch = cut(batch)  # read by several steps; the fingerprints are computed once
-        far = dedup.not_near_stored(batch, dedup.recent_fingerprints(stored, as_of), max_rows=dedup.RECENT_LIMIT)
+        far = dedup.not_near_stored(batch, dedup.recent_fingerprints(stored, as_of))
         slim = far.select("id", "arrival_idx", "simhash")
-        kept = dedup.greedy_keep_first(slim, [dedup.fingerprint_family(slim.count())]).select("id")
+        kept = dedup.greedy_keep_first(slim, [dedup.fingerprint_family()]).select("id")
         far.join(kept, "id", "left_semi").write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
 
     return handle

@@ -83,13 +83,13 @@ def test_block_masks_never_miss(blocks):
         assert any((a & m & (2**64 - 1)) == (b & m & (2**64 - 1)) for m in masks)
 
 
-@pytest.mark.parametrize("bound", [None, 1500])
-def test_near_stored(items, batch, bound):
+@pytest.mark.parametrize("blocks", [7, 8, 9])
+def test_near_stored(items, batch, blocks):
     new, old = items.filter("id >= 130"), items.filter("id < 130")
     want = {r[0] for r in batch[130:] if any(distance(r[4], o[4]) <= 6 for o in batch[:130])}
-    got = {r.id for r in dedup.near_stored(new, old, max_rows=bound).select("id").collect()}
+    got = {r.id for r in dedup.near_stored(new, old, blocks=blocks).select("id").collect()}
     assert got == want
-    rest = {r.id for r in dedup.not_near_stored(new, old, max_rows=bound).select("id").collect()}
+    rest = {r.id for r in dedup.not_near_stored(new, old, blocks=blocks).select("id").collect()}
     assert rest == {r[0] for r in batch[130:]} - want
 
 
@@ -110,7 +110,7 @@ def test_greedy_keep_first(items, batch, depth):
     slim = items.select("id", "arrival_idx", "guid", "simhash", "published_at",
                         dedup.squeeze(tx.normalized_title("title")).alias("norm"), tx.title_words("title").alias("tokens"))
     slim = slim.withColumn("tokens", F.array_sort("tokens"))
-    families = [dedup.guid_family(), dedup.fingerprint_family(260), *dedup.title_families(now(), 0.85)]
+    families = [dedup.guid_family(), dedup.fingerprint_family(), *dedup.title_families(now(), 0.85)]
     got = {r.id for r in dedup.greedy_keep_first(slim, families, depth=depth).select("id").collect()}
     assert got == {r[0] for r in kept}
     assert len(kept) < len(batch)
