@@ -6,6 +6,9 @@ narrow stage.  Pages with broken nesting can differ from a DOM parser's view.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,15 +48,25 @@ def _numeric_entities(c: Column) -> Column:
 
 
 def unescape(c: ColumnOrName) -> Column:
-    """Character entities to characters: numeric ones and a fixed set of names."""
-    return let(col(c), lambda raw: F.when(F.contains(raw, F.lit("&")), _unescaped(raw)).otherwise(raw))
+    """Character entities to characters: numeric ones and all names of HTML 5."""
+    return let(col(c), lambda raw: F.when(F.contains(raw, F.lit("&")), _named_entities(_numeric_entities(raw))).otherwise(raw))
+
+
+#: Names that count without a semicolon, the longest first.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
 
+def _named_entities(c: Column) -> Column:
+    """Replace &name; by splitting at the marker and looking up each piece's head."""
+    table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
 
-def _unescaped(raw: Column) -> Column:
-    out = _numeric_entities(raw)
-    for name, char in lx.NAMED_ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    def piece(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]{0,30};", 0)
+        bare = F.regexp_extract(p, "^(?:" + "|".join(_BARE) + ")", 0)
+        found = lambda key: F.concat(F.try_element_at(table, key), F.substring(p, F.length(key) + 1, F.length(p)))
+        return F.when(i == 0, p).otherwise(F.coalesce(found(name), found(bare), F.concat(F.lit("&"), p)))
+
+    return F.array_join(F.transform(F.split(c, "&"), piece), "")
 
 
 def page_text(html: ColumnOrName) -> Column:
@@ -82,11 +95,9 @@ def drop_navigation_lines(c: ColumnOrName, keywords: list[str] | None = None, do
 def clean_html(html: ColumnOrName, junk: list[str] | None = None, keywords: list[str] | None = None) -> Column:
     """Readable text of a page: tags, junk phrases and navigation lines removed, one line."""
     raw = text(html)
-    patterns = junk if junk is not None else lx.junk_patterns()
-    body = page_text(raw)
-    # a few long alternations instead of one pass per phrase
-    for start in range(0, len(patterns), 40):
-        body = F.regexp_replace(body, "(?iuU)" + "|".join(f"(?:{p})" for p in patterns[start:start + 40]), "")
+    patterns = strings(f"(?iuU){p}" for p in (junk if junk is not None else lx.JUNK_PATTERNS))
+    # one after the other, as a removal can make or break the next match
+    body = F.aggregate(patterns, page_text(raw), lambda kept, p: F.regexp_replace(kept, p, F.lit("")))
     body = squeeze(drop_navigation_lines(body, keywords))
     body = strip(F.translate(body, "/\\", "  "))
     return F.when(raw.rlike("[<>]"), body).otherwise(squeeze(unescape(raw)))
@@ -99,12 +110,8 @@ def article_body(html: ColumnOrName, limit: int | None = None, nav: list[str] |
     consumers with a size budget.
     """
     body = _drop_element(text(html), "script", "style", "noscript", "nav", "header", "footer", "aside")
-    body = F.regexp_replace(
-        body, r'(?is)<div[^>]*class="[^"]*(?:sidebar|nav|ad|comment|related|recommend)[^"]*"[^>]*>.*?</div>', ""
-    )
-    block = (
-        r'(?is)<(?:article|main|div[^>]*class="[^"]*(?:article|main|content|body)[^"]*")[^>]*>(.*?)</(?:article|main|div)>'
-    )
+    body = F.regexp_replace(body, lx.ARTICLE_SIDE_BLOCK, "")
+    block = lx.ARTICLE_MAIN_BLOCK
     body = let(body, lambda b: F.when(b.rlike(block), F.regexp_extract(b, block, 1)).otherwise(b))
     body = unescape(F.regexp_replace(body, _TAG, "\n"))
 
