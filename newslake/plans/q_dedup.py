@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslake.functions import fingerprint as fp, text as tx, urls
 from newslake.operators import dedup, gates
-from newslake.plans.common import arrived_within, feed_items, stored_before
+from newslake.plans.common import arrived_within, feed_items, keep_first, stored_before
 from newslake.plans.registry import REGISTRY as R
 from newslake.plans.views import AS_OF
 from newslake.sources.adapters import Tables, as_of
@@ -149,14 +149,14 @@ def _prints(items: DataFrame) -> DataFrame:
 
 J04 = f"""
     WITH r AS (SELECT simhash FROM simhashes WHERE simhash IS NOT NULL AND published_at <= {AS_OF} - INTERVAL 12 HOUR
-                 AND published_at > {AS_OF} - INTERVAL 48 HOUR ORDER BY published_at DESC, id DESC LIMIT 1500)
+                 AND published_at > {AS_OF} - INTERVAL 48 HOUR)
     SELECT id FROM simhashes n WHERE published_at > {AS_OF} - INTERVAL 12 HOUR
       AND NOT EXISTS (SELECT 1 FROM r WHERE bit_count(xor(n.simhash, r.simhash)) <= 6)"""
 
 
 @R.add("j04_near_duplicates", views="simhashes", sql=J04)
 def j04(t: Tables) -> DataFrame:
-    """New items without a near copy among the newest stored fingerprints (a bounded top-k)."""
+    """New items without a near copy among the stored fingerprints of the last 48 hours."""
     late, horizon = as_of() - F.make_dt_interval(hours=F.lit(12)), as_of() - F.expr("interval 48 hours")
     new = _prints(t.wide_items.filter(F.col("published_at") > late))
     old = _prints(t.wide_items.filter((F.col("published_at") <= late) & (F.col("published_at") > horizon)))
@@ -206,7 +206,8 @@ def w08(t: Tables) -> DataFrame:
     return dedup.cap_per_tick(rows, 40).select("tick_id", "id")
 
 
-@R.add("w09_greedy_keep_first")
+@R.add("w09_greedy_keep_first", views="items near_conflicts title_conflicts",
+       sql=keep_first("(SELECT * FROM near_conflicts UNION SELECT * FROM title_conflicts)"))
 def w09(t: Tables) -> DataFrame:
     items = t.wide_items.select("id", "arrival_idx", "guid", "title", "published_at", fp.simhash("clean_text", "title").alias("simhash"))
     return dedup.near_duplicate_resolution(items, as_of()).select("id")

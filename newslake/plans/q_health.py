@@ -354,12 +354,21 @@ def j20(t: Tables) -> DataFrame:
 
 
 # ------------------------------------------------------------------- gates
-@R.add("w06_rate_limit")
+@R.add("w06_rate_limit", views="rate_limited", sql="SELECT * FROM rate_limited")
 def w06(t: Tables) -> DataFrame:
     return limits.rate_limited(t.user_requests, 3, 60).select("user_id", "id", "accepted")
 
 
-@R.add("w07_tick_gate")
+@R.add("w07_tick_gate", sql="""
+    WITH c AS (SELECT conv_id // 3 AS tick_id, conv_id * 100 + turn AS call_no,
+                 ['summary', 'cleanup', 'hashtags_ai', 'translate'][(conv_id + turn) % 4 + 1] AS task FROM conversations),
+    n AS (SELECT *, row_number() OVER (PARTITION BY tick_id ORDER BY call_no) AS rn FROM c),
+    f AS (SELECT tick_id, list_reduce(list_prepend(CAST([] AS VARCHAR[]), list([task] ORDER BY call_no)), lambda off, r:
+            CASE WHEN len(off) < 3 AND NOT list_contains(off, r[1]) THEN list_append(off, ['summary', 'cleanup', 'hashtags_ai'][len(off) + 1]) ELSE off END) AS off
+          FROM n WHERE rn > 6 GROUP BY tick_id)
+    SELECT tick_id, count(*) FILTER (WHERE rn <= 6) AS allowed, count(*) FILTER (WHERE rn > 6) AS refused,
+           coalesce(array_to_string(list_sort(any_value(off)), ','), '') AS disabled
+    FROM n LEFT JOIN f USING (tick_id) GROUP BY tick_id""")
 def w07(t: Tables) -> DataFrame:
     gated = limits.gate_calls(t.calls, 6).groupBy("tick_id").agg(
         F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))

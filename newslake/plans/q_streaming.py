@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newslake.functions import fingerprint as fp
 from newslake.operators import usage
 from newslake.plans import ingest
-from newslake.plans.common import DEMO, feed_items, printed
+from newslake.plans.common import DEMO, feed_items, keep_first, printed
 from newslake.plans.registry import REGISTRY as R
 from newslake.plans.views import AS_OF
 from newslake.sources.adapters import Tables, as_of
@@ -96,7 +96,7 @@ def t05(t: Tables) -> DataFrame:
     return t.spark.read.parquet(store).select("id", "url")
 
 
-@R.add("t06_near_duplicate_stream")
+@R.add("t06_near_duplicate_stream", views="items near_conflicts", sql=keep_first("near_conflicts"))
 def t06(t: Tables) -> DataFrame:
     rows = _tick_items(_streams(t)).select("id", "arrival_idx", "published_at", fp.simhash("clean_text", "title").alias("simhash"))
     store = jobs.work_dir(t.spark, "near")
@@ -126,7 +126,7 @@ def t08(t: Tables) -> DataFrame:
     return rows.select("url", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "failures")
 
 
-@R.add("t09_rate_limit_stream")
+@R.add("t09_rate_limit_stream", views="rate_limited", sql="SELECT * FROM rate_limited")
 def t09(t: Tables) -> DataFrame:
     return jobs.drain(jobs.rate_limited_stream(_streams(t).user_requests), "t09").select("user_id", "id", "accepted")
 

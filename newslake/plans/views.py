@@ -146,6 +146,15 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT id, arrival_idx, published_at, norm, list_distinct(list_filter(string_split(norm, ' '),
                lambda w: length(w) > 2 AND w NOT IN ('в','на','из','за','по','до','с','к','у','о','и','а','но','что','как','это','для'))) AS words
         FROM (SELECT *, trim(regexp_replace(flat, '\s+', ' ', 'g')) AS norm FROM titles)"""),
+    "user_requests": ([], """
+        SELECT event_id AS id, CAST(user_id % 5 AS VARCHAR) AS user_id, 1704067200 + (epoch_us(ts) // 40000000) % 200000 AS sec FROM events"""),
+    # the greedy limit, request by request: the state is the list of passed seconds that still count
+    "rate_limited": (["user_requests"], """
+        WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, id) AS rn FROM user_requests),
+        s AS (SELECT user_id, id, rn, TRUE AS accepted, [sec] AS live FROM n WHERE rn = 1
+          UNION ALL SELECT user_id, id, rn, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, sec) ELSE kept END
+          FROM (SELECT n.*, list_filter(s.live, lambda x: n.sec - x < 60) AS kept FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1))
+        SELECT user_id, id, accepted FROM s"""),
     # fingerprints: one bit vote per word
     "simhashes": (["items"], r"""
         SELECT i.id, i.arrival_idx, i.published_at, f.simhash FROM items i LEFT JOIN (
@@ -155,4 +164,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                     SELECT id, unnest(regexp_extract_all(title || ' ' || clean_text, '[A-Za-z0-9А-Яа-яЁё]+')) AS t FROM items) WHERE length(t) >= 3)
                 CROSS JOIN (SELECT unnest(range(64)) AS b) GROUP BY id, b)
           GROUP BY id) f ON f.id = i.id"""),
+    # pairs of an earlier and a later item that conflict
+    "near_conflicts": (["simhashes"], """
+        SELECT e.id AS e, l.id AS l FROM simhashes e JOIN simhashes l ON e.arrival_idx < l.arrival_idx AND bit_count(xor(e.simhash, l.simhash)) <= 6"""),
+    "title_conflicts": (["title_sets"], f"""
+        SELECT e.id AS e, l.id AS l FROM title_sets e JOIN title_sets l ON e.arrival_idx < l.arrival_idx
+          AND e.published_at > {AS_OF} - INTERVAL 24 HOUR AND len(e.words) >= 3 AND len(l.words) >= 3
+        WHERE e.norm = l.norm OR (length(l.norm) > 40 AND (contains(e.norm, l.norm) OR contains(l.norm, e.norm)))
+          OR len(list_intersect(e.words, l.words))::DOUBLE / len(list_distinct(list_concat(e.words, l.words))) >= 0.85"""),
 }
