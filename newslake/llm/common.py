@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def tidy(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of finished phases, which can hold as much as the texts."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def text_of(name: str = "text") -> Column:
     """Null-safe text: null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import cut
+from newslake.llm.common import cut, tidy
 from newslake.llm.graph import components
 from newslake.llm.shingles import MinHash, batch_words, shingle_set
 
@@ -172,27 +172,27 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return ordered.select("bucket", "i", "j", "node", "at", "shingles", "signature").mapInArrow(_tile_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """Rows row, doc_id, n_shingles, component_id, kept and ``group`` (a number of the component).
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows row (a number), doc_id, mark (hash of the text), n_shingles, component_id, kept and ``group`` (a number).
 
     Words are separated by white space, A-Z count as a-z. A document with fewer words than a shingle has one shingle, one
     without words or text none, and is linked with nothing. ``component_id`` is the smallest id of the component; a row is
     kept if it has that id. Equal sets are one class from the start, so copies cost one row each. Rows that repeat an id
     are linked by their texts like any others; a null id is smaller than none, and a component without ids keeps its rows
-    without one. ``row`` names a column that numbers the rows; without one they are numbered. Columns other than doc_id and text are not read; an empty table gives an empty one.
+    without one. Columns other than doc_id and text are not read; an empty table gives an empty one.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    rows = cut(signed(docs.select("doc_id", "text", number.alias("row"))))
+    rows = cut(signed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))))
     first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r"))
     lead = cut(first.select("digest", F.col("r.row").alias("node")))
     classes = cut(lead.select(F.col("node").alias("row")).join(rows, "row").withColumnRenamed("row", "node"))
     parts = cut(components(links(docs, classes)))
+    tidy(docs)
     labels = cut(lead.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("group")))
-    named = rows.select("row", "doc_id", "n_shingles", "digest").join(labels, "digest", "left")
+    named = rows.select("row", "doc_id", "mark", "n_shingles", "digest").join(labels, "digest", "left")
     named = cut(named.withColumn("group", F.coalesce("group", "row")).drop("digest"))
     least = cut(named.groupBy("group").agg(F.min("doc_id").alias("component_id")))
     return named.join(least, "group").select(
-        "row", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
+        "row", "doc_id", "mark", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -200,8 +200,19 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each group; of rows that repeat the id that stays, the first."""
-    numbered = cut(docs.withColumn("near_row", F.monotonically_increasing_id()))
-    judged = near_duplicates(numbered, "near_row").where("kept")
-    chosen = cut(judged.groupBy("group").agg(F.min("row").alias("near_row")).select("near_row"))
-    return numbered.join(chosen, "near_row", "left_semi").select(*docs.columns)
+    """One document of each group; of rows that repeat the id that stays, one.
+
+    Texts are found by id and hash. Rows equal in both, of which one must stay, take a path of their own, so that all other
+    texts meet one semi join and no grouping.
+    """
+    kept = near_duplicates(docs).where("kept").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
+    chosen = cut(kept.groupBy("group").agg(F.min(F.struct("mark", "n", "doc_id")).alias("c")).select(
+        F.col("c.doc_id").alias("near_id"), F.col("c.mark").alias("near_mark"), F.col("c.n").alias("near_n")))
+    tidy(docs)
+
+    def found(wanted: DataFrame) -> DataFrame:
+        same = (F.xxhash64("text") == F.col("near_mark")) & F.col("doc_id").eqNullSafe(F.col("near_id"))
+        return docs.join(wanted, same, "left_semi")
+
+    once, more = found(chosen.where("near_n = 1")), found(chosen.where("near_n > 1"))
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))

@@ -9,17 +9,16 @@ repeated, a bucket of one as unrepeated. Only the rest is split, and of equal me
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslake.llm.anchors import LENGTH, PIECE, SPAN, Piece, runs
-from newslake.llm.common import cut, text_of
+from newslake.llm.common import cut, text_of, tidy
 from newslake.llm.shingles import mix
 
 #: Starts of a block; single starts follow.
@@ -150,28 +149,21 @@ def _singles(summary: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def _settle(summaries: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Occurrences in buckets of two or more, with ``repeated``, ``split`` (goes on to the next refinement).
+    """Occurrences in buckets of two or more, with ``repeated`` and ``split`` (goes on to the next refinement).
 
     Summaries are partial: a key of any weight sends a row per batch. The occurrences of a heavy key meet one row of the
-    status table, in a join that may split them.
+    status table, in a join that may split them. Only the status of such buckets is written.
     """
     width = max(1, int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     each = summaries.repartition(width, "bucket").groupBy("bucket", "whole").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    mine = Window.partitionBy("bucket")  # dealt by bucket already
     each = each.withColumn("repeated", F.col("least") != F.col("most"))
-    each = cut(each)
-    stats = each.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or("repeated").alias("any"), F.bool_and("repeated").alias("all"))
-    stats = cut(stats.where("n > 1 OR any").select("bucket", (~F.col("all") & (F.col("n") > 1)).alias("mixed")))
-    status = cut(each.join(stats, "bucket").select(F.col("bucket").alias("b"), F.col("whole").alias("w"), "least", "repeated", "mixed"))
-    del each, stats
-    ident = _ident(F.col("key"), F.col("place"))
+    each = each.withColumns({"n": F.count("*").over(mine), "all": F.bool_and("repeated").over(mine)})
+    status = cut(each.where("n > 1 OR repeated").select(
+        F.col("bucket").alias("b"), F.col("whole").alias("w"), "least", "repeated", (~F.col("all") & (F.col("n") > 1)).alias("mixed")))
     joined = occurrences.join(status, (F.col("bucket") == F.col("b")) & (F.col("whole") == F.col("w")))
-    return cut(joined.withColumn("split", F.col("mixed") & (~F.col("repeated") | (ident == F.col("least")))).drop("b", "w", "least", "mixed"))
-
-
-def _tidy(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of finished phases, which hold as much as the texts."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    lead = _ident(F.col("key"), F.col("place")) == F.col("least")
+    return joined.withColumn("split", F.col("mixed") & (~F.col("repeated") | lead)).drop("b", "w", "whole", "least", "mixed")
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -230,28 +222,32 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _covered(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Places of runs, blocks and starts whose strings are repeated: key, place."""
+    """Places of runs, blocks and starts whose strings are repeated: key, extra, places (an array)."""
+    extra = F.col("place").bitwiseAND((1 << _EXTRA) - 1).alias("extra")
+    repeated = F.collect_set(F.when(F.col("repeated"), F.col("place"))).alias("places")
     texts = _named(docs.select(text_of().alias("text"))).where(F.octet_length("text") >= LENGTH).select(
         "key", "extra", F.col("text").cast("binary").alias("text"))
-    first = _settle(texts.mapInArrow(_scan(True), _SUMMARY), texts.mapInArrow(_scan(False), _OCCURRENCE))
-    _tidy(docs)
-    extra = F.col("place").bitwiseAND((1 << _EXTRA) - 1).alias("extra")
-    lists = first.where("split").select("key", extra, "bucket", "place").distinct().groupBy("key", "extra").agg(
-        F.collect_list(F.struct("bucket", "place")).alias("rows"))
-    around = cut(_with_text(docs, lists, classes).select("key", "text", "rows").mapInArrow(
+    first = cut(_settle(texts.mapInArrow(_scan(True), _SUMMARY), texts.mapInArrow(_scan(False), _OCCURRENCE)).groupBy("key", extra).agg(
+        repeated, F.collect_set(F.when(F.col("split"), F.struct("bucket", "place"))).alias("rows")))
+    tidy(docs)
+    around = cut(_with_text(docs, first.where(F.size("rows") > 0).select("key", "extra", "rows"), classes).select("key", "text", "rows").mapInArrow(
         _surroundings, "bucket long, key long, place long, around binary"))
-    _tidy(docs)
-    second = _settle(around.mapInArrow(_blocks(True), _SUMMARY), around.mapInArrow(_blocks(False), _OCCURRENCE + ", run long"))
-    _tidy(docs)
-    blocks = second.where("split").groupBy(F.col("key").alias("k"), F.col("run").alias("r")).agg(F.collect_set("place").alias("blocks"))
+    first = first.select("key", "extra", "places")
+    tidy(docs)
+    second = cut(_settle(around.mapInArrow(_blocks(True), _SUMMARY), around.mapInArrow(_blocks(False), _OCCURRENCE + ", run long")).groupBy(
+        "key", "run").agg(repeated, F.collect_set(F.when(F.col("split"), F.col("place"))).alias("blocks")))
+    tidy(docs)
+    blocks = second.where(F.size("blocks") > 0).select(F.col("key").alias("k"), F.col("run").alias("r"), "blocks")
     listed = cut(around.join(blocks, (F.col("key") == F.col("k")) & (F.col("place") == F.col("r"))).select(
         "bucket", "key", "place", "around", "blocks"))
-    del around
-    third = _settle(listed.mapInArrow(_singles(True), _SUMMARY), listed.mapInArrow(_singles(False), _OCCURRENCE))
+    del around, blocks
+    tidy(docs)
+    third = cut(_settle(listed.mapInArrow(_singles(True), _SUMMARY), listed.mapInArrow(_singles(False), _OCCURRENCE)).where("repeated").groupBy(
+        "key", extra).agg(repeated))
     del listed
-    _tidy(docs)
-    return first.where("repeated").select("key", "place").union(second.where("repeated").select("key", "place")).union(
-        third.where("repeated").select("key", "place"))
+    tidy(docs)
+    of_run = F.col("run").bitwiseAND((1 << _EXTRA) - 1).alias("extra")
+    return first.where(F.size("places") > 0).union(second.where(F.size("places") > 0).select("key", of_run, "places")).union(third)
 
 
 def removal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,12 +261,11 @@ def removal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = cut(slim.groupBy("key", "extra").agg(
         F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("lead"), F.first("n_bytes").alias("n_bytes")))
     covered = _covered(docs, classes)
-    extra = F.col("place").bitwiseAND((1 << _EXTRA) - 1).alias("extra")
-    lists = covered.select("key", extra, "place").distinct().groupBy("key", "extra").agg(F.collect_list("place").alias("places"))
+    lists = covered.groupBy("key", "extra").agg(F.flatten(F.collect_list("places")).alias("places"))
     alone = classes.where("copies = 1").drop("n_bytes", "copies")
     removed = cut(_with_text(docs, lists, alone).select("key", "extra", "text", "places").mapInArrow(
         _removed, "key long, extra long, n_removed long, n_spans long, kept_sha256 string, rest binary"))
-    _tidy(docs)
+    tidy(docs)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     none = hashlib.sha256(b"").hexdigest()
     judged = classes.drop("lead").join(removed, ["key", "extra"], "left").select(
