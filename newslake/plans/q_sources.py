@@ -60,7 +60,7 @@ def s06(t: Tables) -> DataFrame:
     pages = t.wide_pages.select(
         "page_id", F.concat(F.lit("https://ren.tv/news?from="), F.col("page_id").cast("string")).alias("url"),
         F.replace("html", F.lit('<a href="/'), F.lit('<a href="/news/')).alias("html"), F.lit("ren.tv").alias("source"))
-    return feeds.site_links(pages, "source", feeds.link_rules(t.spark), noise=["heint"])
+    return feeds.site_links(pages, "source", noise=["heint"])
 
 
 @R.add("s07_article_cards")

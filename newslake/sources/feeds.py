@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newslake.functions import dates, lexicon as lx, pages as pg, text as tx
-from newslake.functions.base import any_of, first_filled, text, word_count
+from newslake.functions.base import any_of, first_filled, strings, text, word_count
 from newslake.functions.urls import absolute_url, normalize_url
 from newslake.operators import ordered
 
@@ -39,12 +39,14 @@ def entries_to_items(entries: DataFrame, per_feed: int = 10, zone: str = "UTC")
 def with_pages(items: DataFrame, pages: DataFrame, wanted: Column | None = None) -> DataFrame:
     """Attach the landed page of each item by canonical address.
 
-    Items that need no page (``wanted`` false) skip the join, so their rows are not shuffled with page bodies.
+    Items that need no page (``wanted`` false) skip the join, so their rows are not shuffled with page bodies.  The first
+    page of an address is found on ids alone, and bodies are read for the pages that some item needs.
     """
-    keyed = pages.select(normalize_url("url").alias("_k"), "page_id", "html")
-    keyed = ordered.first_row(keyed, ["_k"], ["page_id"]).drop("page_id")
+    first = pages.groupBy(normalize_url("url").alias("_k")).agg(F.min("page_id").alias("_page"))
     need = items if wanted is None else items.filter(wanted)
-    joined = need.withColumn("_k", normalize_url("url")).join(keyed, "_k", "left").drop("_k")
+    ids = need.withColumn("_k", normalize_url("url")).join(first, "_k", "left").drop("_k")
+    bodies = pages.select(F.col("page_id").alias("_page"), "html")
+    joined = ids.join(bodies, "_page", "left").drop("_page")
     if wanted is None:
         return joined
     return joined.unionByName(items.filter(~wanted | wanted.isNull()).withColumn("html", F.lit(None).cast("string")))
@@ -70,20 +72,19 @@ def _links(pages: DataFrame, min_len: Column, most: Column, paths: Column | None
         "page_id", F.col("pos").cast("bigint").alias("pos"), "a.title", F.col("a.link").alias("url"))
 
 
-def site_links(pages: DataFrame, source: str, rules: DataFrame, noise: list[str] | None = None) -> DataFrame:
+def site_links(pages: DataFrame, source: str, rules: list[tuple] | None = None, noise: list[str] | None = None) -> DataFrame:
     """Links by the site's own rule: path allow-list, limit and text length.
 
-    ``rules`` (marker, listing, paths, max_items, min_len) is a handful of configured sites.
+    ``rules`` (marker, listing, paths, max_items, min_len) is a handful of configured sites, tested inside the page's own row.
     """
-    matched = pages.join(F.broadcast(rules), F.contains(F.lower(F.col(source)), F.col("marker"))
-                         & F.contains(F.lower("url"), F.col("listing")))
+    table = F.array(*[F.struct(
+        F.lit(marker).alias("marker"), F.lit(listing).alias("listing"), strings(paths).alias("paths"), F.lit(most).alias("max_items"),
+        F.lit(least).alias("min_len")) for marker, listing, paths, most, least in (rules or lx.SITE_LINK_RULES)])
+    fits = F.filter(table, lambda r: F.contains(F.lower(F.col(source)), r["marker"]) & F.contains(F.lower("url"), r["listing"]))
+    matched = pages.withColumn("_rule", F.explode(fits)).select("*", "_rule.*").drop("_rule")
     return _links(matched, F.col("min_len"), F.col("max_items"), F.col("paths"), noise)
 
 
-def link_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(lx.SITE_LINK_RULES, "marker string, listing string, paths array<string>, max_items int, min_len int")
-
-
 def article_cards(pages: DataFrame, per_page: int = 10, noise: list[str] | None = None) -> DataFrame:
     """Article blocks of a listing page: the first ``per_page`` blocks, of which those with a good title and a link stay."""
     cards = F.slice(pg.cards("html"), 1, per_page)

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from newslake.functions import text as tx
 from newslake.functions.base import first_filled, lookup, strip, text
 from newslake.functions import lexicon as lx
-from newslake.operators import gates, ordered
+from newslake.operators import gates
 from newslake.operators.usage import upsert
 
 
+#: Folders over which digests are spread.
+DIGEST_FOLDERS = 256
+
+
 def rows_to_insert(items: DataFrame, table: DataFrame, key: str = "url") -> DataFrame:
-    """First new row per key that the table does not hold."""
-    once = ordered.first_row(items, [key], ["arrival_idx"])
-    return once.join(table.select(key), key, "left_anti").select(*items.columns)
+    """First new row per key that the table does not hold; chosen on keys alone, before the rows themselves move."""
+    once = items.groupBy(key).agg(F.min("arrival_idx").alias("arrival_idx")).join(table.select(key).distinct(), key, "left_anti")
+    same = once.select(F.col(key).alias("_k"), F.col("arrival_idx").alias("_idx"))
+    return items.join(same, F.col(key).eqNullSafe(F.col("_k")) & (F.col("arrival_idx") == F.col("_idx")), "left_semi")
 
 
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -53,9 +58,11 @@ def digest_rows(selected: DataFrame) -> DataFrame:
 
 
 def write_digests(rows: DataFrame, path: str) -> None:
-    """One folder per user; files hold consecutive runs of the user's selections, newest first."""
-    (rows.repartitionByRange(F.col("user_id"), F.desc("selected_at")).sortWithinPartitions("user_id", F.desc("selected_at"))
-     .write.mode("overwrite").partitionBy("user_id").option("header", True).csv(path))
+    """Folders by a hash of the user, so that their number is fixed; files hold runs of users, newest selection first."""
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(DIGEST_FOLDERS)))
+    (placed.repartitionByRange(F.col("bucket"), F.col("user_id"), F.desc("selected_at"))
+     .sortWithinPartitions("bucket", "user_id", F.desc("selected_at"))
+     .write.mode("overwrite").partitionBy("bucket").option("header", True).csv(path))
 
 
 def write_export(items: DataFrame, path: str) -> None:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 import uuid
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,11 +58,11 @@ def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
 # --------------------------------------------------------------- ingestion
 def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Rows written so far; an empty table before the first write."""
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    """Rows written so far; an empty table before the first write, and an error for any other trouble with the folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], like.schema)
+    return spark.read.schema(like.schema).parquet(path)
 
 
 def ingest_handler(spark: SparkSession, store_path: str, drops_path: str, as_of: Callable[[DataFrame], Column],
