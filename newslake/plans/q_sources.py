@@ -42,19 +42,33 @@ def w02(t: Tables) -> DataFrame:
     return first_n(t.feed_entries, ["feed_url"], ["pos"], 10).select("feed_url", "pos", "entry_id")
 
 
-@R.add("s04_items_with_pages")
+@R.add("s04_items_with_pages", sql="""
+    WITH u AS (SELECT page_id, html, regexp_replace(url, '#.*$', '') AS u, regexp_replace(url, '[?#].*$', '') AS bare FROM pages),
+    p AS (SELECT rtrim(split_part(u, '?', 1), '/') || coalesce('?' || nullif(array_to_string(list_sort(list_filter(
+                   string_split(split_part(u, '?', 2), '&'), lambda x: NOT starts_with(x, 'utm_'))), '&'), ''), '') AS k,
+                 arg_min(length(html), page_id) AS chars FROM u GROUP BY 1)
+    SELECT page_id + 1 AS id, bare || '?utm_source=rss' AS url, CASE WHEN (page_id + 1) % 5 <> 0 THEN chars END AS page_chars
+    FROM u LEFT JOIN p ON p.k = rtrim(bare, '/')""")
 def s04(t: Tables) -> DataFrame:
     """Items that point at landed pages, with a tracking suffix that the canonical address removes."""
     items = t.pages.select((F.col("page_id") + 1).alias("id"), F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("?utm_source=rss")).alias("url"))
     return feeds.with_pages(items, t.pages, F.col("id") % 5 != 0).select("id", "url", F.length("html").alias("page_chars"))
 
 
-@R.add("s05_link_candidates")
+LINKS = """
+    SELECT page_id, CAST(pos - 1 AS BIGINT) AS pos, a[2] AS title, {root} || a[1] AS url FROM (
+      SELECT page_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS pos FROM (
+        SELECT page_id, url, list_filter(list_transform(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'),
+                 lambda x: [{path} || regexp_extract(x, '"([^"]*)"', 1), trim(regexp_extract(x, '>([^<]*)<', 1))]),
+               lambda x: starts_with(x[1], '/') AND length(x[2]) >= 10 AND NOT regexp_matches(lower(x[2]), '{noise}'))[:{most}] AS l FROM pages))"""
+
+
+@R.add("s05_link_candidates", sql=LINKS.format(root="regexp_extract(url, '^[a-z]+://[^/?#]+')", path="''", noise="the,|heint", most=15))
 def s05(t: Tables) -> DataFrame:
     return feeds.link_candidates(t.wide_pages, F.lower("url"), noise=["the,", "heint"])
 
 
-@R.add("s06_site_links")
+@R.add("s06_site_links", sql=LINKS.format(root="'https://ren.tv'", path="'/news'", noise="heint", most=20))
 def s06(t: Tables) -> DataFrame:
     """Site rules on pages whose host and links are written like the configured sites'."""
     pages = t.wide_pages.select(

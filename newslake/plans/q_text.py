@@ -482,7 +482,8 @@ def f49(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.posexplode(urls.feed_candidates("url")).alias("n", "candidate"))
 
 
-@R.add("f49b_mirror_urls")
+@R.add("f49b_mirror_urls", views="items", sql="""
+    SELECT id, CASE WHEN id % 2 = 0 THEN 'https://m2.example.net/telegram/channel/' || source ELSE '' END AS mirrors FROM items""")
 def f49b(t: Tables) -> DataFrame:
     roots = urls.normalize_bases(F.array(F.lit("https://m1.example.net/"), F.lit(" m2.example.net"), F.lit(""), F.lit("https://m1.example.net")))
     url = F.concat(F.when(F.col("id") % 2 == 0, "https://m1.example.net").otherwise("https://else.example.net"), F.lit("/telegram/channel/"), "source")
