@@ -158,18 +158,39 @@ def f15(t: Tables) -> DataFrame:
     return t.wide_items.select("id", tx.render_message("title", "clean_text", "source", "url", tg.category_line("category"), DEMO_STOP).alias("message"))
 
 
-@R.add("f17_noise_lines")
+# Lines of the items with the noise verdict, and the cleaned lines that can open an item.
+_STOP_SQL = "(" + " OR ".join(f"contains(lower({{}}), '{p}')" for p in DEMO_STOP) + ")"
+_URLS, _MAIL, _PHONE = lx.URL_PATTERN, lx.EMAIL_PATTERN, lx.PHONE_PATTERN
+NOISE_LINES = f"""
+    SELECT id, pos, line, length(line) < 50 OR {_STOP_SQL.replace('{}', 'line')}
+        OR regexp_matches(lower(line), '^({'|'.join(lx.LEAD_LINE_OPENERS)})') OR len(regexp_extract_all(line, '{_URLS}')) > 2
+        OR regexp_matches(line, '{_MAIL}') OR len(regexp_extract_all(line, '{_PHONE}')) > 1
+        OR (length(line) < 60 AND regexp_matches(line, '[^\\x00-\\x7FА-Яа-яЁё ]')) AS noise
+    FROM (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (
+      SELECT id, list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM items))"""
+LEADS = f"""
+    SELECT id, pos, p FROM (SELECT id, pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{_URLS}', '', 'g'),
+        '{_MAIL}', '', 'g'), '{_PHONE}', '', 'g'), '\\s+', ' ', 'g')) AS p FROM ({NOISE_LINES}) WHERE NOT noise)
+    WHERE length(p) >= 50 AND NOT {_STOP_SQL.replace('{}', 'p')} AND regexp_matches(p, '(?i)[а-яёa-z0-9]')"""
+
+
+@R.add("f17_noise_lines", views="items", sql=f"SELECT id, CAST(pos AS INTEGER) AS line_no, noise FROM ({NOISE_LINES})")
 def f17(t: Tables) -> DataFrame:
     rows = t.wide_items.select("id", F.posexplode(tx.lines("clean_text")).alias("line_no", "line"))
     return rows.select("id", "line_no", tx.is_noise_line(F.col("line"), phrases=DEMO_STOP).alias("noise"))
 
 
-@R.add("f19_lead_candidates")
+@R.add("f19_lead_candidates", views="items", sql=f"""
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER) AS pos, p AS paragraph FROM ({LEADS})""")
 def f19(t: Tables) -> DataFrame:
     return t.wide_items.select("id", F.posexplode(tx.lead_candidates("clean_text", phrases=DEMO_STOP)).alias("pos", "paragraph"))
 
 
-@R.add("f20_choose_lead")
+@R.add("f20_choose_lead", views="items", sql=f"""
+    SELECT id, coalesce(CASE WHEN length(p) <= 800 THEN p WHEN contains(substr(p, 1, 800), ' ')
+        THEN regexp_extract(substr(p, 1, 800), '(?s)^(.*) ', 1) || '...' ELSE substr(p, 1, 800) || '...' END, '') AS lead
+    FROM items LEFT JOIN (SELECT id, arg_min(p, pos) AS p FROM ({LEADS})
+      WHERE len(regexp_extract_all(p, '[^\\x00-\\x7FА-Яа-яЁё]')) <= length(p) * 0.1 GROUP BY id) USING (id)""")
 def f20(t: Tables) -> DataFrame:
     return t.wide_items.select("id", tx.choose_lead(tx.lead_candidates("clean_text", phrases=DEMO_STOP), phrases=DEMO_STOP).alias("lead"))
 
@@ -206,7 +227,9 @@ def f41(t: Tables) -> DataFrame:
     return t.wide_items.select("id", tx.compact_text(pg.clean_html("clean_text"), 900).alias("compact"), tx.compact_text_exact("clean_text", 900).alias("exact"))
 
 
-@R.add("f47_digest_text")
+@R.add("f47_digest_text", views="items", sql=f"""
+    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace('📰 Источник: ' || source || ' 😀 ' || clean_text,
+        '{lx.DIGEST_EMOJI_PATTERN}|{lx.DIGEST_SYMBOL_PATTERN}', '', 'g'), '(?i){lx.DIGEST_LABEL_PATTERN}', '', 'g'), '\\s+', ' ', 'g')) AS body FROM items""")
 def f47(t: Tables) -> DataFrame:
     marked = F.concat(F.lit("📰 Источник: "), "source", F.lit(" 😀 "), "clean_text")
     return t.wide_items.select("id", tx.digest_text(marked).alias("body"))
