@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslake.functions import dates, urls
+from newslake.functions import lexicon as lx, dates, urls
 from newslake.functions.base import text
 from newslake.operators import audit, gates, health, routing, usage
 from newslake.plans.common import feed_items, stored_before
@@ -347,7 +347,14 @@ def s14(t: Tables) -> DataFrame:
     return gates.export_rows(health.recent(_tagged(t), "published_at", as_of(), 24))
 
 
-@R.add("s15_digest")
+@R.add("s15_digest", views="selections items", sql=f"""
+    SELECT user_id, id, trim(title) AS title, trim(url) AS url,
+      CASE category WHEN 'world' THEN '#Мир' WHEN 'russia' THEN '#Россия' WHEN 'moscow' THEN '#Москва' WHEN 'moscow_region' THEN '#Подмосковье'
+        ELSE '#Россия' END AS tag,
+      trim(regexp_replace(regexp_replace(regexp_replace(
+        CASE WHEN id % 5 = 0 THEN 'summary ' || title WHEN id % 7 <> 0 AND clean_text <> '' THEN clean_text WHEN title <> '' THEN title ELSE 'Текст недоступен' END,
+        '{lx.DIGEST_EMOJI_PATTERN}|{lx.DIGEST_SYMBOL_PATTERN}', '', 'g'), '(?i){lx.DIGEST_LABEL_PATTERN}', '', 'g'), '\\s+', ' ', 'g')) AS body
+    FROM selections s JOIN items i ON i.id = s.news_id WHERE {{ENV}}""".replace("{ENV}", "(s.env IS NULL OR s.env = 'prod')"))
 def s15(t: Tables) -> DataFrame:
     picked = routing.selections_with_items(t.selections, _tagged(t))
     return sinks.digest_rows(picked).drop("selected_at")

@@ -213,36 +213,54 @@ def f15(t: Tables) -> DataFrame:
 # Lines of the items with the noise verdict, and the cleaned lines that can open an item.
 _STOP_SQL = "(" + " OR ".join(f"contains(lower({{}}), '{p}')" for p in DEMO_STOP) + ")"
 _URLS, _MAIL, _PHONE = lx.URL_PATTERN, lx.EMAIL_PATTERN, lx.PHONE_PATTERN
-NOISE_LINES = f"""
+ITEM_LINES = """
+    SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (
+      SELECT id, list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM items)"""
+
+
+def _noise_lines(rows: str) -> str:
+    return f"""
     SELECT id, pos, line, length(line) < 50 OR {_STOP_SQL.replace('{}', 'line')}
         OR regexp_matches(lower(line), '^({'|'.join(lx.LEAD_LINE_OPENERS)})') OR len(regexp_extract_all(line, '{_URLS}')) > 2
         OR regexp_matches(line, '{_MAIL}') OR len(regexp_extract_all(line, '{_PHONE}')) > 1
         OR (length(line) < 60 AND regexp_matches(line, '[^\\x00-\\x7FА-Яа-яЁё ]')) AS noise
-    FROM (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (
-      SELECT id, list_filter(list_transform(string_split(clean_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM items))"""
-LEADS = f"""
+    FROM ({rows})"""
+
+
+def _leads(rows: str) -> str:
+    return f"""
     SELECT id, pos, p FROM (SELECT id, pos, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{_URLS}', '', 'g'),
-        '{_MAIL}', '', 'g'), '{_PHONE}', '', 'g'), '\\s+', ' ', 'g')) AS p FROM ({NOISE_LINES}) WHERE NOT noise)
+        '{_MAIL}', '', 'g'), '{_PHONE}', '', 'g'), '\\s+', ' ', 'g')) AS p FROM ({_noise_lines(rows)}) WHERE NOT noise)
     WHERE length(p) >= 50 AND NOT {_STOP_SQL.replace('{}', 'p')} AND regexp_matches(p, '(?i)[а-яёa-z0-9]')"""
 
 
-@R.add("f17_noise_lines", views="items", sql=f"SELECT id, CAST(pos AS INTEGER) AS line_no, noise FROM ({NOISE_LINES})")
+def _first_lead(rows: str) -> str:
+    return f"""
+    SELECT id, arg_min(p, pos) AS p FROM ({_leads(rows)})
+    WHERE len(regexp_extract_all(p, '[^\\x00-\\x7FА-Яа-яЁё]')) <= length(p) * 0.1 GROUP BY id"""
+
+
+def _cut_at_word(text: str, limit: int) -> str:
+    """SQL of a text cut at the last space inside the limit."""
+    head = f"substr({text}, 1, {limit})"
+    return (f"CASE WHEN length({text}) <= {limit} THEN {text} WHEN strpos({head}, ' ') > 1 "
+            f"THEN regexp_extract({head}, '(?s)^(.*) ', 1) || '...' ELSE {head} || '...' END")
+
+
+@R.add("f17_noise_lines", views="items", sql=f"SELECT id, CAST(pos AS INTEGER) AS line_no, noise FROM ({_noise_lines(ITEM_LINES)})")
 def f17(t: Tables) -> DataFrame:
     rows = t.wide_items.select("id", F.posexplode(tx.lines("clean_text")).alias("line_no", "line"))
     return rows.select("id", "line_no", tx.is_noise_line(F.col("line"), phrases=DEMO_STOP).alias("noise"))
 
 
 @R.add("f19_lead_candidates", views="items", sql=f"""
-    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER) AS pos, p AS paragraph FROM ({LEADS})""")
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER) AS pos, p AS paragraph FROM ({_leads(ITEM_LINES)})""")
 def f19(t: Tables) -> DataFrame:
     return t.wide_items.select("id", F.posexplode(tx.lead_candidates("clean_text", phrases=DEMO_STOP)).alias("pos", "paragraph"))
 
 
 @R.add("f20_choose_lead", views="items", sql=f"""
-    SELECT id, coalesce(CASE WHEN length(p) <= 800 THEN p WHEN contains(substr(p, 1, 800), ' ')
-        THEN regexp_extract(substr(p, 1, 800), '(?s)^(.*) ', 1) || '...' ELSE substr(p, 1, 800) || '...' END, '') AS lead
-    FROM items LEFT JOIN (SELECT id, arg_min(p, pos) AS p FROM ({LEADS})
-      WHERE len(regexp_extract_all(p, '[^\\x00-\\x7FА-Яа-яЁё]')) <= length(p) * 0.1 GROUP BY id) USING (id)""")
+    SELECT id, coalesce({_cut_at_word('p', 800)}, '') AS lead FROM items LEFT JOIN ({_first_lead(ITEM_LINES)}) USING (id)""")
 def f20(t: Tables) -> DataFrame:
     return t.wide_items.select("id", tx.choose_lead(tx.lead_candidates("clean_text", phrases=DEMO_STOP), phrases=DEMO_STOP).alias("lead"))
 
@@ -258,7 +276,10 @@ def f22(t: Tables) -> DataFrame:
     return cleaned.select("page_id", tx.lead_of_clean_text("body", phrases=DEMO_STOP).alias("lead"))
 
 
-@R.add("f22b_feed_lead")
+@R.add("f22b_feed_lead", views="feed_entries", sql=f"""
+    WITH b AS (SELECT entry_id AS id, 0 AS pos, trim(regexp_replace(summary, '\\s+', ' ', 'g')) AS line FROM feed_entries)
+    SELECT id AS entry_id, CASE WHEN length(line) < 50 THEN '' ELSE coalesce({_cut_at_word('p', 800)}, '') END AS lead
+    FROM b LEFT JOIN ({_first_lead('SELECT * FROM b')}) USING (id)""")
 def f22b(t: Tables) -> DataFrame:
     cleaned = t.feed_entries.select("entry_id", pg.clean_html("summary").alias("body"))
     return cleaned.select("entry_id", tx.lead_of_clean_text("body", emergency=False, phrases=DEMO_STOP).alias("lead"))
@@ -274,7 +295,17 @@ def f24(t: Tables) -> DataFrame:
     return t.wide_pages.select("page_id", pg.article_body("html").alias("body"))
 
 
-@R.add("f41_compact_text")
+def _three_parts(text: str, chunk: int) -> str:
+    gap = "chr(10) || '...' || chr(10)"
+    return (f"substr({text}, 1, {chunk}) || {gap} || substr({text}, greatest(0, length({text}) // 2 - {chunk // 2}) + 1, {chunk}) || {gap} || "
+            f"right({text}, {chunk})")
+
+
+@R.add("f41_compact_text", views="items", sql=f"""
+    WITH t AS (SELECT id, clean_text, trim(regexp_replace(clean_text, '\\s+', ' ', 'g')) AS flat FROM items),
+    j AS (SELECT *, {_three_parts('flat', 300)} AS joined FROM t)
+    SELECT id, CASE WHEN length(flat) <= 900 THEN flat ELSE {_cut_at_word('joined', 900)} END AS compact,
+           CASE WHEN length(clean_text) <= 900 THEN clean_text ELSE {_three_parts('clean_text', 296)} END AS exact FROM j""")
 def f41(t: Tables) -> DataFrame:
     return t.wide_items.select("id", tx.compact_text(pg.clean_html("clean_text"), 900).alias("compact"), tx.compact_text_exact("clean_text", 900).alias("exact"))
 
