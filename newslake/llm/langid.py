@@ -135,14 +135,12 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column("text")]
-            columns = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-                 pa.array([f[2] for f in found], pa.bool_())], names=[*names, "lang_pred", "score", "ambiguous"])
+                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+                 pa.array([f[2] for f in found], pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(run, f"{schema}{', ' if schema else ''}lang_pred string, score double, ambiguous boolean")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def report(docs: DataFrame) -> DataFrame:
