@@ -250,10 +250,11 @@ def _covered(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return first.where(F.size("places") > 0).union(second.where(F.size("places") > 0).select("key", of_run, "places")).union(third)
 
 
-def removal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal texts (key, extra, n_removed, n_spans, kept_sha256, rest, copies, n_bytes) and the named documents' keys.
+def removal(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What becomes of each class of equal texts (key, extra): its fate, its rest, and the documents' classes.
 
-    ``rest`` is null where nothing is removed. A text of ``LENGTH`` bytes or more that has a copy goes as a whole.
+    The first table has n_removed, n_spans and kept_sha256 (null where nothing is removed); the second, with ``texts``, has
+    ``rest`` of the classes that change. A text of ``LENGTH`` bytes or more that has a copy goes as a whole.
     """
     t = text_of()
     slim = cut(_named(docs.select("doc_id", "text")).select(
@@ -263,17 +264,19 @@ def removal(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     covered = _covered(docs, classes)
     lists = covered.groupBy("key", "extra").agg(F.flatten(F.collect_list("places")).alias("places"))
     alone = classes.where("copies = 1").drop("n_bytes", "copies")
-    removed = cut(_with_text(docs, lists, alone).select("key", "extra", "text", "places").mapInArrow(
-        _removed, "key long, extra long, n_removed long, n_spans long, kept_sha256 string, rest binary"))
+    removed = _with_text(docs, lists, alone).select("key", "extra", "text", "places").mapInArrow(
+        _removed, "key long, extra long, n_removed long, n_spans long, kept_sha256 string, rest binary")
+    removed = cut(removed if texts else removed.drop("rest"))
     tidy(docs)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     none = hashlib.sha256(b"").hexdigest()
-    judged = classes.drop("lead").join(removed, ["key", "extra"], "left").select(
+    judged = cut(classes.drop("lead").join(removed.select("key", "extra", "n_removed", "n_spans", "kept_sha256"), ["key", "extra"], "left").select(
         "key", "extra", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(whole, F.lit(none)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(whole, F.lit(b"")).otherwise(F.col("rest")).alias("rest"))
-    return cut(judged), slim
+        F.when(whole, F.lit(none)).otherwise(F.col("kept_sha256")).alias("kept_sha256")))
+    gone = classes.where(whole).select("key", "extra", F.lit(b"").alias("rest"))
+    rest = removed.select("key", "extra", "rest").union(gone) if texts else gone
+    return judged, rest, slim
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -282,15 +285,15 @@ def report(docs: DataFrame) -> DataFrame:
     A null text counts as empty. Texts under ``LENGTH`` bytes lose nothing. Repeated rows are copies of each other, whatever
     their ids; null ids are ids. Other columns are not read; an empty table gives an empty one.
     """
-    judged, slim = removal(docs)
-    return slim.join(judged.drop("rest"), ["key", "extra"]).select(
+    judged, _, slim = removal(docs)
+    return slim.join(judged, ["key", "extra"]).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
 def stripped(docs: DataFrame) -> DataFrame:
     """The documents without the removed bytes; parts of characters that a cut leaves become U+FFFD, and empty texts stay."""
-    judged, _ = removal(docs)
-    changed = cut(judged.where("rest IS NOT NULL").select(F.col("key").alias("k"), F.col("extra").alias("x"), "rest"))
+    _, rest, _ = removal(docs, texts=True)
+    changed = rest.select(F.col("key").alias("k"), F.col("extra").alias("x"), "rest")
     named = _named(docs).join(changed, (F.col("key") == F.col("k")) & (F.col("extra") == F.col("x")), "left")
     kept = F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.call_function("make_valid_utf8", F.col("rest").cast("string")))
     return named.withColumn("text", kept).select(*docs.columns)
