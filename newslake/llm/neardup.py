@@ -8,7 +8,8 @@ compared on their full shingle sets. Tasks return only links that join something
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,17 @@ from newslake.llm.common import cut, tidy
 from newslake.llm.graph import components
 from newslake.llm.shingles import MinHash, batch_words, shingle_set
 
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union: the contract of the query, and the threshold of the pipeline's stage.
 PERCENT = 85
-#: A pair at the threshold shares none of the bands with probability (1 - 0.85 ** 5) ** 24, below one in a million.
-BANDS, ROWS = 24, 5
-#: Minima in a signature, of which each keeps its low BITS; the first BANDS * ROWS also form the bands.
+STAGE_PERCENT = 80
+#: A pair at the threshold shares none of the bands, or has too low an estimate, with at most about this probability each.
+MISSED = 1e-6
+#: Bands hold as many minima as so many bands allow; a lower threshold takes bands of fewer minima.
+MOST_BANDS = 28
+#: Minima in a signature, of which each keeps its low BITS; the first ones also form the bands.
 MINIMA, BITS = 256, 8
-#: Pairs estimated below are not compared: over four standard deviations below the threshold.
-LEAST_ESTIMATE = 0.76
+#: Pairs estimated so many standard deviations below the threshold are not compared; fewer than ``MISSED`` lie beyond.
+DEVIATIONS = 4.75
 #: Rows of a bucket that meet in one block; larger buckets are compared block by block.
 BLOCK = 384
 #: Bytes of texts that are hashed together.
@@ -35,12 +39,28 @@ RUN = 1 << 21
 SIGNED = "doc_id long, row long, mark long, n_shingles long, digest binary, keys array<bigint>, signature binary"
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Number of bands and minima of each: 24 of 5 at 85 percent, 27 of 4 at 80."""
+    if not 50 <= percent <= 99:
+        raise ValueError(f"percent must lie between 50 and 99: {percent}")
+    needed = {rows: ceil(log(MISSED) / log(1 - (percent / 100) ** rows)) for rows in range(1, 9)}
+    rows = max(r for r, bands in needed.items() if bands <= MOST_BANDS)
+    return needed[rows], rows
+
+
+def least_estimate(percent: int) -> float:
+    """Pairs estimated below are not compared: about 0.74 at 85 percent, 0.68 at 80."""
+    share = percent / 100
+    return share - DEVIATIONS * sqrt(share * (1 - share) / MINIMA)
+
+
 class Signer:
     """Signature and band keys of shingle sets."""
 
-    def __init__(self) -> None:
-        self.bands = MinHash(BANDS, ROWS)
-        self.more = MinHash(1, MINIMA - BANDS * ROWS, seed=6)
+    def __init__(self, percent: int = PERCENT) -> None:
+        bands, rows = bands_for(percent)
+        self.bands = MinHash(bands, rows)
+        self.more = MinHash(1, MINIMA - bands * rows, seed=6)
 
     def sign(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         first = self.bands.minima(sets)
@@ -61,10 +81,10 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield at, out
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows doc_id, mark (hash of the text), n_shingles, digest of the set, band keys and signature (null without words)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
+        signer = Signer(percent)
         for batch in batches:
             for at, texts in _runs(batch.column("text")):
                 sets = [shingle_set(w) for w in batch_words(texts)]
@@ -94,53 +114,58 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
-def links_of(nodes: list[int], left: list[bool], sets: list[np.ndarray], low: np.ndarray) -> list[tuple[int, int]]:
+def links_of(nodes: list[int], left: list[bool], sets: list[np.ndarray], low: np.ndarray,
+             percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links within one tile that join what was apart: pairs of a left and any other row that reach the threshold."""
     n = len(nodes)
     label = np.arange(n)
     sizes = np.array([len(s) for s in sets])
     is_left = np.array(left)
     chance = 1.0 / (1 << BITS)
+    least = least_estimate(percent)
     out = []
     for x in range(n):
         others = np.arange(x) if is_left[x] else np.flatnonzero(is_left[:x])
-        others = others[(label[others] != label[x]) & (np.minimum(sizes[others], sizes[x]) * 100 >= PERCENT * np.maximum(sizes[others], sizes[x]))]
+        others = others[(label[others] != label[x]) & (np.minimum(sizes[others], sizes[x]) * 100 >= percent * np.maximum(sizes[others], sizes[x]))]
         if not len(others):
             continue
         agree = (low[others] == low[x]).mean(1)
         estimate = (agree - chance) / (1 - chance)
         order = np.argsort(-estimate, kind="stable")
-        for y in others[order[estimate[order] >= LEAST_ESTIMATE]]:
+        for y in others[order[estimate[order] >= least]]:
             if label[y] == label[x]:
                 continue
             shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * shared >= PERCENT * (sizes[x] + sizes[y] - shared):
+            if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
                 label[label == label[y]] = label[x]
                 out.append((nodes[x], nodes[y]))
     return out
 
 
-def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tile_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links per tile; the rows of a tile follow one another."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    now, rows = None, []
-
-    def flush() -> pa.RecordBatch:
-        found = links_of([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows],
-                         np.stack([np.frombuffer(r[3], np.uint8) for r in rows]))
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
-
-    for batch in batches:
-        columns = [batch.column(c) for c in ("bucket", "i", "j", "node", "at", "shingles", "signature")]
-        for row in zip(*columns):
-            bucket, i, j, node, at, shingles, signature = (v.as_py() for v in row)
-            if (bucket, i, j) != now:
-                if len(rows) > 1:
-                    yield flush()
-                now, rows = (bucket, i, j), []
-            rows.append((node, at == i, shingles, signature))
-    if len(rows) > 1:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        now, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            found = links_of([r[0] for r in rows], [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows],
+                             np.stack([np.frombuffer(r[3], np.uint8) for r in rows]), percent)
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], schema=schema)
+
+        for batch in batches:
+            columns = [batch.column(c) for c in ("bucket", "i", "j", "node", "at", "shingles", "signature")]
+            for row in zip(*columns):
+                bucket, i, j, node, at, shingles, signature = (v.as_py() for v in row)
+                if (bucket, i, j) != now:
+                    if len(rows) > 1:
+                        yield flush()
+                    now, rows = (bucket, i, j), []
+                rows.append((node, at == i, shingles, signature))
+        if len(rows) > 1:
+            yield flush()
+
+    return run
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -153,7 +178,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     return cut(members.join(distinct, "bucket"))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Exact links between classes that connect all that reach the threshold."""
     members = buckets(classes)
     wanted = cut(members.select("node").distinct().join(classes.select("node", "doc_id", "mark", "signature"), "node"))
@@ -169,23 +194,24 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = tiles.join(sets, "node")
     width = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartition(width, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return ordered.select("bucket", "i", "j", "node", "at", "shingles", "signature").mapInArrow(_tile_links, "a long, b long")
+    return ordered.select("bucket", "i", "j", "node", "at", "shingles", "signature").mapInArrow(_tile_links(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows row (a number), doc_id, mark (hash of the text), n_shingles, component_id, kept and ``group`` (a number).
 
     Words are separated by white space, A-Z count as a-z. A document with fewer words than a shingle has one shingle, one
     without words or text none, and is linked with nothing. ``component_id`` is the smallest id of the component; a row is
     kept if it has that id. Equal sets are one class from the start, so copies cost one row each. Rows that repeat an id
     are linked by their texts like any others; a null id is smaller than none, and a component without ids keeps its rows
-    without one. Columns other than doc_id and text are not read; an empty table gives an empty one.
+    without one. Columns other than doc_id and text are not read; an empty table gives an empty one. ``percent`` is the
+    least share of common shingles of a link.
     """
-    rows = cut(signed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))))
+    rows = cut(signed(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), percent))
     first = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("r"))
     lead = cut(first.select("digest", F.col("r.row").alias("node")))
     classes = cut(lead.select(F.col("node").alias("row")).join(rows, "row").withColumnRenamed("row", "node"))
-    parts = cut(components(links(docs, classes)))
+    parts = cut(components(links(docs, classes, percent)))
     tidy(docs)
     labels = cut(lead.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("group")))
     named = rows.select("row", "doc_id", "mark", "n_shingles", "digest").join(labels, "digest", "left")
@@ -199,13 +225,13 @@ def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """One document of each group; of rows that repeat the id that stays, one.
+def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of ``near_duplicates``; of rows that repeat the id that stays, one.
 
     Texts are found by id and hash. Rows equal in both, of which one must stay, take a path of their own, so that all other
     texts meet one semi join and no grouping.
     """
-    kept = near_duplicates(docs).where("kept").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
+    kept = near_duplicates(docs, percent).where("kept").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
     chosen = cut(kept.groupBy("group").agg(F.min(F.struct("mark", "n", "doc_id")).alias("c")).select(
         F.col("c.doc_id").alias("near_id"), F.col("c.mark").alias("near_mark"), F.col("c.n").alias("near_n")))
     tidy(docs)
