@@ -36,6 +36,15 @@ LINE_PATTERNS = {
                    r"follow us on|share (this|on)|powered by wordpress|lorem ipsum|skip to (main )?content|"
                    r"all rights reserved\.?\s*$",
 }
+#: A menu has so many separators and at most so many words to each of its entries on average.
+MENU_MARKS = 3
+ENTRY_WORDS = 4
+#: Boilerplate phrases make up one in so many words of a line, or more.
+PHRASE_SHARE = 3
+#: Separators of menu entries, and quotation marks that open or close: those in pairs separate nothing. A dot between letters belongs to a word.
+SEPARATOR = r"[|•]|·(?!\p{L})|(?<!\p{L})·"
+QUOTES = (("»", "«"), ("›", "‹"))
+ENTRY_WORD = r"[^\x20\x09-\x0D|»›•«‹]+"
 #: The end of a finished sentence, closing marks included.
 FINISHED = r"[.!?…:;。！？][\"'”’»)\]]*\s*$"
 
@@ -51,23 +60,44 @@ GATES = {
 LONG_LINE = SPACE.replace("+", "*") + "(?:" + WORD + SPACE + ")" + "{%d}" % (SHORT_LINE - 1) + WORD
 
 
-def line_fails(line: Column, gates: dict[str, Column], symbols: Column) -> Column:
-    """True if a line is not running text: shouted, a menu, boilerplate, symbols, or a short scrap without an end."""
+def _count(line: Column, pattern: str) -> Column:
+    return F.regexp_count(line, F.lit(pattern))
+
+
+def _large_share(line: Column) -> dict[str, Column]:
+    """Whether the marks or phrases of a rule make up a large share of a line that its pattern fits."""
+    marks = _count(line, SEPARATOR)
+    for one, other in QUOTES:
+        marks = marks + F.greatest(F.lit(0), _count(line, one) - _count(line, other))
+    phrases = F.array_join(F.regexp_extract_all(line, F.lit(f"({LINE_PATTERNS['boilerplate']})"), F.lit(0)), " ")
+    return {
+        "menu_bar": (marks >= MENU_MARKS) & (_count(line, ENTRY_WORD) <= (marks + 1) * ENTRY_WORDS),
+        "boilerplate": _count(phrases, WORD) * PHRASE_SHARE >= _count(line, WORD),
+    }
+
+
+def line_fails(line: Column, gates: dict[str, Column], symbols: Column, by_share: bool = True) -> Column:
+    """True if a line is not running text: shouted, a menu, boilerplate, symbols, or a short scrap without an end.
+
+    Without ``by_share`` a menu or boilerplate pattern anywhere in a line of any length is enough.
+    """
     failed = F.lit(False)
+    shares = _large_share(line) if by_share else {}
     for name, pattern in LINE_PATTERNS.items():
-        failed = failed | (gates[name] & line.rlike(pattern) if name in gates else line.rlike(pattern))
+        fits = gates[name] & line.rlike(pattern) if name in gates else line.rlike(pattern)
+        failed = failed | (fits & shares[name] if name in shares else fits)
     scrap = ~line.rlike("^" + LONG_LINE) & ~line.rlike(FINISHED) & line.rlike(WORD)
     return failed | (symbols > 0) & (F.regexp_count(line, F.lit(SYMBOL)) * SYMBOL_SHARE > F.length(line)) | scrap
 
 
-def clean_lines(text: Column, symbols: Column) -> Column:
+def clean_lines(text: Column, symbols: Column, by_share: bool = True) -> Column:
     """The text without the lines that fail; lines without a word stay. ``symbols`` is the text's number of symbols."""
     def gates(lowered: Column) -> Column:
         held = {n: reduce(or_, [F.contains(lowered, F.lit(w)) for w in words]) for n, words in GATES.items()}
         return F.struct(symbols.alias("symbols"), *[c.alias(n) for n, c in held.items()])
 
     return let(let(F.lower(text), gates), lambda g: F.array_join(F.filter(
-        F.split(text, "\n"), lambda line: ~line_fails(line, {n: g[n] for n in GATES}, g["symbols"])), "\n"))
+        F.split(text, "\n"), lambda line: ~line_fails(line, {n: g[n] for n in GATES}, g["symbols"], by_share)), "\n"))
 
 
 def repeated_words(words: Column) -> Column:
@@ -104,11 +134,12 @@ def word_chars(text: Column) -> Column:
     return (F.length(text) - F.regexp_count(text, F.lit(SPACE.rstrip("+")))).cast("bigint")
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", by_share: bool = True) -> DataFrame:
     """The documents with their measures, ``clean_text`` and the verdict ``kept``, in columns named ``q_*``.
 
     A null text counts as empty and is rejected; every row is judged by itself, so repeated rows, ties and null ids
     need no rule; an empty table gives an empty one; columns of the input stay, except that ``q_*`` names are replaced.
+    ``by_share`` is that of ``line_fails``.
     """
     t = text_of(text)
     measured = docs.withColumn("q", let(wordlist(t), lambda w: F.struct(
@@ -121,16 +152,16 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
         "q_n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("bigint"),
         "q_n_dup_lines": let(worded, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("bigint"),
         "q_n_repeat_words": F.col("q.n_repeat_words"),
-    }).drop("q").withColumn("q_clean_text", clean_lines(t, F.col("q_n_symbols")))
+    }).drop("q").withColumn("q_clean_text", clean_lines(t, F.col("q_n_symbols"), by_share))
     failed = (F.col("q_n_words") < MIN_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * MAX_REPEAT_PERCENT)
     left = word_chars(F.col("q_clean_text")) * 100 >= F.col("q_word_chars") * MIN_KEPT_PERCENT
     return measured.withColumn("q_base_failed", failed).withColumn("q_kept", ~F.col("q_base_failed") & left)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: its measures and verdict."""
+    """One row per document: its measures and verdict, by the line rules as the SQL states them (anywhere in a line)."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(docs.select("doc_id", "text")).select(
+    return judge(docs.select("doc_id", "text"), by_share=False).select(
         "doc_id", *[F.col(f"q_{n}").alias(n) for n in names], F.length("q_clean_text").cast("bigint").alias("clean_chars"))
 
 
