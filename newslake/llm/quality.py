@@ -103,21 +103,19 @@ def clean_lines(text: Column, symbols: Column, by_share: bool = True) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in a 3-word window that occurs twice or more.
 
-    Each window becomes one long: the upper bits of its hash and, below, its place. One sort of longs brings equal
-    windows together, so the cost is n log n for any text.
+    Each window becomes its 64-bit hash and its place. One sort brings equal windows together, so the cost is n log n for
+    any text. Windows count as equal if their whole hashes are, so false repeats are expected in n * n / 2 ** 65 windows: 3e-6
+    in a text of 10 million words.
     """
     def windows(w: Column) -> Column:
-        bits = F.length(F.bin(F.size(w)))
-        mask = F.call_function("shiftleft", F.lit(-1).cast("bigint"), bits)
-        return let(mask, lambda m: let(
-            F.sort_array(F.transform(F.sequence(F.lit(0).cast("bigint"), F.size(w).cast("bigint") - 3), lambda i: F.xxhash64(
-                F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(m).bitwiseOR(i))),
-            lambda s: covered(places(s, m))))
-
-    def places(s: Column, m: Column) -> Column:
-        held = F.filter(F.sequence(F.lit(0), F.size(s) - 2),
-                        lambda j: F.get(s, j).bitwiseXOR(F.get(s, j + 1)).bitwiseAND(m) == 0)
-        place = lambda j: F.get(s, j).bitwiseAND(F.bitwise_not(m))
+        return let(
+            F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(
+                F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))),
+            lambda s: covered(places(s)))
+
+    def places(s: Column) -> Column:
+        held = F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda j: F.get(s, j)["h"] == F.get(s, j + 1)["h"])
+        place = lambda j: F.get(s, j)["i"]
         return F.sort_array(F.array_distinct(F.concat(F.transform(held, place), F.transform(held, lambda j: place(j + 1)))))
 
     def covered(found: Column) -> Column:
