@@ -29,17 +29,21 @@ GRANTS = r"(?:released|licensed|distributed|available|provided|published|covered
 def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, pattern) in order; a smaller priority is better. Patterns match normalised words.
 
+    Every match of a pattern contains its keyword; forms without a common keyword are rules of their own.
+
     Hand-written forms of each family are combined with its versions and grants.
     """
     out: list[tuple[str, str, str]] = []
     gnu = (("gpl", "general public license", r"(?:gnu )?general public license", "gpl"),
-           ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public license", "lgpl"),
+           ("lgpl", "lesser general", r"(?:gnu )?lesser general public license", "lgpl"),
+           ("lgpl", "library general", r"(?:gnu )?library general public license", None),
            ("agpl", "affero", r"(?:gnu )?affero general public license", "agpl"))
     tails = (("-or-later", r"(?: or| and)(?: at your option)?(?: any)? later(?: version)?"), ("-only", r" only"), ("", ""))
     for (label, keyword, long, short), version, (suffix, tail) in product(gnu, ("1", "2", "2 1", "3"), tails):
         name = f"{label}-{version.replace(' ', '.')}{suffix}"
         out.append((name, keyword, long + VERSION + version + r"(?: 0)?" + tail))
-        out.append((name, short, short + "(?: version)? ?v?" + version + r"(?: 0)?" + tail))
+        if short:
+            out.append((name, short, short + "(?: version)? ?v?" + version + r"(?: 0)?" + tail))
     for parts, version in product(("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by"), ("1 0", "2 0", "2 5", "3 0", "4 0", "")):
         name = f"cc-{parts.replace(' ', '-')}" + (f"-{version.replace(' ', '.')}" if version else "")
         long = " ".join({"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}[p]
@@ -91,7 +95,8 @@ def rules() -> list[tuple[int, str, str, str]]:
         ("php", "php license", r"php license(?: version)? 3 0?1?"),
         ("beerware", "beer", r"beer ?ware license"),
         ("proprietary", "proprietary", r"proprietary and confidential|proprietary license"),
-        ("proprietary", "reproduction", r"no part of this [a-z]+ may be reproduced|reproduction(?: in whole or in part)? (?:is )?prohibited"),
+        ("proprietary", "may be reproduced", r"no part of this [a-z]+ may be reproduced"),
+        ("proprietary", "reproduction", r"reproduction(?: in whole or in part)? (?:is )?prohibited"),
         ("reserved", "rights reserved", r"(?:all|some) rights reserved"),
         ("reserved", "tous droits", r"tous droits réservés"),
         ("reserved", "alle rechte", r"alle rechte vorbehalten"),
@@ -99,7 +104,8 @@ def rules() -> list[tuple[int, str, str, str]]:
         ("copyright", "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}"),
         ("spdx", "spdx", r"spdx license identifier [a-z0-9]+(?: [0-9]+){0,2}(?: or later| only)?"),
         ("gpl", "general public license", r"(?:gnu )?general public license"),
-        ("lgpl", "lesser general", r"(?:gnu )?(?:lesser|library) general public license"),
+        ("lgpl", "lesser general", r"(?:gnu )?lesser general public license"),
+        ("lgpl", "library general", r"(?:gnu )?library general public license"),
         ("agpl", "affero", r"(?:gnu )?affero general public license"),
     )
     mit = [("mit", "mit license", GRANTS + "mit license"), ("bsd", "bsd", GRANTS + "bsd license"), ("isc", "isc license", GRANTS + "isc license")]
