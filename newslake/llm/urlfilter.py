@@ -12,6 +12,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newslake.functions.pages import unescape
 from newslake.llm.common import cut, text_of
 from newslake.llm.graph import components
 
@@ -51,9 +52,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved; ``..`` at the root stays at the root."""
+    parts = F.split(path, "/")
+    stack = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == ".", out).when(
+        p == "..", F.slice(out, 1, F.greatest(F.lit(1), F.size(out) - 1))).otherwise(F.concat(out, F.array(p))))
+    end = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(stack, "/"), end)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """A URL as a node: scheme and fragment dropped, host lower-cased; null without ``://``."""
-    tail = F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)
+    """A URL as a node: scheme and fragment dropped, host lower-cased, dot segments resolved; null without ``://``."""
+    path, query = without_dots(path_of(url)), F.regexp_extract(_rest(url), r"^[^?#]*([^#]*)", 1)
+    tail = F.concat(path, query)
     return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.when(tail == "", F.lit("/")).otherwise(tail)))
 
 
@@ -79,10 +90,10 @@ def with_absolute(links: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame) -> DataFrame:
     """Equivalence edges ``a``, ``b`` that the pages state: canonical links and refresh redirects.
 
-    All tags of a page count. Null urls and html give no edge.
+    All tags of a page count; character entities of their values are resolved. Null urls and html give no edge.
     """
     def attribute(tag: Column, name: str) -> Column:
-        return F.concat(*[F.regexp_extract(tag, _ATTRIBUTE.format(name), k) for k in (1, 2, 3)])
+        return unescape(F.concat(*[F.regexp_extract(tag, _ATTRIBUTE.format(name), k) for k in (1, 2, 3)]))
 
     html = text_of("html")
     canonical = F.transform(F.regexp_extract_all(html, F.lit(_CANONICAL), 0), lambda tag: attribute(tag, "href"))
@@ -103,7 +114,7 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[
     """
     edges = page_links(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(node_of(F.col("from_url")), node_of(F.col("to_url"))).dropna())
+        edges = edges.union(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")).dropna())
     labels = cut(components(edges))
     ruled = rule_of(F.regexp_extract("node", "^[^/?#]*", 0), F.regexp_extract("node", "^[^/?#]*([^?#]*)", 1), rules)
     blocked = labels.withColumn("own", ruled["verdict"]).groupBy("component").agg(
