@@ -2,14 +2,15 @@
 
 Encoding: the bytes of unseen words are token-position rows; each step joins neighbouring tokens with the merge table and
 contracts the leftmost pair of least rank in every word, until no pair is left. Decoding: ordered aggregation of the tokens'
-bytes. Spark deals the documents; a task holds one batch, its caches and the tables of the vocabulary.
+bytes, one letter per byte. Spark deals the documents; a Python worker keeps the vocabulary's tables and a bounded cache of words.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import duckdb
 import numpy as np
@@ -23,10 +24,12 @@ WORDS, START_ROWS = 30_000, 400_000
 #: Rows that a recursion may gather over all its steps; a longer one goes on from where it stopped.
 STEP_ROWS = 4_000_000
 #: Cached pieces of text; a full cache is emptied, which costs time but changes nothing.
-CACHE = 600_000
+CACHE = 400_000
 #: Tokens that are decoded in one query.
 DECODE = 1_000_000
 _PLACE = 1 << 30
+#: Ids in decimal, joined by commas, and as 32-bit integers.
+Ids = tuple[str, bytes]
 
 ENCODE = f"""
 WITH RECURSIVE step(n, wid, pos, tok) AS (
@@ -40,7 +43,7 @@ WITH RECURSIVE step(n, wid, pos, tok) AS (
 SELECT n, wid, pos, tok FROM step
 """
 DECODED = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
+SELECT doc, string_agg(letters, '' ORDER BY pos) AS letters FROM tokens JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
 """
 
 
@@ -57,17 +60,17 @@ def load_ranks(path: str) -> list[bytes]:
 class Tokenizer:
     """Encoder and decoder of one task."""
 
-    def __init__(self, tokens: list[bytes], pattern: str) -> None:
+    def __init__(self, tokens: Sequence[bytes], pattern: str) -> None:
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.words: dict[str, str] = {}
-        self.pieces: dict[str, str] = {}
+        self.words: dict[str, Ids] = {}
+        self.pieces: dict[str, Ids] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = np.array([(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                            if t[:i] in self.ranks and t[i:] in self.ranks], dtype=np.int32).reshape(-1, 3)
         self._create("merges", pa.table({"l": merges[:, 0], "r": merges[:, 1], "rank": merges[:, 2]}))
-        self._create("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}))
+        self._create("vocabulary", pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "letters": [t.decode("latin-1") for t in self.ranks]}))
 
     def _create(self, name: str, rows: pa.Table) -> None:
         self.con.register("given", rows)
@@ -106,7 +109,7 @@ class Tokenizer:
         for word in words:
             raw = word.encode("utf-8", "replace")
             if raw in self.ranks:
-                self.words[word] = str(self.ranks[raw])
+                self.words[word] = _both(np.array([self.ranks[raw]]))
             else:
                 new.append((word, raw))
         new.sort(key=lambda w: len(w[1]))  # long words share queries with long words
@@ -117,11 +120,11 @@ class Tokenizer:
                 rows += len(new[end][1])
                 end += 1
             for (word, _), ids in zip(new[at:end], self.contract([raw for _, raw in new[at:end]])):
-                self.words[word] = ",".join(map(str, ids.tolist()))
+                self.words[word] = _both(ids)
             at = end
 
-    def encode(self, texts: list[str]) -> list[str]:
-        """Ids of each text, in decimal and joined by commas.
+    def encode(self, texts: list[str]) -> list[Ids]:
+        """Ids of each text.
 
         A blank before a character other than white space starts a match of the pattern, so texts are cut there and the
         pieces cached.
@@ -136,8 +139,8 @@ class Tokenizer:
         words = self.words
         self.learn({w for found in matches.values() for w in found if w not in words})
         for p, found in matches.items():
-            known[p] = ",".join([words[w] for w in found])
-        return [",".join([known[p] for p in pieces]) for pieces in cut]
+            known[p] = _joined([words[w] for w in found])
+        return [_joined([known[p] for p in pieces]) for pieces in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -152,8 +155,8 @@ class Tokenizer:
             flat = np.concatenate(ids[at:end]).astype(np.int32)
             self.con.register("tokens", pa.table({
                 "doc": np.repeat(np.arange(at, end), sizes[at:end]), "pos": np.arange(len(flat)), "tok": flat}))
-            for doc, text in self.con.execute(DECODED).fetchall():
-                out[doc] = bytes.fromhex(text)
+            for doc, letters in self.con.execute(DECODED).fetchall():
+                out[doc] = letters.encode("latin-1")
             at = end
         return out
 
@@ -174,8 +177,24 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
-def _ids(text: str) -> np.ndarray:
-    return np.array(text.split(","), dtype=np.int32) if text else np.zeros(0, dtype=np.int32)
+def _both(ids: np.ndarray) -> Ids:
+    return ",".join(map(str, ids.tolist())), ids.astype(np.int32).tobytes()
+
+
+def _joined(parts: list[Ids]) -> Ids:
+    if len(parts) == 1:
+        return parts[0]
+    return ",".join([t for t, _ in parts]), b"".join([raw for _, raw in parts])
+
+
+def _ids(encoded: Ids) -> np.ndarray:
+    return np.frombuffer(encoded[1], dtype=np.int32)
+
+
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(tokens: tuple[bytes, ...], pattern: str) -> Tokenizer:
+    """The tokenizer of this Python worker; its tables and learnt words outlive a task. At most two are kept."""
+    return Tokenizer(tokens, pattern)
 
 
 def _batches(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
@@ -196,11 +215,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Every row is encoded by itself, so ties, repeated rows and null ids need no rule; an empty table gives an empty one; a
     column ``ids`` is replaced. A word of n bytes takes up to n steps over its rows, in rounds of bounded memory.
     """
-    tokens = load_ranks(path)
+    tokens = tuple(load_ranks(path))
     kept = docs.drop("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(tokens, pattern)
+        tokenizer = tokenizer_of(tokens, pattern)
         for batch in batches:
             for at, texts in _batches(batch.column("text")):
                 found = [_ids(t) for t in tokenizer.encode(texts)]
@@ -213,11 +232,11 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows plus ``decoded`` (binary), the bytes of ``ids``; null ids give no bytes."""
-    tokens = load_ranks(path)
+    tokens = tuple(load_ranks(path))
     kept = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(tokens, ".")
+        tokenizer = tokenizer_of(tokens, ".")
         for batch in batches:
             ids = [np.array(i.as_py() or [], dtype=np.int32) for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokenizer.decode(ids), pa.binary())],
@@ -229,17 +248,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256; encodes and decodes in one pass, so ids never leave a task."""
-    tokens = load_ranks(path)
+    tokens = tuple(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Tokenizer(tokens, pattern)
+        tokenizer = tokenizer_of(tokens, pattern)
         for batch in batches:
             for at, texts in _batches(batch.column("text")):
                 joined = tokenizer.encode(texts)
                 ids = [_ids(t) for t in joined]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(at, len(texts)), pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined]),
+                    pa.array([hashlib.sha256(text.encode()).hexdigest() for text, _ in joined]),
                     pa.array([hashlib.sha256(b).hexdigest() for b in tokenizer.decode(ids)]),
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

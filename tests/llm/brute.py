@@ -30,11 +30,11 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
-def near(rows):
+def near(rows, percent=85):
     """(doc_id, n_shingles, component_id, kept) per (doc_id, text)."""
     sets = [shingles(t) for _, t in rows]
     links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j]
-             and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+             and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     part = components(len(rows), links)
     least = {}
     for p, (d, _) in zip(part, rows):

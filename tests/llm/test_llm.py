@@ -275,7 +275,8 @@ def test_bpe_on_random_texts(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 50)
     tokenizer = bpe.Tokenizer(tokens, public_tokenizers.PATTERN)
     got = [i for at in range(0, len(texts), 100) for i in tokenizer.encode(texts[at:at + 100])]
-    assert got == [",".join(map(str, encoding.encode_ordinary(t))) for t in texts]
+    assert [text for text, _ in got] == [",".join(map(str, encoding.encode_ordinary(t))) for t in texts]
+    assert [bpe._ids(i).tolist() for i in got] == [encoding.encode_ordinary(t) for t in texts]
     assert tokenizer.decode([bpe._ids(i) for i in got]) == [t.encode() for t in texts]
 
 

@@ -7,7 +7,7 @@ import tiktoken
 
 import brute
 import corpus_pipeline
-from newslake.llm import bpe, quality
+from newslake.llm import bpe, neardup, quality
 
 PATH = "/root/testdata/sf0.001"
 
@@ -33,7 +33,7 @@ def test_stages_against_brute_force(outputs):
     judged = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert {r.doc_id: r.text for r in good.collect()} == {d: r.q_clean_text for d, r in judged.items() if r.q_kept}
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    assert sorted(r.doc_id for r in apart.collect()) == sorted(d for d, _, _, kept in brute.near(rows) if kept)
+    assert sorted(r.doc_id for r in apart.collect()) == sorted(d for d, _, _, kept in brute.near(rows, neardup.STAGE_PERCENT) if kept)
     rows = [(r.doc_id, r.text) for r in apart.collect()]
     want = {d: n - gone for d, n, gone, _, _ in brute.repeated_bytes(rows)}
     for r in stripped.collect():
