@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +24,11 @@ from pyspark.sql import functions as F
 WORDS, START_ROWS = 30_000, 400_000
 #: Rows that a recursion may gather over all its steps; a longer one goes on from where it stopped.
 STEP_ROWS = 4_000_000
-#: Cached pieces of text; a full cache is emptied, which costs time but changes nothing.
-CACHE = 400_000
+#: Cached pieces of text and words; a full cache is emptied, which costs time but changes nothing.
+CACHE = 800_000
 #: Tokens that are decoded in one query.
 DECODE = 1_000_000
 _PLACE = 1 << 30
-#: Ids in decimal, joined by commas, and as 32-bit integers.
-Ids = tuple[str, bytes]
 
 ENCODE = f"""
 WITH RECURSIVE step(n, wid, pos, tok) AS (
@@ -42,8 +41,9 @@ WITH RECURSIVE step(n, wid, pos, tok) AS (
    FROM pairs JOIN best ON pairs.wid = best.wid WHERE n < ? AND (before IS NULL OR before <> pick % {_PLACE})))
 SELECT n, wid, pos, tok FROM step
 """
+# The connection has one thread, so rows are aggregated in the order of the inner query.
 DECODED = """
-SELECT doc, string_agg(letters, '' ORDER BY pos) AS letters FROM tokens JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
+SELECT doc, string_agg(letters, '') AS letters FROM (SELECT doc, letters FROM tokens JOIN vocabulary USING (tok) ORDER BY pos) GROUP BY doc
 """
 
 
@@ -58,14 +58,15 @@ def load_ranks(path: str) -> list[bytes]:
 
 
 class Tokenizer:
-    """Encoder and decoder of one task."""
+    """Vocabulary, merge table and learnt words of one Python worker."""
 
     def __init__(self, tokens: Sequence[bytes], pattern: str) -> None:
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.words: dict[str, Ids] = {}
-        self.pieces: dict[str, Ids] = {}
+        #: Ids, as 32-bit integers, of pieces of text and of the words of pieces that hold several.
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         merges = np.array([(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t))
                            if t[:i] in self.ranks and t[i:] in self.ranks], dtype=np.int32).reshape(-1, 3)
@@ -77,39 +78,40 @@ class Tokenizer:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def contract(self, words: list[bytes]) -> list[bytes]:
         """Token ids of each word, by recursive contraction."""
         sizes = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         wid = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = (np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int64)
         tok = self.single[raw]
-        done: list[np.ndarray | None] = [None] * len(words)
+        done = [b""] * len(words)
         while len(wid):
             steps = max(4, STEP_ROWS // len(wid))
             self.con.register("words", pa.table({"wid": wid, "pos": pos, "tok": tok}))
             got = self.con.execute(ENCODE, [steps]).fetchnumpy()
-            last = np.zeros(len(words), dtype=np.int64)
-            by_step = np.argsort(got["n"], kind="stable")
-            last[got["wid"][by_step]] = got["n"][by_step]
+            last = np.zeros(len(words), dtype=got["n"].dtype)
+            np.maximum.at(last, got["wid"], got["n"])
             end = got["n"] == last[got["wid"]]
-            wid, pos, tok = got["wid"][end], got["pos"][end], got["tok"][end]
-            order = np.lexsort((pos, wid))
+            wid, pos, tok = got["wid"][end], got["pos"][end], got["tok"][end].astype(np.int32)
+            order = np.argsort(wid.astype(np.int64) * _PLACE + pos)
             wid, pos, tok = wid[order], pos[order], tok[order]
             cuts = np.flatnonzero(np.diff(wid, prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                done[wid[a]] = tok[a:b]
+            ids = tok.tobytes()
+            for w, i, j in zip(wid[cuts[:-1]].tolist(), (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist()):
+                done[w] = ids[i:j]
             open_ = last[wid] == steps
             wid, pos, tok = wid[open_], pos[open_], tok[open_]
         return done
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that are new; a word that is a token needs no merges."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words; a word that is a token needs no merges."""
+        out: dict[str, bytes] = {}
         new: list[tuple[str, bytes]] = []
         for word in words:
             raw = word.encode("utf-8", "replace")
             if raw in self.ranks:
-                self.words[word] = _both(np.array([self.ranks[raw]]))
+                out[word] = self.ranks[raw].to_bytes(4, "little")
             else:
                 new.append((word, raw))
         new.sort(key=lambda w: len(w[1]))  # long words share queries with long words
@@ -119,48 +121,78 @@ class Tokenizer:
             while end < len(new) and end - at < WORDS and (end == at or rows + len(new[end][1]) <= START_ROWS):
                 rows += len(new[end][1])
                 end += 1
-            for (word, _), ids in zip(new[at:end], self.contract([raw for _, raw in new[at:end]])):
-                self.words[word] = _both(ids)
+            out.update(zip((word for word, _ in new[at:end]), self.contract([raw for _, raw in new[at:end]])))
             at = end
+        return out
 
-    def encode(self, texts: list[str]) -> list[Ids]:
-        """Ids of each text.
-
-        A blank before a character other than white space starts a match of the pattern, so texts are cut there and the
-        pieces cached.
-        """
-        cut = [_pieces(t) for t in texts]
-        if len(self.pieces) > CACHE:
+    def _know(self, pieces: set[str]) -> None:
+        """Learn the pieces that are not cached."""
+        if len(self.pieces) + len(self.words) > CACHE:
             self.pieces.clear()
             self.words.clear()
+        matches = {p: self.pattern.findall(p) for p in pieces if p not in self.pieces}
+        alone = {p for p, found in matches.items() if found == [p]}
+        inner = {w for p, found in matches.items() if p not in alone for w in found if w not in self.words}
+        learnt = self.learn(alone | inner)
+        self.words.update((w, learnt[w]) for w in inner)
+        self.pieces.update((p, learnt[p]) for p in alone)
+        self.pieces.update((p, b"".join([self.words[w] for w in found])) for p, found in matches.items() if p not in alone)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids start (and the last ones end).
+
+        A blank before a character other than white space starts a match of the pattern, so texts are cut there. Texts are
+        split at blanks and their parts numbered; where a part is empty or starts with white space, the text is one piece more
+        than its parts tell, and is cut by ``_pieces``.
+        """
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        names, index, starts = coded.dictionary.to_pylist(), coded.indices.to_numpy(), parts.offsets.to_numpy()
+        index = index.astype(np.int64)
+        joins = np.array([not p or p[0].isspace() for p in names], dtype=bool)[index] if len(index) else np.zeros(0, dtype=bool)
+        joins[starts[:-1]] = False
+        whole = np.add.reduceat(joins, starts[:-1]) > 0 if len(texts) else np.zeros(0, dtype=bool)
+        inner = np.ones(len(index), dtype=bool)
+        inner[starts[:-1]] = False
+        inner &= ~np.repeat(whole, np.diff(starts))
+        used = np.unique(index[inner])
+        cut = {t: _pieces(texts[t]) for t in np.flatnonzero(whole)}
+        heads = [cut[t] if whole[t] else [names[i]] if names[i] else [] for t, i in enumerate(index[starts[:-1]].tolist())]
+        spaced = [" " + names[i] for i in used.tolist()]
+        self._know({*spaced, *(p for head in heads for p in head)})
         known = self.pieces
-        new = {p for pieces in cut for p in pieces if p not in known}
-        matches = {p: self.pattern.findall(p) for p in new}
-        words = self.words
-        self.learn({w for found in matches.values() for w in found if w not in words})
-        for p, found in matches.items():
-            known[p] = _joined([words[w] for w in found])
-        return [_joined([known[p] for p in pieces]) for pieces in cut]
-
-    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        out: list[bytes] = [b""] * len(ids)
-        sizes = np.array([len(i) for i in ids])
+        entries = [known[p] for p in spaced] + [b"".join([known[p] for p in head]) for head in heads]
+        number = np.full(len(names), -1, dtype=np.int64)
+        number[used] = np.arange(len(used))
+        place = np.where(inner, number[index], -1)
+        place[starts[:-1]] = len(used) + np.arange(len(texts))
+        sizes = np.array([len(e) // 4 for e in entries], dtype=np.int64)
+        sizes_at = np.where(place >= 0, sizes[place], 0)
+        before = np.concatenate([[0], np.cumsum(sizes_at)])
+        flat = np.frombuffer(b"".join(entries), dtype=np.int32)
+        shift = (np.cumsum(sizes) - sizes)[place] - before[:-1]
+        return flat[np.arange(before[-1]) + np.repeat(shift, sizes_at)], before[starts]
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Bytes of each run of ids."""
+        out = [b""] * (len(starts) - 1)
+        sizes = np.diff(starts)
         at = 0
-        while at < len(ids):
-            end, total = at, 0
-            while end < len(ids) and (end == at or total + sizes[end] <= DECODE):
-                total += sizes[end]
-                end += 1
-            flat = np.concatenate(ids[at:end]).astype(np.int32)
-            self.con.register("tokens", pa.table({
-                "doc": np.repeat(np.arange(at, end), sizes[at:end]), "pos": np.arange(len(flat)), "tok": flat}))
+        while at < len(out):
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + DECODE, side="right")) - 1)
+            flat = ids[starts[at]:starts[end]]
+            self.con.register("tokens", pa.table({"doc": np.repeat(np.arange(at, end), sizes[at:end]), "pos": np.arange(len(flat)), "tok": flat}))
             for doc, letters in self.con.execute(DECODED).fetchall():
                 out[doc] = letters.encode("latin-1")
             at = end
         return out
 
 
+def written(ids: np.ndarray, starts: np.ndarray) -> list[str]:
+    """Ids of each run in decimal, joined by commas."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids).cast(pa.string())), ",").to_pylist()
+
+
 def _pieces(text: str) -> list[str]:
     """The text cut before each blank that a character other than white space follows."""
     if not text:
@@ -177,20 +209,6 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
-def _both(ids: np.ndarray) -> Ids:
-    return ",".join(map(str, ids.tolist())), ids.astype(np.int32).tobytes()
-
-
-def _joined(parts: list[Ids]) -> Ids:
-    if len(parts) == 1:
-        return parts[0]
-    return ",".join([t for t, _ in parts]), b"".join([raw for _, raw in parts])
-
-
-def _ids(encoded: Ids) -> np.ndarray:
-    return np.frombuffer(encoded[1], dtype=np.int32)
-
-
 @functools.lru_cache(maxsize=2)
 def tokenizer_of(tokens: tuple[bytes, ...], pattern: str) -> Tokenizer:
     """The tokenizer of this Python worker; its tables and learnt words outlive a task. At most two are kept."""
@@ -222,9 +240,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tokenizer = tokenizer_of(tokens, pattern)
         for batch in batches:
             for at, texts in _batches(batch.column("text")):
-                found = [_ids(t) for t in tokenizer.encode(texts)]
+                ids, starts = tokenizer.encode(texts)
                 part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], names=[*part.schema.names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{schema}, ids array<int>")
@@ -238,8 +256,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(tokens, ".")
         for batch in batches:
-            ids = [np.array(i.as_py() or [], dtype=np.int32) for i in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokenizer.decode(ids), pa.binary())],
+            ids = batch.column("ids")
+            starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+            decoded = tokenizer.decode(ids.flatten().to_numpy().astype(np.int32), starts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
@@ -254,12 +274,11 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tokenizer = tokenizer_of(tokens, pattern)
         for batch in batches:
             for at, texts in _batches(batch.column("text")):
-                joined = tokenizer.encode(texts)
-                ids = [_ids(t) for t in joined]
+                ids, starts = tokenizer.encode(texts)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, len(texts)), pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(text.encode()).hexdigest() for text, _ in joined]),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in tokenizer.decode(ids)]),
+                    batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(starts), pa.int64()),
+                    pa.array([hashlib.sha256(text.encode()).hexdigest() for text in written(ids, starts)]),
+                    pa.array([hashlib.sha256(b).hexdigest() for b in tokenizer.decode(ids, starts)]),
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(

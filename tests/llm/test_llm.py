@@ -274,10 +274,13 @@ def test_bpe_on_random_texts(monkeypatch):
     monkeypatch.setattr(bpe, "STEP_ROWS", 3000)  # rounds that go on from where the last one stopped
     monkeypatch.setattr(bpe, "CACHE", 50)
     tokenizer = bpe.Tokenizer(tokens, public_tokenizers.PATTERN)
-    got = [i for at in range(0, len(texts), 100) for i in tokenizer.encode(texts[at:at + 100])]
-    assert [text for text, _ in got] == [",".join(map(str, encoding.encode_ordinary(t))) for t in texts]
-    assert [bpe._ids(i).tolist() for i in got] == [encoding.encode_ordinary(t) for t in texts]
-    assert tokenizer.decode([bpe._ids(i) for i in got]) == [t.encode() for t in texts]
+    for at in range(0, len(texts), 100):
+        part = texts[at:at + 100]
+        ids, starts = tokenizer.encode(part)
+        assert bpe.written(ids, starts) == [",".join(map(str, encoding.encode_ordinary(t))) for t in part]
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [encoding.encode_ordinary(t) for t in part]
+        assert tokenizer.decode(ids, starts) == [t.encode() for t in part]
+    assert tokenizer.decode(*tokenizer.encode([])) == [] and tokenizer.decode(*tokenizer.encode(["", ""])) == [b"", b""]
 
 
 def test_language_on_odd_rows(spark, odd, none, odd_rows):
