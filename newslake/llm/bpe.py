@@ -25,7 +25,7 @@ WORDS, START_ROWS = 30_000, 400_000
 #: Rows that a recursion may gather over all its steps; a longer one goes on from where it stopped.
 STEP_ROWS = 4_000_000
 #: Cached pieces of text and words; a full cache is emptied, which costs time but changes nothing.
-CACHE = 800_000
+CACHE = 1_500_000
 #: Tokens that are decoded in one query.
 DECODE = 1_000_000
 _PLACE = 1 << 30
@@ -155,7 +155,9 @@ class Tokenizer:
         inner = np.ones(len(index), dtype=bool)
         inner[starts[:-1]] = False
         inner &= ~np.repeat(whole, np.diff(starts))
-        used = np.unique(index[inner])
+        seen = np.zeros(len(names), dtype=bool)
+        seen[index[inner]] = True
+        used = np.flatnonzero(seen)
         cut = {t: _pieces(texts[t]) for t in np.flatnonzero(whole)}
         heads = [cut[t] if whole[t] else [names[i]] if names[i] else [] for t, i in enumerate(index[starts[:-1]].tolist())]
         spaced = [" " + names[i] for i in used.tolist()]
@@ -215,7 +217,7 @@ def tokenizer_of(tokens: tuple[bytes, ...], pattern: str) -> Tokenizer:
     return Tokenizer(tokens, pattern)
 
 
-def _batches(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def _batches(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
     at, total, out = 0, 0, []
     for i, t in enumerate(texts):
         out.append(t.as_py() or "")
