@@ -14,12 +14,12 @@ from itertools import combinations
 from math import ceil
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newslake.functions import fingerprint as fp
 from newslake.functions import text as tx
-from newslake.functions.base import squeeze, text
+from newslake.functions.base import let, squeeze, text
 from newslake.operators import ordered
 from newslake.operators.health import recent
 from newslake.session import cut
@@ -27,6 +27,8 @@ from newslake.session import cut
 RADIUS = 6
 # Runs into which a fingerprint is cut: more of them make longer, rarer keys, and more keys per row.
 BLOCKS = 8
+# Runs of which a new fingerprint probes all near variants in the store.
+PROBED_RUNS = 3
 # Titles of more words are compared on single words instead of triples.
 LONG_TITLE = 40
 
@@ -98,7 +100,7 @@ def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
         mask = 0
         for run in chosen:
             mask |= run
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+        masks.append(_signed(mask))
     return masks
 
 
@@ -107,19 +109,48 @@ def fingerprint_keys(h: Column, masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("m"), h.bitwiseAND(F.lit(mask)).alias("v")) for i, mask in enumerate(masks)])
 
 
-def not_near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def probe_masks(runs: int = PROBED_RUNS, radius: int = RADIUS) -> list[tuple[int, list[int]]]:
+    """Per run of bits its mask, and every way to flip few enough bits of it.
+
+    64 bits are cut into ``runs`` runs. Two values within the radius differ in at most ``radius // runs`` bits of some run, so
+    one of them shows the other's bits of that run after such a flip.
+    """
+    edges = [round(i * 64 / runs) for i in range(runs + 1)]
+    out = []
+    for a, b in zip(edges, edges[1:]):
+        flips = [sum(1 << bit for bit in bits) for n in range(radius // runs + 1) for bits in combinations(range(a, b), n)]
+        out.append((_signed(((1 << (b - a)) - 1) << a), [_signed(f) for f in flips]))
+    return out
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def not_near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, runs: int = PROBED_RUNS) -> DataFrame:
     """Items without a stored fingerprint within the radius."""
-    return items.join(near_stored(items, fingerprints, radius, blocks).select("id"), "id", "left_anti")
+    return items.join(near_stored(items, fingerprints, radius, runs).select("id"), "id", "left_anti")
 
 
-def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Items within the radius of a stored fingerprint, found on keys that such pairs must share."""
-    masks = block_masks(blocks, radius)
-    probe = items.filter(F.col("simhash").isNotNull()).select("id", "simhash", F.explode(fingerprint_keys(F.col("simhash"), masks)).alias("k"))
-    store = fingerprints.select(F.col("simhash").alias("_s")).distinct()
-    index = store.select("_s", F.explode(fingerprint_keys(F.col("_s"), masks)).alias("k"))
+def near_stored(items: DataFrame, fingerprints: DataFrame, radius: int = RADIUS, runs: int = PROBED_RUNS) -> DataFrame:
+    """Items within the radius of a stored fingerprint.
+
+    The store is far larger than a batch, so keys are asymmetric: a stored fingerprint shows one key per run, and a
+    distinct new one probes that run with every allowed flip. With 3 runs and radius 6 that is 3 rows against 696, and a
+    probe of a run meets about one stored value in 2^21.
+    """
+    masks = probe_masks(runs, radius)
+    new = items.where(F.col("simhash").isNotNull()).select("simhash").distinct()
+
+    def probes(run: int, mask: int, flips: list[int]) -> Column:
+        return F.transform(F.array(*[F.lit(f) for f in flips]), lambda flip: F.struct(
+            F.lit(run).alias("m"), F.col("simhash").bitwiseXOR(flip).bitwiseAND(F.lit(mask)).alias("v")))
+
+    probe = new.select("simhash", F.explode(F.flatten(F.array(*[probes(i, *m) for i, m in enumerate(masks)]))).alias("k"))
+    store = fingerprints.where(F.col("simhash").isNotNull()).select(F.col("simhash").alias("_s")).distinct()
+    index = store.select("_s", F.explode(fingerprint_keys(F.col("_s"), [mask for mask, _ in masks])).alias("k"))
     hit = probe.join(index, (probe["k"] == index["k"]) & (fp.hamming("simhash", "_s") <= radius), "left_semi")
-    return items.join(hit.select("id").distinct(), "id", "left_semi")
+    return items.join(hit.select("simhash").distinct(), "simhash", "left_semi").select(*items.columns)
 
 
 # -------------------------------------------------------------------- titles
@@ -179,7 +210,10 @@ def inner_keys(norm: Column, contained: bool) -> Column:
     inner words, or its one or two inner words with the letters at their borders; the
     container shows all such runs.
     """
-    toks = F.split(norm, " ")
+    return let(F.split(norm, " "), lambda toks: _inner_runs(toks, contained))
+
+
+def _inner_runs(toks: Column, contained: bool) -> Column:
     n = F.size(toks)
 
     def run(i: Column, k: int) -> Column:
@@ -232,51 +266,59 @@ def similar_titles(items: DataFrame, store: DataFrame, threshold: float = 0.85,
 # ------------------------------------------------------- greedy keep-first
 @dataclass(frozen=True)
 class Family:
-    """One similarity rule: key columns on both sides and the exact check.
+    """One similarity rule: key columns on both sides, what a pair must meet when keys meet, and the exact check.
 
     ``keys`` lists (side, array of keys); rows of side 0 meet side 0, side 1 meets side 2.
-    ``carry`` names the columns the check needs; it reads them as ``e_*`` (earlier) and ``l_*``.
+    ``carry`` names small values that travel with every key, for ``near``; ``conflict`` reads the columns in ``check`` once
+    per pair.  Both read them as ``e_*`` (earlier) and ``l_*``.  Without ``conflict`` the first condition is exact.
     """
 
     name: str
     keys: list[tuple[int, Column]]
-    carry: list[str]
-    conflict: Column
+    carry: dict[str, Column]
+    near: Column
+    check: tuple[str, ...] = ()
+    conflict: Column | None = None
 
     def rows(self, df: DataFrame) -> DataFrame:
         out = None
         for side, keys in self.keys:
-            part = df.select("id", "arrival_idx", *self.carry, F.lit(side).alias("side"), F.explode(keys).alias("k"))
+            part = df.select("id", "arrival_idx", *[c.alias(name) for name, c in self.carry.items()], F.lit(side).alias("side"), F.explode(keys).alias("k"))
             out = part if out is None else out.unionByName(part)
         return out
 
 
 def guid_family() -> Family:
     key = F.when(text("guid") != "", F.array(F.col("guid"))).otherwise(F.array().cast("array<string>"))
-    return Family("guid", [(0, key)], [], F.lit(True))
+    return Family("guid", [(0, key)], {}, F.lit(True))
 
 
 def fingerprint_family(radius: int = RADIUS, blocks: int = BLOCKS) -> Family:
     masks = block_masks(blocks, radius)
     keys = F.when(F.col("simhash").isNotNull(), fingerprint_keys(F.col("simhash"), masks))
-    return Family("simhash", [(0, keys)], ["simhash"], fp.hamming("e_simhash", "l_simhash") <= radius)
+    return Family("simhash", [(0, keys)], {"simhash": F.col("simhash")}, fp.hamming("e_simhash", "l_simhash") <= radius)
 
 
 def title_families(as_of: Column, threshold: float, long_title: int = 40, hours: int = 24) -> list[Family]:
-    """Title rules; an earlier item counts only while it is younger than ``hours``."""
+    """Title rules; an earlier item counts only while it is younger than ``hours``.
+
+    Titles can be long, so the two word rules send hashes of keys and lengths, and compare words once per pair.
+    """
+    published = F.col("published_at")
     fresh = F.col("e_published_at") > as_of - F.make_dt_interval(hours=F.lit(hours))
     usable = F.size("tokens") >= 3
-    none = F.array().cast("array<string>")
-    long_later = F.length("l_norm") > long_title
-    part = long_later & (F.contains("l_norm", "e_norm") | F.contains("e_norm", "l_norm"))
+    short, large = F.least("e_n", "l_n"), F.greatest("e_n", "l_n")
+    part = F.contains("l_norm", "e_norm") | F.contains("e_norm", "l_norm")
+
+    def hashed(keys: Column) -> Column:
+        return F.when(usable, F.transform(keys, lambda k: F.xxhash64(k))).otherwise(F.array().cast("array<long>"))
+
     return [
-        Family("title", [(0, F.when(usable, F.array("norm")).otherwise(none))], ["published_at"], fresh),
-        Family("overlap", [(0, F.when(usable, overlap_keys(F.col("tokens"), threshold)).otherwise(none))],
-               ["tokens", "published_at"],
-               fresh & (tx.jaccard(F.col("e_tokens"), F.col("l_tokens")) >= threshold)),
-        Family("part", [(1, F.when(usable, inner_keys(F.col("norm"), True)).otherwise(none)),
-                        (2, F.when(usable, inner_keys(F.col("norm"), False)).otherwise(none))],
-               ["norm", "published_at"], fresh & part),
+        Family("title", [(0, F.when(usable, F.array(F.md5("norm"))).otherwise(F.array().cast("array<string>")))], {"published_at": published}, fresh),
+        Family("overlap", [(0, hashed(overlap_keys(F.col("tokens"), threshold)))], {"published_at": published, "n": F.size("tokens")},
+               fresh & (short >= threshold * large - 1e-9), ("tokens",), tx.jaccard(F.col("e_tokens"), F.col("l_tokens")) >= threshold),
+        Family("part", [(1, hashed(inner_keys(F.col("norm"), True))), (2, hashed(inner_keys(F.col("norm"), False)))],
+               {"published_at": published, "n": F.length("norm")}, fresh & (F.col("l_n") > long_title), ("norm",), part),
     ]
 
 
@@ -291,73 +333,107 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _conflicts(rows: DataFrame, f: Family, depth: int) -> tuple[DataFrame, DataFrame]:
+def _conflicts(items: DataFrame, rows: DataFrame, f: Family, depth: int) -> tuple[DataFrame, DataFrame]:
     """(conflict edges from the first ``depth`` rows of each key, ids that have earlier rows beyond them)."""
     heads = ordered.first_n(rows, ["k", "side"], ["arrival_idx"], depth)
     heads = heads.select(F.col("k").alias("_k"), _meets(F.col("side")).alias("_side"), F.col("id").alias("e"),
                          F.col("arrival_idx").alias("_idx"), *[F.col(c).alias(f"e_{c}") for c in f.carry])
     later = rows.select("id", "arrival_idx", "side", "k", *[F.col(c).alias(f"l_{c}") for c in f.carry])
     met = (F.col("k") == F.col("_k")) & (F.col("side") == F.col("_side"))
-    edges = later.join(heads, met & (F.col("_idx") < F.col("arrival_idx")) & f.conflict).select("e", F.col("id").alias("l"))
+    edges = later.join(heads, met & (F.col("_idx") < F.col("arrival_idx")) & f.near).select("e", F.col("id").alias("l"))
+    if f.conflict is not None:
+        sides = [items.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in f.check]) for s in ("e", "l")]
+        edges = edges.distinct().join(sides[0], "e").join(sides[1], "l").where(f.conflict).select("e", "l")
     full = heads.groupBy("_k", "_side").agg(F.count("*").alias("_n"), F.max("_idx").alias("_last")).filter(F.col("_n") >= depth)
     beyond = rows.select("id", "arrival_idx", "side", "k").join(full, met & (F.col("_last") < F.col("arrival_idx")), "left_semi")
     return edges, beyond.select(F.col("id").alias("l"))
 
 
+def first_of_copies(items: DataFrame, same: list[str], sure: Column) -> DataFrame:
+    """First arrival of each class of rows that agree in ``same``; rows that are not ``sure`` stand alone.
+
+    If rows of a class conflict with each other, and what conflicts with one as the later row conflicts with all, a later
+    row of the class always falls: to the first one if that is kept, else to what the first one fell to.
+    """
+    value = F.concat_ws("|", *[F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in same])
+    key = F.when(sure, F.md5(value)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
+    first = items.groupBy(key.alias("_class")).agg(F.min_by("id", "arrival_idx").alias("id"))
+    return items.join(first.select("id"), "id", "left_semi")
+
+
+def _written(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The rows, cut through the checkpoint folder, and how many of them meet each condition, from the same job."""
+    seen = Observation()
+    done = cut(df.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()]))
+    return done, seen.get
+
+
+def _freed(links: DataFrame) -> DataFrame:
+    """Rows that fall now: the later ends of open links (earlier ``e``, later ``l``) whose earlier end is kept.
+
+    A row without an open link to an earlier row is kept. A null ``e`` stands for earlier rows that were not looked at yet.
+    """
+    held = links.select(F.col("l").alias("_held")).distinct()
+    return links.where("e IS NOT NULL").join(held, F.col("e") == F.col("_held"), "left_anti").select("l").distinct()
+
+
 def greedy_keep_first(items: DataFrame, families: list[Family], depth: int = 256,
                       on_round: Callable[[int, int], None] | None = None) -> DataFrame:
     """Sequential keep-first: an item is dropped if an earlier kept item conflicts with it.
 
     A round looks at conflicts with the first ``depth`` undecided rows of each key, so a
     key costs linear work; a small depth suits inputs with large clusters of near copies.  Items with earlier
-    rows beyond the depth wait for a later round; no conflict is left out.  Conflict edges and
-    undecided rows are written to the checkpoint folder.
+    rows beyond the depth wait for a later round; no conflict is left out.  A level of decisions writes the rows that fall
+    and the links that stay open to the checkpoint folder, and takes its counts from these two jobs.
+
+    Frames that go from level to level pass semi and anti joins alone: other joins multiply the planner's size estimates,
+    which checkpoints keep, until the numbers themselves take minutes.
     """
-    left, kept_parts, round_no = cut(items), [], 0
+    left, seen = _written(items, open=F.lit(True))
+    kept_parts, round_no = [], 0
     while True:
-        n = left.count()
         if on_round:
-            on_round(round_no, n)
-        if n == 0:
+            on_round(round_no, seen["open"])
+        if seen["open"] == 0:
             break
         # key rows are read by both results; if an executor takes its copies along, they are computed again
         keyed = [f.rows(left).persist(StorageLevel.MEMORY_AND_DISK) for f in families]
-        found = [_conflicts(rows, f, depth) for rows, f in zip(keyed, families)]
-        edges = cut(_union([e for e, _ in found]).distinct())
-        waiting = cut(_union([w for _, w in found]).distinct())
-        for rows in keyed:
-            rows.unpersist()
+        found = [_conflicts(left, part, f, depth) for part, f in zip(keyed, families)]
+        first = _union([e for e, _ in found]).unionByName(_union([w for _, w in found]).select(F.lit(None).cast("long").alias("e"), "l"))
+        links, n = _written(first.distinct(), open=F.lit(True))
+        for part in keyed:
+            part.unpersist()
         dropped = []
-        # a row that waits, or that still has an undecided earlier conflict, cannot be decided as kept
-        while True:
-            held = edges.select(F.col("l").alias("e")).unionByName(waiting.select(F.col("l").alias("e")))
-            sources = edges.select("e").distinct().join(held, "e", "left_anti")
-            gone = cut(edges.join(sources, "e", "left_semi").select("l").distinct())
-            if gone.count() == 0:
+        while n["open"]:
+            gone, fell = _written(_freed(links), gone=F.lit(True))
+            if not fell["gone"]:
                 break
             dropped.append(gone)
             # every conflict of a dropped row vanishes, on either side
-            edges = cut(edges.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("e")), "e", "left_anti"))
-            waiting = cut(waiting.join(gone, "l", "left_anti"))
-        out = _union(dropped).select(F.col("l").alias("id")) if dropped else None
-        rest = left.join(out, "id", "left_anti") if out is not None else left
-        pending = edges.select(F.col("l").alias("id")).unionByName(waiting.select(F.col("l").alias("id"))).distinct()
-        kept = cut(rest.join(pending, "id", "left_anti").select("id"))
-        kept_parts.append(kept)
-        left = cut(rest.join(pending, "id", "left_semi"))
+            links, n = _written(links.join(gone, "l", "left_anti").join(gone.select(F.col("l").alias("e")), "e", "left_anti"), open=F.lit(True))
+        rest = left.join(_union(dropped).select(F.col("l").alias("id")), "id", "left_anti") if dropped else left
+        pending = links.select(F.col("l").alias("id")).distinct()
+        kept_parts.append(cut(rest.join(pending, "id", "left_anti").select("id")))
+        left, seen = _written(rest.join(pending, "id", "left_semi"), open=F.lit(True))
         round_no += 1
-    if not kept_parts:
-        return items
-    return items.join(_union(kept_parts), "id", "left_semi")
+    return items.join(_union(kept_parts), "id", "left_semi") if kept_parts else items
 
 
 def near_duplicate_resolution(items: DataFrame, as_of: Column, threshold: float = 0.85, radius: int = RADIUS) -> DataFrame:
-    """Keep-first over guid, fingerprint and title conflicts inside a batch."""
-    slim = items.select(
+    """Keep-first over guid, fingerprint and title conflicts inside a batch.
+
+    Copies (equal guid, fingerprint and title, where a guid that occurs once counts as none) leave one row each before
+    conflicts are sought.
+    """
+    slim = cut(items.select(
         "id", "arrival_idx", "guid", "simhash", "published_at", squeeze(tx.normalized_title("title")).alias("norm"),
         F.array_sort(tx.title_words("title"), lambda a, b: F.when(F.length(a) > F.length(b), -1)
                      .when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("tokens"),
-    )
+    ))
+    shared = slim.where(text("guid") != "").groupBy("guid").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("guid").alias("_shared"))
+    own = F.when(text("guid") == "", F.concat(F.lit("\x00"), F.col("id").cast("string"))).otherwise(F.col("guid"))
+    slim = slim.join(shared, own == F.col("_shared"), "left").withColumn("guid", F.col("_shared")).drop("_shared")
+    slim = first_of_copies(slim, ["guid", "simhash", "norm"], F.col("simhash").isNotNull() | F.col("guid").isNotNull())
     families = [guid_family(), fingerprint_family(radius), *title_families(as_of, threshold)]
     return items.join(greedy_keep_first(slim, families).select("id"), "id", "left_semi")
 

@@ -70,7 +70,7 @@ def arrived_within(t: Tables, hours: int) -> DataFrame:
 def keep_first(conflicts: str) -> str:
     """SQL of sequential keep-first over the items: an item falls if an earlier kept item conflicts with it."""
     return f"""
-    WITH RECURSIVE n AS (SELECT i.id, row_number() OVER (ORDER BY i.arrival_idx) AS rn, coalesce(c.es, CAST([] AS BIGINT[])) AS es
+    WITH RECURSIVE n AS MATERIALIZED (SELECT i.id, row_number() OVER (ORDER BY i.arrival_idx) AS rn, coalesce(c.es, CAST([] AS BIGINT[])) AS es
         FROM items i LEFT JOIN (SELECT l, list(e) AS es FROM {conflicts} GROUP BY l) c ON c.l = i.id),
     k AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept
       UNION ALL SELECT n.rn, CASE WHEN list_has_any(k.kept, n.es) THEN k.kept ELSE list_append(k.kept, n.id) END

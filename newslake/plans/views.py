@@ -167,9 +167,20 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     # pairs of an earlier and a later item that conflict
     "near_conflicts": (["simhashes"], """
         SELECT e.id AS e, l.id AS l FROM simhashes e JOIN simhashes l ON e.arrival_idx < l.arrival_idx AND bit_count(xor(e.simhash, l.simhash)) <= 6"""),
-    "title_conflicts": (["title_sets"], f"""
-        SELECT e.id AS e, l.id AS l FROM title_sets e JOIN title_sets l ON e.arrival_idx < l.arrival_idx
-          AND e.published_at > {AS_OF} - INTERVAL 24 HOUR AND len(e.words) >= 3 AND len(l.words) >= 3
+    "title_conflicts": (["title_sets"], rf"""
+        WITH u AS (SELECT id, arrival_idx, published_at, norm, list_sort(words) AS words, len(words) AS n, string_split(norm, ' ') AS toks
+            FROM title_sets WHERE len(words) >= 3),
+        -- similar sets share one of the first words in any fixed order, and a part's inner words are words of the whole
+        heads AS (SELECT id, n, unnest(words[1:n - CAST(ceil(0.85 * n - 1e-9) AS INTEGER) + 1]) AS w FROM u),
+        alike AS (SELECT DISTINCT a.id AS x, b.id AS y FROM heads a JOIN heads b ON a.w = b.w AND a.id <> b.id AND a.n >= 0.85 * b.n AND b.n >= 0.85 * a.n),
+        longest AS (SELECT id, list_reverse_sort(list_transform(toks[2:len(toks) - 1], lambda t: {{'n': length(t), 't': t}}))[1].t AS w FROM u),
+        inner_words AS (SELECT DISTINCT id, unnest(toks) AS w FROM u),
+        parts AS (SELECT a.id AS x, b.id AS y FROM longest a JOIN inner_words b ON a.w = b.w AND a.id <> b.id),
+        pairs AS (SELECT x, y FROM alike UNION SELECT x, y FROM parts UNION SELECT y, x FROM parts UNION
+            SELECT a.id, b.id FROM u a JOIN u b ON a.norm = b.norm AND a.id <> b.id)
+        SELECT e.id AS e, l.id AS l FROM pairs JOIN u e ON e.id = x JOIN u l ON l.id = y AND e.arrival_idx < l.arrival_idx
+          AND e.published_at > {AS_OF} - INTERVAL 24 HOUR
         WHERE e.norm = l.norm OR (length(l.norm) > 40 AND (contains(e.norm, l.norm) OR contains(l.norm, e.norm)))
-          OR len(list_intersect(e.words, l.words))::DOUBLE / len(list_distinct(list_concat(e.words, l.words))) >= 0.85"""),
+          OR (least(e.n, l.n) >= 0.85 * greatest(e.n, l.n)
+            AND len(list_intersect(e.words, l.words))::DOUBLE / len(list_distinct(list_concat(e.words, l.words))) >= 0.85)"""),
 }

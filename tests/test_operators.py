@@ -83,13 +83,13 @@ def test_block_masks_never_miss(blocks):
         assert any((a & m & (2**64 - 1)) == (b & m & (2**64 - 1)) for m in masks)
 
 
-@pytest.mark.parametrize("blocks", [7, 8, 9])
-def test_near_stored(items, batch, blocks):
+@pytest.mark.parametrize("runs", [2, 3, 4, 7])
+def test_near_stored(items, batch, runs):
     new, old = items.filter("id >= 130"), items.filter("id < 130")
     want = {r[0] for r in batch[130:] if any(distance(r[4], o[4]) <= 6 for o in batch[:130])}
-    got = {r.id for r in dedup.near_stored(new, old, blocks=blocks).select("id").collect()}
+    got = {r.id for r in dedup.near_stored(new, old, runs=runs).select("id").collect()}
     assert got == want
-    rest = {r.id for r in dedup.not_near_stored(new, old, blocks=blocks).select("id").collect()}
+    rest = {r.id for r in dedup.not_near_stored(new, old, runs=runs).select("id").collect()}
     assert rest == {r[0] for r in batch[130:]} - want
 
 
@@ -116,6 +116,55 @@ def test_greedy_keep_first(items, batch, depth):
     assert len(kept) < len(batch)
 
 
+@pytest.mark.parametrize("radius", [0, 3, 6])
+def test_probes_reach_every_near_value(radius):
+    """Every way to flip up to ``radius`` bits is reached through some run."""
+    rng = random.Random(radius)
+    for runs in (1, 3, 4, 7) if radius else (1, 3):
+        masks = [(m & (1 << 64) - 1, {f & (1 << 64) - 1 for f in flips}) for m, flips in dedup.probe_masks(runs, min(radius, 3) if runs == 1 else radius)]
+        assert sum(m for m, _ in masks) == (1 << 64) - 1
+        for _ in range(300):
+            bits = rng.sample(range(64), rng.randint(0, min(radius, 3) if runs == 1 else radius))
+            flip = sum(1 << b for b in bits)
+            assert any(flip & m in flips for m, flips in masks)
+
+
+def test_copies_leave_one_row_each(spark):
+    """Classes of equal rows, rows that share a guid alone, and rows without a fingerprint, against the sequential rule."""
+    rng = random.Random(17)
+    heads = [f"{a} report about {b} {c} today" for a in ("daily", "late") for b in ("river", "market", "council") for c in ("flood", "prices")]
+    rows = []
+    for i in range(260):
+        title = rng.choice(heads) if rng.random() < 0.7 else f"single story number {i} of many"
+        simhash = rng.choice([None, 0, 1, 127, 1 << 40, (1 << 40) + 255, rng.getrandbits(60)])
+        rows.append((i, 1000 + i, rng.choice(["", f"g{rng.randrange(40)}", f"own{i}"]), title, simhash, rng.choice([1, 30])))
+    df = spark.createDataFrame(rows, "id long, arrival_idx long, guid string, title string, simhash long, hours int")
+    df = df.withColumn("published_at", now() - F.make_dt_interval(hours=F.col("hours")))
+    kept = []
+    for r in rows:
+        if not any((r[2] and r[2] == k[2]) or (r[4] is not None and k[4] is not None and distance(r[4], k[4]) <= 6)
+                   or (k[5] < 24 and title_match(r[3], k[3])) for k in kept):
+            kept.append(r)
+    got = sorted(r.id for r in dedup.near_duplicate_resolution(df, now()).select("id").collect())
+    assert got == [r[0] for r in kept] and len(got) < 200
+
+
+def test_levels_of_keep_first_are_one_job_each(spark):
+    """A chain of n conflicts takes n levels, each with one write; a key beyond the depth takes rounds, and nothing is lost."""
+    chain = [(i, i, f"{i // 2}", f"{(i + 1) // 2}") for i in range(12)]  # each row conflicts with its neighbours alone
+    df = spark.createDataFrame(chain, "id long, arrival_idx long, a string, b string")
+    families = [dedup.Family(c, [(0, F.array(c))], {}, F.lit(True)) for c in ("a", "b")]
+    assert sorted(r.id for r in dedup.greedy_keep_first(df, families).select("id").collect()) == list(range(0, 12, 2))
+    rounds = []
+    same = spark.range(500).select("id", F.col("id").alias("arrival_idx"), F.lit("k").alias("a"))
+    got = dedup.greedy_keep_first(same, families[:1], depth=4, on_round=lambda r, n: rounds.append(n)).collect()
+    assert [r.id for r in got] == [0] and rounds == [500, 0]
+    far = [dedup.Family("a", [(0, F.array("a"))], {}, F.lit(False))]
+    rounds.clear()
+    assert dedup.greedy_keep_first(same, far, depth=200, on_round=lambda r, n: rounds.append(n)).count() == 500
+    assert rounds == [500, 300, 100, 0]
+
+
 def test_staged_first_wins(spark):
     rng = random.Random(3)
     rows = [(i, i, f"T{rng.randrange(60)}", rng.choice(["", f"h{rng.randrange(50)}"]), rng.choice(["", f"c{rng.randrange(50)}"]), f"n{rng.randrange(70)}")
