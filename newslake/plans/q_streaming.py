@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslake.functions import fingerprint as fp
-from newslake.operators import usage
 from newslake.plans import ingest
 from newslake.plans.common import DEMO, feed_items, keep_first, printed
 from newslake.plans.registry import REGISTRY as R
@@ -154,7 +153,11 @@ def t11(t: Tables) -> DataFrame:
 
 @R.add("t12_cache_expiry", views="response_cache", sql=f"SELECT cache_key, task_type FROM response_cache WHERE expires_at >= {AS_OF}")
 def t12(t: Tables) -> DataFrame:
-    kept, _ = usage.purge_expired(t.response_cache, as_of())
-    return kept.select("cache_key", "task_type")
-
-
+    """Entries that no expiry event before the tick has ended.
+
+    Time is carried by the entries; a second stream of the same table, dated at the tick under keys of its own, takes it there.
+    """
+    entries = _streams(t).response_cache
+    ahead = entries.withColumns({"cache_key": F.concat(F.lit("ahead|"), "cache_key"), "created_at": F.greatest("created_at", as_of())})
+    ended = jobs.drain(jobs.expired_entries(entries.unionByName(ahead)), "t12").where(F.col("expires_at") < as_of())
+    return t.response_cache.join(ended.select("cache_key"), "cache_key", "left_anti").select("cache_key", "task_type")

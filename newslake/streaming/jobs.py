@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from newslake.operators import dedup, ordered, routing
 from newslake.plans import ingest
@@ -176,3 +176,53 @@ def rate_limited_stream(requests: DataFrame, limit: int = 3, seconds: int = 60)
     return rows.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=RateLimiter(limit, seconds), outputStructType="user_id string, id long, accepted boolean",
         outputMode="Append", timeMode="None")
+
+
+# ------------------------------------------------------------ cache expiry
+class CacheExpiry(StatefulProcessor):
+    """Keeps the newest entry per key with a timer at its end; an entry renewed before its end moves the timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", StructType([
+            StructField("task_type", StringType()), StructField("created", LongType()), StructField("until", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        held = tuple(self.entry.get()) if self.entry.exists() else None
+        arrived = sorted((int(c), int(u), t) for chunk in rows for t, c, u in zip(chunk["task_type"], chunk["created"], chunk["until"]))
+        newest, ended = held, []
+        for created, until, task in arrived:
+            if newest is not None and newest[2] <= created:
+                ended.append(newest)
+            if newest is None or (created, until) > newest[1:]:
+                newest = (task, created, until)
+        if newest != held:
+            if held is not None:
+                self.handle.deleteTimer(held[2])
+            self.entry.update(newest)
+            self.handle.registerTimer(newest[2])
+        if ended:
+            yield pd.DataFrame({"cache_key": [key[0]] * len(ended), "task_type": [e[0] for e in ended], "until": [e[2] for e in ended]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        if self.entry.exists():
+            task, _, until = self.entry.get()
+            if until <= expiredTimerInfo.getExpiryTimeInMs():
+                self.entry.clear()
+                yield pd.DataFrame({"cache_key": [key[0]], "task_type": [task], "until": [until]})
+
+    def close(self) -> None:
+        pass
+
+
+def expired_entries(entries: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(cache_key, task_type, expires_at) of a stream of cache entries, once time has passed an entry's end.
+
+    Time is that of the entries' ``created_at``, less ``late``. A newer entry of a key replaces the one before and its end; state
+    holds live keys alone.
+    """
+    rows = entries.withWatermark("created_at", late).select(
+        "cache_key", "task_type", "created_at", F.unix_millis("created_at").alias("created"), F.unix_millis("expires_at").alias("until"))
+    ended = rows.groupBy("cache_key").transformWithStateInPandas(
+        statefulProcessor=CacheExpiry(), outputStructType="cache_key string, task_type string, until long", outputMode="Append", timeMode="EventTime")
+    return ended.select("cache_key", "task_type", F.timestamp_millis("until").alias("expires_at"))

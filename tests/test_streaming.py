@@ -42,3 +42,27 @@ def test_late_and_early_rows_are_logged(spark, tmp_path):
     jobs.ingest_handler(spark, store, drops, lambda _: now)(batch, 0)
     assert [r.id for r in spark.read.parquet(store).collect()] == [1]
     assert {(r.id, r.event_type) for r in spark.read.parquet(drops).collect()} == {(2, "drop_old"), (3, "drop_date")}
+
+
+def test_cache_expiry_over_batches(spark, tmp_path):
+    """An entry ends when time passes its end; one renewed in a later batch lives on; nothing ends twice."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "cache_key string, task_type string, created long, until long"
+    batches = [
+        [("a", "x", 1, 100), ("b", "x", 1, 150), ("c", "y", 1, 1000)],
+        [("a", "x", 90, 400), ("late", "x", 120, 130)],          # a is renewed before its end
+        [("d", "x", 200, 900), ("b", "z", 190, 210)],             # b comes back after its end
+        [("e", "x", 500, 2000), ("e", "x", 499, 501)],            # the older of two entries does not count
+    ]
+    state, source = str(tmp_path / "state"), str(tmp_path / "in")
+    got = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source).withColumns(
+            {"created_at": F.timestamp_seconds("created"), "expires_at": F.timestamp_seconds("until")})
+        found = jobs.expired_entries(stream).withColumn("end", F.unix_seconds("expires_at"))
+        query = (found.writeStream.outputMode("append").foreachBatch(lambda b, _: got.extend((r.cache_key, r.task_type, r.end) for r in b.collect()))
+                 .option("checkpointLocation", state).trigger(availableNow=True).start())
+        query.awaitTermination()
+    assert sorted(got) == [("a", "x", 400), ("b", "x", 150), ("b", "z", 210), ("late", "x", 130)]
