@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of one recursive query, and the token-position rows that it may start with.
-WORDS, START_ROWS = 30_000, 250_000
+WORDS, START_ROWS = 30_000, 400_000
 #: Rows that a recursion may gather over all its steps; a longer one goes on from where it stopped.
 STEP_ROWS = 4_000_000
 #: Cached pieces of text and words; a full cache is emptied, which costs time but changes nothing.
-CACHE = 700_000
+CACHE = 900_000
 #: Tokens that are decoded in one query.
 DECODE = 1_000_000
 _PLACE = 1 << 30
@@ -217,7 +217,7 @@ def tokenizer_of(tokens: tuple[bytes, ...], pattern: str) -> Tokenizer:
     return Tokenizer(tokens, pattern)
 
 
-def _batches(texts: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def _batches(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
     at, total, out = 0, 0, []
     for i, t in enumerate(texts):
         out.append(t.as_py() or "")
