@@ -34,6 +34,19 @@ def tidy(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def fresh(df: DataFrame, stem: str = "own") -> str:
+    """A prefix with which no column of ``df`` begins, for helper columns beside a caller's."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(stem) for c in taken):
+        stem += "_"
+    return stem + "_"
+
+
+def same_columns(df: DataFrame) -> list[Column]:
+    """The columns of a frame by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def text_of(name: str = "text") -> Column:
     """Null-safe text: null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

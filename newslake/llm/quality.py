@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslake.functions.base import let
-from newslake.llm.common import SPACE, SPACE_CHARS, WORD, text_of, wordlist
+from newslake.llm.common import SPACE, SPACE_CHARS, WORD, fresh, same_columns, text_of, wordlist
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -30,11 +30,20 @@ LINE_PATTERNS = {
     "shouted": r"!![^\n]*!![^\n]*!!",
     "menu_bar": r"(\|[^|]*){3}|([»›•·][^»›•·]*){3}",
     "menu_entry": r"(?i)^\s*(home|menu|contact( us)?|about( us)?|log ?in|log ?out|sign ?(in|up)|register|search|sitemap|"
-                  r"next|previous|back to top|skip to (main )?content|share|print|reply|impressum|accueil|startseite|inicio)\s*$",
+                  r"next|previous|back to top|skip to (main )?content|share|print|reply|"
+                  r"impressum|startseite|kontakt|[üÜ]ber uns|suche|anmelden|abmelden|weiter|zur[üÜ]ck|nach oben|"
+                  r"accueil|rechercher|connexion|d[éÉ]connexion|suivant|pr[éÉ]c[éÉ]dent|[àÀ] propos|haut de page|"
+                  r"inicio|contacto|buscar|iniciar sesi[óÓ]n|siguiente|anterior|acerca de|volver arriba)\s*$",
     "boilerplate": r"(?i)(accept|use)s? (all )?cookies|cookie (policy|settings)|privacy policy|terms (of|and) (use|service|conditions)|"
                    r"(enable|requires?) javascript|subscribe to (our|the)|sign up for (our|the)|click here|read more\b|"
                    r"follow us on|share (this|on)|powered by wordpress|lorem ipsum|skip to (main )?content|"
-                   r"all rights reserved\.?\s*$",
+                   r"all rights reserved\.?\s*$|"
+                   r"cookies akzeptieren|datenschutzerkl[äÄ]rung|nutzungsbedingungen|newsletter abonnieren|hier klicken|weiterlesen\b|"
+                   r"folgen sie uns|alle rechte vorbehalten|"
+                   r"accepter (tous )?les cookies|politique de confidentialit[éÉ]|conditions d.utilisation|mentions l[éÉ]gales|"
+                   r"abonnez-vous|cliquez ici|lire la suite|suivez-nous|tous droits r[éÉ]serv[éÉ]s|"
+                   r"aceptar (todas )?las cookies|pol[íÍ]tica de privacidad|t[éÉ]rminos (de uso|y condiciones)|aviso legal|"
+                   r"suscr[íÍ]bete|haga clic aqu[íÍ]|leer m[áÁ]s|s[íÍ]guenos|todos los derechos reservados",
 }
 #: A menu has so many separators and at most so many words to each of its entries on average.
 MENU_MARKS = 3
@@ -54,7 +63,11 @@ GATES = {
     "shouted": ("!!",),
     "menu_bar": ("|", "»", "›", "•", "·"),
     "boilerplate": ("cookie", "privacy", "terms", "javascript", "subscribe", "sign up", "click here", "read more", "follow us",
-                    "share", "wordpress", "lorem", "skip to", "rights reserved"),
+                    "share", "wordpress", "lorem", "skip to", "rights reserved",
+                    "datenschutzerkl", "nutzungsbedingungen", "newsletter abonnieren", "hier klicken", "weiterlesen", "folgen sie uns",
+                    "rechte vorbehalten", "confidentialit", "conditions d", "mentions l", "abonnez-vous", "cliquez ici", "lire la suite",
+                    "suivez-nous", "tous droits r", "de privacidad", "rminos ", "aviso legal", "suscr", "haga clic", "leer m", "guenos",
+                    "los derechos reservados"),
 }
 #: So many words make a line long enough to end without a mark.
 LONG_LINE = SPACE.replace("+", "*") + "(?:" + WORD + SPACE + ")" + "{%d}" % (SHORT_LINE - 1) + WORD
@@ -76,13 +89,10 @@ def _large_share(line: Column) -> dict[str, Column]:
     }
 
 
-def line_fails(line: Column, gates: dict[str, Column], symbols: Column, by_share: bool = True) -> Column:
-    """True if a line is not running text: shouted, a menu, boilerplate, symbols, or a short scrap without an end.
-
-    Without ``by_share`` a menu or boilerplate pattern anywhere in a line of any length is enough.
-    """
+def line_fails(line: Column, gates: dict[str, Column], symbols: Column) -> Column:
+    """True if a line is not running text: shouted, mostly a menu or boilerplate, symbols, or a short scrap without an end."""
     failed = F.lit(False)
-    shares = _large_share(line) if by_share else {}
+    shares = _large_share(line)
     for name, pattern in LINE_PATTERNS.items():
         fits = gates[name] & line.rlike(pattern) if name in gates else line.rlike(pattern)
         failed = failed | (fits & shares[name] if name in shares else fits)
@@ -90,14 +100,14 @@ def line_fails(line: Column, gates: dict[str, Column], symbols: Column, by_share
     return failed | (symbols > 0) & (F.regexp_count(line, F.lit(SYMBOL)) * SYMBOL_SHARE > F.length(line)) | scrap
 
 
-def clean_lines(text: Column, symbols: Column, by_share: bool = True) -> Column:
+def clean_lines(text: Column, symbols: Column) -> Column:
     """The text without the lines that fail; lines without a word stay. ``symbols`` is the text's number of symbols."""
     def gates(lowered: Column) -> Column:
         held = {n: reduce(or_, [F.contains(lowered, F.lit(w)) for w in words]) for n, words in GATES.items()}
         return F.struct(symbols.alias("symbols"), *[c.alias(n) for n, c in held.items()])
 
     return let(let(F.lower(text), gates), lambda g: F.array_join(F.filter(
-        F.split(text, "\n"), lambda line: ~line_fails(line, {n: g[n] for n in GATES}, g["symbols"], by_share)), "\n"))
+        F.split(text, "\n"), lambda line: ~line_fails(line, {n: g[n] for n in GATES}, g["symbols"])), "\n"))
 
 
 def repeated_words(words: Column) -> Column:
@@ -132,46 +142,59 @@ def word_chars(text: Column) -> Column:
     return (F.length(text) - F.regexp_count(text, F.lit(SPACE.rstrip("+")))).cast("bigint")
 
 
-def judge(docs: DataFrame, text: str = "text", by_share: bool = True) -> DataFrame:
-    """The documents with their measures, ``clean_text`` and the verdict ``kept``, in columns named ``q_*``.
+def judge(docs: DataFrame, text: str = "text", q: str = "q_") -> DataFrame:
+    """The documents with their measures, ``clean_text`` and the verdict ``kept``, in columns whose names begin with ``q``.
 
     A null text counts as empty and is rejected; every row is judged by itself, so repeated rows, ties and null ids
-    need no rule; an empty table gives an empty one; columns of the input stay, except that ``q_*`` names are replaced.
-    ``by_share`` is that of ``line_fails``.
+    need no rule; an empty table gives an empty one; columns of the input stay, except that equal names are replaced.
     """
     t = text_of(text)
-    measured = docs.withColumn("q", let(wordlist(t), lambda w: F.struct(
+    measured = docs.withColumn(f"{q}counts", let(wordlist(t), lambda w: F.struct(
         F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"))))
     lines = F.split(t, "\n")
     worded = F.filter(lines, lambda line: F.length(F.btrim(line, F.lit(SPACE_CHARS))) > 0)
     measured = measured.withColumns({
-        "q_n_words": F.col("q.n_words"),
-        "q_word_chars": word_chars(t),
-        "q_n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("bigint"),
-        "q_n_dup_lines": let(worded, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("bigint"),
-        "q_n_repeat_words": F.col("q.n_repeat_words"),
-    }).drop("q").withColumn("q_clean_text", clean_lines(t, F.col("q_n_symbols"), by_share))
-    failed = (F.col("q_n_words") < MIN_WORDS) | (F.col("q_n_repeat_words") * 100 > F.col("q_n_words") * MAX_REPEAT_PERCENT)
-    left = word_chars(F.col("q_clean_text")) * 100 >= F.col("q_word_chars") * MIN_KEPT_PERCENT
-    return measured.withColumn("q_base_failed", failed).withColumn("q_kept", ~F.col("q_base_failed") & left)
+        f"{q}n_words": F.col(f"{q}counts.n_words"),
+        f"{q}word_chars": word_chars(t),
+        f"{q}n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("bigint"),
+        f"{q}n_dup_lines": let(worded, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("bigint"),
+        f"{q}n_repeat_words": F.col(f"{q}counts.n_repeat_words"),
+    }).drop(f"{q}counts").withColumn(f"{q}clean_text", clean_lines(t, F.col(f"{q}n_symbols")))
+    n_words = F.col(f"{q}n_words")
+    failed = (n_words < MIN_WORDS) | (F.col(f"{q}n_repeat_words") * 100 > n_words * MAX_REPEAT_PERCENT)
+    left = word_chars(F.col(f"{q}clean_text")) * 100 >= F.col(f"{q}word_chars") * MIN_KEPT_PERCENT
+    return measured.withColumn(f"{q}base_failed", failed).withColumn(f"{q}kept", ~F.col(f"{q}base_failed") & left)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: its measures and verdict, by the line rules as the SQL states them (anywhere in a line)."""
+    """One row per document: its measures and verdict, and the characters that the line rules leave."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(docs.select("doc_id", "text"), by_share=False).select(
+    return judge(docs.select("doc_id", "text")).select(
         "doc_id", *[F.col(f"q_{n}").alias(n) for n in names], F.length("q_clean_text").cast("bigint").alias("clean_chars"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their cleaned text."""
-    return judge(docs).where("q_kept").withColumn("text", F.col("q_clean_text")).select(*docs.columns)
+    """The documents that pass, with their cleaned text.
+
+    Rows are judged one by one, as ``judge`` says: null and empty texts go, repeated rows stay or go together. Other columns
+    come through as they are, whatever their names; an empty table gives an empty one.
+    """
+    own = fresh(docs)
+    passed = judge(docs, q=own).where(F.col(f"{own}kept"))
+    return passed.withColumn("text", F.col(f"{own}clean_text")).select(*same_columns(docs))
 
 
 def sql() -> str:
-    """The report in DuckDB's SQL."""
+    """The report in DuckDB's SQL. Dots between letters are taken out first, as RE2 cannot look around."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    bad = " OR ".join(f"regexp_matches(l, {q(p)})" for p in LINE_PATTERNS.values())
+    count = lambda s, p: f"len(regexp_extract_all({s}, {q(p)}))"
+    inner = q(r"(\p{L})·(\p{L})")
+    dots = f"regexp_replace(regexp_replace(l, {inner}, '\\1\\2', 'g'), {inner}, '\\1\\2', 'g')"
+    marks = "(" + " + ".join([count(dots, "[|•·]")] + [f"greatest(0, {count('l', a)} - {count('l', b)})" for a, b in QUOTES]) + ")"
+    phrases = f"array_to_string(regexp_extract_all(l, {q(LINE_PATTERNS['boilerplate'])}), ' ')"
+    share = {"menu_bar": f" AND {marks} >= {MENU_MARKS} AND {count('l', ENTRY_WORD)} <= ({marks} + 1) * {ENTRY_WORDS}",
+             "boilerplate": f" AND {count(phrases, WORD)} * {PHRASE_SHARE} >= {count('l', WORD)}"}
+    bad = " OR ".join(f"(regexp_matches(l, {q(p)}){share.get(n, '')})" for n, p in LINE_PATTERNS.items())
     bare = lambda s: f"translate({s}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')"
     return f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ POLICY = " ".join(["The company changed its privacy policy on Monday and asked r
     ("The company changed its privacy policy on Monday.", False), ("Home » News » Sport » Results", True),
     ("Start • Über uns • Kontakt • Impressum", True), ("Home · News · Sport · Contact", True), ("a | b | c | d | e | f " * 20, True),
     ("Privacy Policy | Terms of Use", True), ("Subscribe to our newsletter", True), ("Please read our privacy policy.", True),
+    ("Bitte lesen Sie unsere Datenschutzerklärung.", False), ("Unsere Datenschutzerklärung.", True), ("Alle Rechte vorbehalten.", True),
+    ("Lire la suite", True), ("Politique de confidentialité", True), ("Todos los derechos reservados.", True), ("Política de privacidad", True),
+    ("Leer más es un placer que se aprende despacio en casa.", False), ("Über uns", True), ("a·b c·d e·f g·h", False),
 ])
 def test_rules_need_a_large_share_of_the_line(spark, checkpoints, line, fails):
     df = spark.createDataFrame([(line,)], "text string")
@@ -28,3 +32,15 @@ def test_stage_keeps_running_text(spark, checkpoints):
     rows = [(1, FRENCH + " " + GERMAN), (2, POLICY)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, df, "").collect()} == dict(rows)
+
+
+def test_query_judges_as_the_stage_does(spark, checkpoints):
+    rows = [(1, FRENCH + " " + GERMAN), (2, POLICY)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept and r.clean_chars == len(dict(rows)[r.doc_id]) for r in quality.report(df).collect())
+    shared = [(3, FRENCH + "\n" + GERMAN + "\na·b·c·d | e\n| Start | Über uns | Kontakt |\nHier klicken und weiterlesen."), (4, POLICY + "\nx·y ·z· w • q ·")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows + shared)
+    got = quality.report(spark.createDataFrame(rows + shared, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(quality.sql()).fetchall())
