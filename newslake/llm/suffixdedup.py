@@ -14,15 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslake.llm.anchors import LENGTH, PIECE, SPAN, Piece, runs
-from newslake.llm.common import cut, text_of, tidy
+from newslake.llm.common import cut, fresh, same_columns, text_of, tidy
 from newslake.llm.shingles import mix
 
 #: Starts of a block; single starts follow.
 BLOCK = 16
+#: Parts of a bucket whose members are judged in tasks of their own: one bit of a long each.
+PARTS = 64
 #: Bytes of texts that are scanned together.
 RUN = 1 << 22
 
@@ -151,25 +153,37 @@ def _singles(summary: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def _settle(summaries: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Occurrences in buckets of two or more, with ``repeated`` and ``split`` (goes on to the next refinement).
 
-    Summaries are partial: a key of any weight sends a row per batch. The occurrences of a heavy key meet one row of the
-    status table, in a join that may split them. Only the status of such buckets is written.
+    Summaries are partial: a key of any weight sends a row per batch. A bucket is dealt in ``PARTS`` parts by its members'
+    hashes; what holds for all of it is a partial aggregate of one row, sent back to the parts that it has, so no bucket
+    meets in one task. The occurrences of a heavy key meet one row of the status table, in a join that may split them.
+    Only the status of such buckets is written.
     """
     width = max(1, int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    each = summaries.repartition(width, "bucket").groupBy("bucket", "whole").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    mine = Window.partitionBy("bucket")  # dealt by bucket already
+    part = F.col("whole").bitwiseAND(PARTS - 1).cast("int")
+    each = summaries.withColumn("part", part).repartition(width, "bucket", "part").groupBy("bucket", "part", "whole").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"))
     each = each.withColumn("repeated", F.col("least") != F.col("most"))
-    each = each.withColumns({"n": F.count("*").over(mine), "all": F.bool_and("repeated").over(mine)})
-    status = cut(each.where("n > 1 OR repeated").select(
-        F.col("bucket").alias("b"), F.col("whole").alias("w"), "least", "repeated", (~F.col("all") & (F.col("n") > 1)).alias("mixed")))
+    buckets = each.groupBy(F.col("bucket").alias("b")).agg(
+        F.count("*").alias("n"), F.bool_and("repeated").alias("all"), F.bool_or("repeated").alias("any"),
+        F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts")).where("n > 1 OR any")
+    held = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.getbit("parts", p) == 1)
+    buckets = buckets.select("b", (~F.col("all") & (F.col("n") > 1)).alias("mixed"), F.explode(held).alias("p"))
+    status = each.join(buckets, (F.col("bucket") == F.col("b")) & (F.col("part") == F.col("p"))).drop("b")
+    status = cut(status.select(F.col("bucket").alias("b"), F.col("whole").alias("w"), "least", "repeated", "mixed"))
     joined = occurrences.join(status, (F.col("bucket") == F.col("b")) & (F.col("whole") == F.col("w")))
     lead = _ident(F.col("key"), F.col("place")) == F.col("least")
     return joined.withColumn("split", F.col("mixed") & (~F.col("repeated") | lead)).drop("b", "w", "whole", "least", "mixed")
 
 
+def _class(t: Column) -> tuple[Column, Column]:
+    """Key and extra, both hashes of a text; equal texts are one class."""
+    return F.xxhash64(t), F.xxhash64(F.lit(1), t).bitwiseAND((1 << _EXTRA) - 1)
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """The documents with key and extra, both hashes of the text; equal texts are one class from here on."""
-    t = text_of()
-    return docs.withColumns({"key": F.xxhash64(t), "extra": F.xxhash64(F.lit(1), t).bitwiseAND((1 << _EXTRA) - 1)})
+    """The documents with key and extra, for frames without columns of a caller."""
+    key, extra = _class(text_of())
+    return docs.withColumns({"key": key, "extra": extra})
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -291,9 +305,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def stripped(docs: DataFrame) -> DataFrame:
-    """The documents without the removed bytes; parts of characters that a cut leaves become U+FFFD, and empty texts stay."""
+    """The documents without the removed bytes; parts of characters that a cut leaves become U+FFFD.
+
+    All rows stay, also those whose text becomes empty; a null text stays null; repeated rows of ``LENGTH`` bytes or more
+    become empty. Other columns come through as they are, whatever their names; an empty table gives an empty one.
+    """
     _, rest, _ = removal(docs, texts=True)
-    changed = rest.select(F.col("key").alias("k"), F.col("extra").alias("x"), "rest")
-    named = _named(docs).join(changed, (F.col("key") == F.col("k")) & (F.col("extra") == F.col("x")), "left")
-    kept = F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.call_function("make_valid_utf8", F.col("rest").cast("string")))
-    return named.withColumn("text", kept).select(*docs.columns)
+    own = fresh(docs)
+    changed = rest.select(F.col("key").alias(f"{own}key"), F.col("extra").alias(f"{own}extra"), F.col("rest").alias(f"{own}rest"))
+    key, extra = _class(text_of())
+    joined = docs.join(changed, (key == F.col(f"{own}key")) & (extra == F.col(f"{own}extra")), "left")
+    rest_text = F.call_function("make_valid_utf8", F.col(f"{own}rest").cast("string"))
+    return joined.withColumn("text", F.when(F.col(f"{own}rest").isNull(), F.col("text")).otherwise(rest_text)).select(*same_columns(docs))
