@@ -13,7 +13,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newslake.llm.common import SPACE, WORD, cut
+from newslake.llm.common import SPACE, WORD, cut, fresh, same_columns
 
 WEIGHTS = (5, 2, 1)
 #: Words of the mix in percent of all words, and how often a source may be taken at most.
@@ -154,11 +154,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a copy per pass that takes the document, the last one cut where its source's target ends."""
-    numbered = cut(docs.withColumn("mix_row", F.monotonically_increasing_id()))
-    plan = cut(mix(numbered, "mix_row").where("taken > 0").select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")))
-    copies = numbered.join(plan, "mix_row").withColumn("mix_copy", F.explode(F.expr("sequence(0L, (mix_taken - 1) div mix_size)")))
-    left = F.col("mix_taken") - F.col("mix_copy") * F.col("mix_size")
+    """The mix as documents: a copy per pass that takes the document, the last one cut where its source's target ends.
+
+    Null texts and texts without words are not taken. Repeated rows and ids are rows of their own. Other columns come
+    through as they are, whatever their names; an empty table gives an empty one.
+    """
+    own = fresh(docs)
+    row, size, taken, copy = (f"{own}{n}" for n in ("row", "size", "taken", "copy"))
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = mix(numbered, row).where("taken > 0")
+    plan = cut(plan.select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)))
+    copies = numbered.join(plan, row).withColumn(copy, F.explode(F.expr(f"sequence(0L, ({taken} - 1) div {size})")))
+    left = F.col(taken) - F.col(copy) * F.col(size)
     head = F.concat(F.lit(f"^(?:{SPACE.replace('+', '*+')}{WORD}+){{"), left.cast("string"), F.lit("}+"))  # possessive: no stack
     part = F.call_function("regexp_extract", F.col("text"), head, F.lit(0))
-    return copies.withColumn("text", F.when(left >= F.col("mix_size"), F.col("text")).otherwise(part)).select(*docs.columns)
+    return copies.withColumn("text", F.when(left >= F.col(size), F.col("text")).otherwise(part)).select(*same_columns(docs))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newslake.llm.common import cut, tidy
+from newslake.llm.common import cut, fresh, tidy
 from newslake.llm.graph import components
 from newslake.llm.shingles import MinHash, batch_words, shingle_set
 
@@ -229,16 +229,18 @@ def keep(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group of ``near_duplicates``; of rows that repeat the id that stays, one.
 
     Texts are found by id and hash. Rows equal in both, of which one must stay, take a path of their own, so that all other
-    texts meet one semi join and no grouping.
+    texts meet one semi join and no grouping. Documents without words are in no group and all stay, null texts too; of
+    a group without any id one text stays. Other columns come through as they are, whatever their names; an empty table gives an empty one.
     """
+    own = fresh(docs)
     kept = near_duplicates(docs, percent).where("kept").groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
     chosen = cut(kept.groupBy("group").agg(F.min(F.struct("mark", "n", "doc_id")).alias("c")).select(
-        F.col("c.doc_id").alias("near_id"), F.col("c.mark").alias("near_mark"), F.col("c.n").alias("near_n")))
+        F.col("c.doc_id").alias(f"{own}id"), F.col("c.mark").alias(f"{own}mark"), F.col("c.n").alias(f"{own}n")))
     tidy(docs)
 
     def found(wanted: DataFrame) -> DataFrame:
-        same = (F.xxhash64("text") == F.col("near_mark")) & F.col("doc_id").eqNullSafe(F.col("near_id"))
+        same = (F.xxhash64("text") == F.col(f"{own}mark")) & F.col("doc_id").eqNullSafe(F.col(f"{own}id"))
         return docs.join(wanted, same, "left_semi")
 
-    once, more = found(chosen.where("near_n = 1")), found(chosen.where("near_n > 1"))
+    once, more = found(chosen.where(f"{own}n = 1")), found(chosen.where(f"{own}n > 1"))
     return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
