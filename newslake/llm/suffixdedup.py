@@ -162,7 +162,8 @@ def _settle(summaries: DataFrame, occurrences: DataFrame) -> DataFrame:
     part = F.col("whole").bitwiseAND(PARTS - 1).cast("int")
     each = summaries.withColumn("part", part).repartition(width, "bucket", "part").groupBy("bucket", "part", "whole").agg(
         F.min("least").alias("least"), F.max("most").alias("most"))
-    each = each.withColumn("repeated", F.col("least") != F.col("most"))
+    each = cut(each.select("bucket", "part", "whole", "least", (F.col("least") != F.col("most")).alias("repeated")))  # texts are scanned once for it
+    tidy(summaries)
     buckets = each.groupBy(F.col("bucket").alias("b")).agg(
         F.count("*").alias("n"), F.bool_and("repeated").alias("all"), F.bool_or("repeated").alias("any"),
         F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts")).where("n > 1 OR any")
