@@ -57,6 +57,12 @@ def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category:
     return rows.select("id")
 
 
+def success_events(rows: DataFrame, as_of: Column) -> DataFrame:
+    """One ``success`` event per published row, dated at the tick; what the health boards count."""
+    return rows.select("id", "source", F.lit("success").alias("event_type"), F.lit(None).cast("string").alias("error_code"),
+                       as_of.cast("timestamp").alias("created_at"))
+
+
 def with_tags(items: DataFrame, tax: tg.Taxonomy = tg.DEFAULT) -> DataFrame:
     ru = tg.stored_tags("title", "clean_text", "language", tax)
     return items.withColumn("hashtags_ru", ru).withColumn("hashtags_en", tg.english_tags(F.col("hashtags_ru")))

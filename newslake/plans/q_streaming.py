@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslake.functions import fingerprint as fp
@@ -14,6 +14,10 @@ from newslake.sources.adapters import Tables, as_of
 from newslake.streaming import jobs
 
 
+#: A time after all rows of the tables.
+CLOSED = "2100-01-01 00:00:00"
+
+
 class StreamTables(Tables):
     """The canonical tables over streams of the same folder."""
 
@@ -38,6 +42,11 @@ def ingest_tick(t: Tables) -> DataFrame:
                             F.array_join("hashtags_en", " ").alias("hashtags_en"))
 
 
+def _closing(s: StreamTables, **columns: Column) -> DataFrame:
+    """A few rows dated after all others, so that the time of a drained stream passes its last rows."""
+    return jobs.read_table_stream(s.spark, s.path, "region").select(*[c.alias(n) for n, c in columns.items()])
+
+
 def _tick_items(s: StreamTables) -> DataFrame:
     return s._items(s.documents)
 
@@ -109,10 +118,13 @@ def t06(t: Tables) -> DataFrame:
            count(*) FILTER (WHERE event_type = 'drop_date') AS drop_date_count
     FROM (SELECT *, date_trunc('hour', created_at) - to_hours(CAST(h AS INTEGER)) AS start FROM source_events, (SELECT unnest(range(24)) AS h)) GROUP BY ALL""")
 def t07(t: Tables) -> DataFrame:
-    counts = jobs.sliding_event_counts(_streams(t).source_events)
-    rows = jobs.drain(counts.select(F.col("window.start").alias("start"), *[c for c in counts.columns if c != "window"]), "t07", "update")
-    out = jobs.newest_update(rows, ["start", "source"])
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "source", *[f"{k}_count" for k in ("success", "error", "drop_old", "drop_date")])
+    s = _streams(t)
+    events = s.source_events.select("source", "event_type", "created_at")
+    end = _closing(s, source=F.lit("closing"), event_type=F.lit(""), created_at=F.lit(CLOSED).cast("timestamp"))
+    counts = jobs.sliding_event_counts(events.unionByName(end))
+    out = jobs.drain(counts.select(F.col("window.start").alias("start"), *[c for c in counts.columns if c != "window"]), "t07")
+    # closing rows go last: a filter on the stream would be pushed below the watermark that they carry on
+    return out.where("NOT source <=> 'closing'").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "source", *[f"{k}_count" for k in jobs.EVENT_KINDS])
 
 
 @R.add("t08_error_sessions", views="fetch_log", sql="""
@@ -127,7 +139,10 @@ def t08(t: Tables) -> DataFrame:
 
 @R.add("t09_rate_limit_stream", views="rate_limited", sql="SELECT * FROM rate_limited")
 def t09(t: Tables) -> DataFrame:
-    return jobs.drain(jobs.rate_limited_stream(_streams(t).user_requests), "t09").select("user_id", "id", "accepted")
+    s = _streams(t)
+    end = _closing(s, id=F.lit(-1).cast("long"), user_id=F.lit("closing"), ts=F.lit(CLOSED).cast("timestamp"))
+    verdicts = jobs.rate_limited_stream(s.user_requests.select("id", "user_id", "ts").unionByName(end))
+    return jobs.drain(verdicts.where("NOT user_id <=> 'closing'"), "t09").select("user_id", "id", "accepted")
 
 
 @R.add("t10_daily_usage", views="daily_usage", sql="SELECT date, tokens_in, tokens_out, calls, cache_hits FROM daily_usage")
@@ -144,10 +159,11 @@ def t11(t: Tables) -> DataFrame:
     log = jobs.work_dir(t.spark, "deliveries")
     stream = _streams(t).events.filter("event_type = 'purchase'").select(
         F.col("user_id").cast("string").alias("user_id"), (F.col("event_id") % 500 + 1).alias("news_id"), F.col("ts").alias("delivered_at"))
-    handler = jobs.delivery_handler(t.spark, log)
-    for run in ("t11-a", "t11-b"):  # the second run repeats every delivery under new batch numbers
-        number = 0 if run == "t11-a" else 1_000_000
-        jobs.run_ticks(stream, lambda b, i, n=number: handler(b, n + i), jobs.work_dir(t.spark, run), interval=None).awaitTermination()
+    batches = 0
+    for run in ("t11-a", "t11-b"):  # the second run repeats every delivery under the numbers that follow
+        query = jobs.run_ticks(stream, jobs.delivery_handler(t.spark, log, batches), jobs.work_dir(t.spark, run), interval=None)
+        query.awaitTermination()
+        batches = 1 + max((p["batchId"] for p in query.recentProgress), default=-1)
     return t.spark.read.parquet(log).select("user_id", "news_id")
 
 

@@ -1,23 +1,118 @@
 """Streaming jobs against sequential expectations."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from newslake.streaming import jobs
+from newslake.streaming import jobs, store
 
 
-def test_rate_limit_stream(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = [(i, "u" if i % 3 else "v", i * 9) for i in range(60)]
-    spark.createDataFrame(rows, "id long, user_id string, sec long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, user_id string, sec long").parquet(str(tmp_path / "in"))
-    out = jobs.drain(jobs.rate_limited_stream(stream.withColumn("ts", F.timestamp_seconds("sec"))), "rate-test")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _in_batches(spark, tmp_path, batches, schema, build, take):
+    """Feed the batches one after the other into one query with one state, and gather what each of them puts out."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    state, source, got = str(tmp_path / "state"), str(tmp_path / "in"), []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        out: list = []
+        query = (build(spark.readStream.schema(schema).parquet(source)).writeStream.outputMode("append")
+                 .foreachBatch(lambda b, _, o=out: o.extend(take(r) for r in b.collect()))
+                 .option("checkpointLocation", state).trigger(availableNow=True).start())
+        query.awaitTermination()
+        got.append(out)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    return got
+
+
+def _sequential(rows, limit=3, span=60):
     live, want = {}, {}
-    for i, u, t in rows:
-        times = [x for x in live.get(u, []) if t - x < 60]
-        want[i] = len(times) < 3
+    for t, i, u in sorted((t, i, u) for i, u, t in rows):
+        times = [x for x in live.get(u, []) if t - x < span]
+        want[i] = len(times) < limit
         live[u] = times + [t] if want[i] else times
-    assert {r.id: r.accepted for r in out.collect()} == want and not all(want.values())
+    return want
+
+
+def test_rate_limit_over_unordered_batches(spark, tmp_path):
+    """Requests come out of order within and across batches; verdicts are those of the order of times."""
+    rows = [(i, "u" if i % 3 else "v", 90 + i * 9) for i in range(60)]
+    mixed = [rows[(i * 7) % 60] for i in range(60)]
+    near = sorted(mixed, key=lambda r: (r[2] // 90, r[0] % 5))        # out of order by less than 90 seconds
+    batches = [near[:13], near[13:34], near[34:], [(-1, "end", 10_000)], [(-2, "end", 20_000)]]
+    build = lambda s: jobs.rate_limited_stream(s.withColumn("ts", F.timestamp_seconds("sec")), late="100 seconds")
+    got = _in_batches(spark, tmp_path, batches, "id long, user_id string, sec long", build, lambda r: (r.id, r.accepted))
+    verdicts = [v for out in got for v in out if v[0] >= 0]
+    assert len(verdicts) == 60 and dict(verdicts) == _sequential(rows) and not all(dict(verdicts).values())
+    assert not [v for v in got[0] if rows[v[0]][2] >= max(r[2] for r in batches[0]) - 100]          # nothing is judged before its time has passed
+
+
+def test_rate_limit_state_ends(spark, tmp_path):
+    """After the last request has left the span, only the user that carries the time on holds state."""
+    build = lambda s: jobs.rate_limited_stream(s.withColumn("ts", F.timestamp_seconds("sec")), late="0 seconds")
+    batches = [[(1, "a", 10), (2, "b", 11), (3, "a", 12)], [(4, "end", 1000)], [(5, "end", 5000)]]
+    _in_batches(spark, tmp_path, batches, "id long, user_id string, sec long", build, lambda r: r.id)
+    held = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("stateVarName", "passed").load()
+    assert {r.key.user_id for r in held.select("key").collect()} <= {"end"}
+
+
+def test_sliding_counts_over_batches(spark, tmp_path):
+    """Each ended window comes once, with events of several batches in it."""
+    rows = [("a", "success", 0), ("a", "error", 3700), ("b", "drop_old", 3600), ("a", "success", 7300)]
+    batches = [rows[:2], rows[2:], [("end", "", 10**7)], [("end", "", 2 * 10**7)]]
+    build = lambda s: jobs.sliding_event_counts(s.withColumn("created_at", F.timestamp_seconds("sec")), "3 hours", "1 hour", "2 hours")
+    got = _in_batches(spark, tmp_path, batches, "source string, event_type string, sec long", build,
+                      lambda r: (r.source, int(r.window.start.timestamp()) // 3600, r.success_count, r.error_count, r.drop_old_count))
+    flat = sorted(v for out in got for v in out if v[0] != "end")
+    want = {}
+    for source, kind, sec in rows:
+        for start in range(sec // 3600 - 2, sec // 3600 + 1):
+            counts = want.setdefault((source, start), [0, 0, 0])
+            counts[["success", "error", "drop_old"].index(kind)] += 1
+    assert flat == sorted((s, h, *c) for (s, h), c in want.items())
+
+
+def test_key_index_over_many_batches(spark, tmp_path):
+    """Keys of all earlier batches are found, those of the batch itself are not, and folders stay few."""
+    index = store.KeyIndex(spark, str(tmp_path / "keys"), buckets=4, fan_in=3)
+    one = lambda *ks: spark.createDataFrame([("g", k) for k in ks], "kind string, key string")
+    for n in range(11):
+        for _ in range(2 if n in (3, 9, 10) else 1):                  # some batches are repeated
+            index.merge(n)
+            asked = one(*[f"k{i}" for i in range(n + 1)], "other")
+            assert {r.key for r in index.seen(asked, n).collect()} == {f"k{i}" for i in range(n)}
+            index.add(one(f"k{n}"), n)
+    assert [f.split("keys/")[1] for f in index.folders(11)] == ["level=0/part=9", "level=0/part=10", "level=2/part=0"]
+    assert all(len(index.folders(n)) <= 2 * 3 for n in range(27))
+    assert "bucket" in _partition_filters(index.seen(one("k1"), 11))
+
+
+def _partition_filters(df):
+    return re.findall(r"PartitionFilters: \[[^\]]*\]", df._jdf.queryExecution().toString())[0]
+
+
+def test_dated_store_reads_the_days_asked_for(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-05 10:00:00"), (3, None)], "id long, p string").select(
+        "id", F.col("p").cast("timestamp").alias("published_at"))
+    kept = store.DatedStore(spark, str(tmp_path / "rows"), rows.schema)
+    start = F.lit("2024-01-04 00:00:00").cast("timestamp")
+    assert kept.since(start, 5).count() == 0
+    for batch_id in (0, 0, 1):
+        kept.write(rows.where(F.col("id") <= 2 + batch_id), batch_id)
+    assert [r.id for r in kept.since(start, 1).collect()] == [2]
+    assert sorted(r.id for r in kept.of_batch(1).collect()) == [1, 2, 3]
+    assert "2024-01-04" in _partition_filters(kept.since(start, 9))    # the day is a constant of the scan
+
+
+def test_deliveries_once_over_batches(spark, tmp_path):
+    handle = jobs.delivery_handler(spark, str(tmp_path / "log"))
+    rows = lambda *p: spark.createDataFrame([(u, n, "t") for u, n in p], "user_id string, news_id long, delivered_at string")
+    for batch_id, pairs in ((0, [("u:1", 1), ("u:1", 1)]), (0, [("u:1", 1)]), (1, [("u:1", 1), ("1", 1), ("u", 11)]), (2, [("1", 1), ("u", 12)])):
+        handle(rows(*pairs), batch_id)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert sorted((r.user_id, r.news_id) for r in log.collect()) == [("1", 1), ("u", 11), ("u", 12), ("u:1", 1)]
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
