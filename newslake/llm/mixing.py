@@ -119,7 +119,8 @@ def streams(sized: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """Rows row, doc_id, source, size, source_size, target, taken (words, repeats counted) and first_slot (place in the mix).
+    """Rows row, doc_id, source, size, source_size, target, taken (words, repeats counted), first_slot (place in the mix) and
+    pass_slots (the first slot of each pass over the source that takes the document).
 
     ``row`` names a column that identifies the rows; without one they are numbered.
 
@@ -137,16 +138,17 @@ def mix(docs: DataFrame, row: str | None = None) -> DataFrame:
     # A document covers places of the repeated stream once per pass; each piece of it lies in one block.
     passes = placed.where("size > 0").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))))
     first = F.col("start") + F.col("turn") * F.col("source_size")
-    passes = passes.select("row", "rank", "target", "size", first.alias("lo"), (first + F.col("size")).alias("hi"))
+    passes = passes.select("row", "turn", "rank", "target", "size", first.alias("lo"), (first + F.col("size")).alias("hi"))
     passes = passes.where(F.col("lo") < F.round("target"))
     block = lambda at: F.floor(at / BLOCK)
     pieces = passes.withColumn("k", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
     most = F.least(F.col("hi"), (F.col("k") + 1) * BLOCK, F.round("target").cast("bigint"))
     words = F.greatest(F.lit(0).cast("bigint"), most - F.greatest(F.col("lo"), F.col("k") * BLOCK))
-    taken = pieces.select("row", "rank", "k", words.alias("words")).join(slots, ["rank", "k"])
-    taken = cut(taken.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")))
+    taken = pieces.select("row", "turn", "rank", "k", words.alias("words")).join(slots, ["rank", "k"])
+    each = F.array(*[F.min(F.when(F.col("turn") == n, F.col("slot"))) for n in range(MOST)])
+    taken = cut(taken.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), each.alias("pass_slots")))
     return placed.join(taken, "row", "left").select(
-        "row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot")
+        "row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot", "pass_slots")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -156,15 +158,20 @@ def report(docs: DataFrame) -> DataFrame:
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mix as documents: a copy per pass that takes the document, the last one cut where its source's target ends.
 
+    Copies are in the order of the schedule's slots, by ranges of slots and sorted within them, so that every prefix of the
+    output holds the sources near their weights.
+
     Null texts and texts without words are not taken. Repeated rows and ids are rows of their own. Other columns come
     through as they are, whatever their names; an empty table gives an empty one.
     """
     own = fresh(docs)
-    row, size, taken, copy = (f"{own}{n}" for n in ("row", "size", "taken", "copy"))
+    row, size, taken, copy, slots, slot = (f"{own}{n}" for n in ("row", "size", "taken", "copy", "slots", "slot"))
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     plan = mix(numbered, row).where("taken > 0")
-    plan = cut(plan.select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken)))
-    copies = numbered.join(plan, row).withColumn(copy, F.explode(F.expr(f"sequence(0L, ({taken} - 1) div {size})")))
+    plan = plan.select(F.col("row").alias(row), F.col("size").alias(size), F.col("taken").alias(taken), F.col("pass_slots").alias(slots))
+    plan = plan.withColumn(copy, F.explode(F.expr(f"sequence(0L, ({taken} - 1) div {size})")))
+    plan = cut(plan.withColumn(slot, F.get(F.col(slots), F.col(copy).cast("int"))).drop(slots))
+    copies = numbered.join(plan, row).repartitionByRange(slot, row).sortWithinPartitions(slot, row)
     left = F.col(taken) - F.col(copy) * F.col(size)
     head = F.concat(F.lit(f"^(?:{SPACE.replace('+', '*+')}{WORD}+){{"), left.cast("string"), F.lit("}+"))  # possessive: no stack
     part = F.call_function("regexp_extract", F.col("text"), head, F.lit(0))
