@@ -161,3 +161,17 @@ def test_cache_expiry_over_batches(spark, tmp_path):
                  .option("checkpointLocation", state).trigger(availableNow=True).start())
         query.awaitTermination()
     assert sorted(got) == [("a", "x", 400), ("b", "x", 150), ("b", "z", 210), ("late", "x", 130)]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    """A table is a file or a folder of files, and one without rows gives a stream without batches."""
+    rows = spark.range(0, 40, 1, 4).select("id", F.concat(F.lit("u"), F.col("id")).alias("url"))
+    rows.write.parquet(str(tmp_path / "many.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "tmp"))
+    next((tmp_path / "tmp").glob("*.parquet")).rename(tmp_path / "one.parquet")
+    rows.where("id < 0").write.parquet(str(tmp_path / "none.parquet"))
+    drained = lambda name: jobs.drain(jobs.read_table_stream(spark, str(tmp_path), name), name)
+    for name, n in (("many", 40), ("one", 40), ("none", 0)):
+        assert sorted(r.id for r in drained(name).select("id", "url", "batch_id").collect()) == list(range(n))
+    none = store.read_batches(spark, str(tmp_path / "absent"), "id long, url string").select("id", "url")
+    assert none.count() == 0
