@@ -287,8 +287,8 @@ def to_hashtag(c: ColumnOrName) -> Column:
 
 def merge_candidates(entity_terms: Column, keywords: Column, max_entities: int = 12, max_total: int = 20) -> Column:
     """Entities first (12 at most), then keywords, 20 in all, repeats dropped."""
-    first = F.slice(keep_first(F.transform(entity_terms, to_hashtag), F.lower), 1, max_entities)
-    return F.slice(keep_first(F.concat(first, F.transform(keywords, to_hashtag)), F.lower), 1, max_total)
+    first = keep_first(F.transform(entity_terms, to_hashtag), F.lower, max_entities)
+    return keep_first(F.concat(first, F.transform(keywords, to_hashtag)), F.lower, max_total)
 
 
 def parse_tag_json(raw: ColumnOrName) -> Column:

@@ -1,12 +1,13 @@
 """Operators against sequential brute force on small fixtures."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from newslake.functions import text as tx
-from newslake.operators import audit, dedup, gates, health, limits, ordered, routing, usage
+from newslake.operators import audit, candidates, dedup, gates, health, limits, ordered, routing, usage
 from newslake.sources import sinks
 
 NOW = "2024-01-31 00:00:00"
@@ -351,3 +352,12 @@ def test_feed_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("\n".join(["x ERROR y"] * 3 + ["ok"] * 500 + ["z WARNING"]))
     log = audit.log_summary(catalog.read_log_files(spark, [str(tmp_path / "a.log")])).collect()[0]
     assert (log.errors, log.warnings) == (0, 1)
+
+
+def test_tag_candidates_of_a_text_full_of_names(spark):
+    """Each name of a text is taken up once, so that a long text costs its length."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:06d}").capitalize()
+    body = ". ".join(name(i % 30000) for i in range(60000))
+    start = time.time()
+    got = candidates.tag_candidates(spark.createDataFrame([(1, "No title", body)], "id long, title string, body string"), "en").collect()[0]
+    assert got["candidates"][:2] == ["#Aaaaaa", "#Aaaaab"] and len(got["candidates"]) == 20 and time.time() - start < 60
