@@ -47,33 +47,33 @@ def _numeric_entities(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(F.split(c, "&#"), piece), "")).otherwise(c)
 
 
-def unescape(c: ColumnOrName) -> Column:
-    """Character entities to characters: numeric ones and all names of HTML 5."""
-    return let(col(c), lambda raw: F.when(F.contains(raw, F.lit("&")), _named_entities(_numeric_entities(raw))).otherwise(raw))
+def unescape(c: ColumnOrName, bare: bool = True) -> Column:
+    """Character entities to characters: numeric ones and all names of HTML 5; with ``bare`` also names that count without a semicolon."""
+    return let(col(c), lambda raw: F.when(F.contains(raw, F.lit("&")), _named_entities(_numeric_entities(raw), bare)).otherwise(raw))
 
 
 #: Names that count without a semicolon, the longest first.
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 
-def _named_entities(c: Column) -> Column:
+def _named_entities(c: Column, bare_names: bool) -> Column:
     """Replace &name; by splitting at the marker and looking up each piece's head."""
     table = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
 
     def piece(p: Column, i: Column) -> Column:
         name = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]{0,30};", 0)
-        bare = F.regexp_extract(p, "^(?:" + "|".join(_BARE) + ")", 0)
         found = lambda key: F.concat(F.try_element_at(table, key), F.substring(p, F.length(key) + 1, F.length(p)))
-        return F.when(i == 0, p).otherwise(F.coalesce(found(name), found(bare), F.concat(F.lit("&"), p)))
+        bare = [found(F.regexp_extract(p, "^(?:" + "|".join(_BARE) + ")", 0))] if bare_names else []
+        return F.when(i == 0, p).otherwise(F.coalesce(found(name), *bare, F.concat(F.lit("&"), p)))
 
     return F.array_join(F.transform(F.split(c, "&"), piece), "")
 
 
-def page_text(html: ColumnOrName) -> Column:
-    """Text nodes of a page, one per line, without scripts, styles and comments."""
+def page_text(html: ColumnOrName, bare: bool = True) -> Column:
+    """Text nodes of a page, one per line, without scripts, styles and comments; ``bare`` as in ``unescape``."""
     body = F.regexp_replace(text(html), r"(?s)<!--.*?-->", "")
     body = _drop_element(body, "script", "style", "noscript")
-    return unescape(unescape(F.regexp_replace(body, _TAG, "\n")))
+    return unescape(unescape(F.regexp_replace(body, _TAG, "\n"), bare), bare)
 
 
 def drop_navigation_lines(c: ColumnOrName, keywords: list[str] | None = None, domains: list[str] | None = None,
@@ -92,15 +92,15 @@ def drop_navigation_lines(c: ColumnOrName, keywords: list[str] | None = None, do
     return F.array_join(F.filter(lines(c), keep), "\n")
 
 
-def clean_html(html: ColumnOrName, junk: list[str] | None = None, keywords: list[str] | None = None) -> Column:
-    """Readable text of a page: tags, junk phrases and navigation lines removed, one line."""
+def clean_html(html: ColumnOrName, junk: list[str] | None = None, keywords: list[str] | None = None, bare: bool = True) -> Column:
+    """Readable text of a page: tags, junk phrases and navigation lines removed, one line; ``bare`` as in ``unescape``."""
     raw = text(html)
     patterns = strings(f"(?iuU){p}" for p in (junk if junk is not None else lx.JUNK_PATTERNS))
     # one after the other, as a removal can make or break the next match
-    body = F.aggregate(patterns, page_text(raw), lambda kept, p: F.regexp_replace(kept, p, F.lit("")))
+    body = F.aggregate(patterns, page_text(raw, bare), lambda kept, p: F.regexp_replace(kept, p, F.lit("")))
     body = squeeze(drop_navigation_lines(body, keywords))
     body = strip(F.translate(body, "/\\", "  "))
-    return F.when(raw.rlike("[<>]"), body).otherwise(squeeze(unescape(raw)))
+    return F.when(raw.rlike("[<>]"), body).otherwise(squeeze(unescape(raw, bare)))
 
 
 def article_body(html: ColumnOrName, limit: int | None = None, nav: list[str] | None = None) -> Column:

@@ -2,9 +2,12 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import difference
 from newslake.functions import dates, fingerprint as fp, pages as pg, tagging as tg, text as tx, urls
 
 C = F.col
@@ -195,3 +198,14 @@ def test_tag_lists(one):
     assert one(tg.parse_pack_json("x"), x='{"g0": "Россия"}')["g0"] == "#Россия"
     assert one(tg.top_up_tags(F.array(F.lit("#мир")), F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d")), "x", "ru"), x="я" * 301) == ["#мир", "#a", "#b", "#c"]
     assert one(tg.category_line(F.lit("world"), F.lit("#x"))) == "🌍 #Мир #x"
+
+
+def test_queries_of_page_text_keep_open_entities(spark, one, tmp_path):
+    """A page cut inside an entity: the library reads a name without semicolon, the two queries leave it as their SQL does."""
+    html = "<html><title>cut &amp;&amp</title><article><p>body &amp; text &copy;</p></article></html>"
+    assert one(pg.page_text("h"), h=html).split("\n")[2] == "cut &&" and one(pg.page_text("h", bare=False), h=html).split("\n")[2] == "cut &&amp"
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("f10_clean_html", "f11_navigation_lines"):
+        assert difference(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) is None
