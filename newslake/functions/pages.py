@@ -7,6 +7,7 @@ narrow stage.  Pages with broken nesting can differ from a DOM parser's view.
 from __future__ import annotations
 
 import json
+import re
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -82,22 +83,52 @@ def drop_navigation_lines(c: ColumnOrName, keywords: list[str] | None = None, do
     words_list = strings(keywords or lx.NAVIGATION_KEYWORDS)
     rx = "(?iu)" + "|".join(f"(?:{p})" for p in (patterns or lx.NAVIGATION_PATTERNS))
 
-    def keep(line: Column) -> Column:
-        low = F.lower(line)
-        tokens = F.regexp_extract_all(low, F.lit("[а-яa-z0-9]+"), F.lit(0))
+    def menu(tokens: Column) -> Column:
         nav = F.size(F.filter(tokens, lambda t: F.array_contains(words_list, t)))
-        menu = (F.size(tokens) > 0) & (nav >= F.greatest(F.lit(3), F.floor(F.size(tokens) * 0.7).cast("int")))
-        return ~(low.rlike(rx) | contains_any(low, domains or lx.SOCIAL_DOMAINS) | menu)
+        return (F.size(tokens) > 0) & (nav >= F.greatest(F.lit(3), F.floor(F.size(tokens) * 0.7).cast("int")))
+
+    def dropped(low: Column) -> Column:
+        tokens = F.regexp_extract_all(low, F.lit("[а-яa-z0-9]+"), F.lit(0))
+        return low.rlike(rx) | contains_any(low, domains or lx.SOCIAL_DOMAINS) | let(tokens, menu)
+
+    return F.array_join(F.filter(lines(c), lambda line: ~let(F.lower(line), dropped)), "\n")
+
+
+def sure_word(pattern: str) -> str:
+    """Longest run of letters that every match of a pattern holds, in lower case; empty if none is sure.
+
+    The letter i ends a run, as it changes its length with the case of a dotted one.
+    """
+    if re.search(r"\\[xupPQNck0]", pattern):
+        return ""
+    flat = re.sub(r"\[[^\]]*\]", "\0", re.sub(r"\\.", " ", pattern))  # escapes, then classes
+    flat = re.sub(r"\(\?s:([^()|]*)\)(?![?*{])", r"\1", flat)
+    while (less := re.sub(r"\([^()]*\)", "\0", flat)) != flat:       # groups from the inside out
+        flat = less
+    runs = re.findall("[a-hj-zа-яё]+", re.sub(r".[?*{]", " ", flat).lower())
+    return "" if re.search(r"[|()\[\]]", flat) else max(runs, key=len, default="")
+
+
+def without_phrases(c: ColumnOrName, patterns: list[str]) -> Column:
+    """Text without the matches of the patterns, one after the other, as a removal can make or break the next match.
+
+    A pattern runs only over a text that holds its sure word; most texts hold few of these words.
+    """
+    # letters that (?iu) takes for others although lower case keeps them apart
+    folded = lambda kept: F.struct(kept.alias("kept"), F.translate(F.lower(kept), "ᲀᲁᲂᲃᲄᲅᲆſ", "вдосттъs").alias("low"))
+    steps = F.array(*[F.struct(F.lit(f"(?iuU){p}").alias("pattern"), F.lit(sure_word(p)).alias("word")) for p in patterns])
+
+    def step(state: Column, s: Column) -> Column:
+        cut = let(F.regexp_replace(state["kept"], s["pattern"], F.lit("")), folded)
+        return F.when(F.contains(state["low"], s["word"]), cut).otherwise(state)
 
-    return F.array_join(F.filter(lines(c), keep), "\n")
+    return F.aggregate(steps, let(col(c), folded), step, lambda state: state["kept"]) if patterns else col(c)
 
 
 def clean_html(html: ColumnOrName, junk: list[str] | None = None, keywords: list[str] | None = None, bare: bool = True) -> Column:
     """Readable text of a page: tags, junk phrases and navigation lines removed, one line; ``bare`` as in ``unescape``."""
     raw = text(html)
-    patterns = strings(f"(?iuU){p}" for p in (junk if junk is not None else lx.JUNK_PATTERNS))
-    # one after the other, as a removal can make or break the next match
-    body = F.aggregate(patterns, page_text(raw, bare), lambda kept, p: F.regexp_replace(kept, p, F.lit("")))
+    body = without_phrases(page_text(raw, bare), junk if junk is not None else lx.JUNK_PATTERNS)
     body = squeeze(drop_navigation_lines(body, keywords))
     body = strip(F.translate(body, "/\\", "  "))
     return F.when(raw.rlike("[<>]"), body).otherwise(squeeze(unescape(raw, bare)))

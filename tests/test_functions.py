@@ -209,3 +209,19 @@ def test_queries_of_page_text_keep_open_entities(spark, one, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     for name in ("f10_clean_html", "f11_navigation_lines"):
         assert difference(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) is None
+
+
+@pytest.mark.parametrize("pattern, word", [
+    ("Подписаться\\s+на\\s+канал", "подписаться"), ("айфон[ыа]?", "айфон"), ("(Мир|Россия):", ""), ("РБК|ТАСС", ""), ("(?s:Лента новостей.*?Все)", "новостей"),
+    ("(Фото)?: ТАСС", "тасс"), ("новости?", "новост"), ("ал*ба", "ба"), ("\\u0430бв", ""), ("18\\+\\s*RT", "rt"), ("\\d{2}:\\d{2}", ""), ("Instagram", "nstagram"),
+])
+def test_sure_word(pattern, word):
+    assert pg.sure_word(pattern) == word
+
+
+def test_phrases_go_one_after_the_other(one):
+    """Removals in any letter case, also where one makes the next match; patterns that cannot match are not run."""
+    patterns = ["абв", "гд+е?", "(?:ж|з)и", "KEK"]
+    assert one(pg.without_phrases("t", patterns), t="габвД АБВx ЖИ ᲀ Kek кот") == "x  ᲀ  кот".replace("x", " x", 1)
+    assert one(pg.without_phrases("t", ["вода"]), t="ᲀода") == "" and one(pg.without_phrases("t", []), t="вода") == "вода"
+    assert sum(not pg.sure_word(p) for p in pg.lx.JUNK_PATTERNS) < 15
