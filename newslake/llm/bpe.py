@@ -8,11 +8,12 @@ bytes, one letter per byte. Spark deals the documents; a Python worker keeps the
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import hashlib
+import threading
 from collections.abc import Iterator, Sequence
 
-import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +27,8 @@ WORDS, START_ROWS = 30_000, 400_000
 STEP_ROWS = 4_000_000
 #: Cached pieces of text and words; a full cache is emptied, which costs time but changes nothing.
 CACHE = 900_000
+#: Seconds after a Python worker's last task in which it keeps its tokenizer; idle workers share the executor's memory with later stages.
+IDLE = 1.5
 #: Tokens that are decoded in one query.
 DECODE = 1_000_000
 _PLACE = 1 << 30
@@ -61,6 +64,8 @@ class Tokenizer:
     """Vocabulary, merge table and learnt words of one Python worker."""
 
     def __init__(self, tokens: Sequence[bytes], pattern: str) -> None:
+        import duckdb  # here alone, so that the other queries do not need it
+
         self.ranks = {t: i for i, t in enumerate(tokens) if t}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
@@ -217,6 +222,31 @@ def tokenizer_of(tokens: tuple[bytes, ...], pattern: str) -> Tokenizer:
     return Tokenizer(tokens, pattern)
 
 
+_release: threading.Timer | None = None
+
+
+@contextlib.contextmanager
+def tokenizer_for_task(tokens: tuple[bytes, ...], pattern: str) -> Iterator[Tokenizer]:
+    """The worker's tokenizer for one task. A worker without a further task for ``IDLE`` seconds forgets it.
+
+    A task that starts while it is forgotten holds it by itself, so nothing is taken from under it.
+    """
+    global _release
+    if _release is not None:
+        _release.cancel()
+    try:
+        yield tokenizer_of(tokens, pattern)
+    finally:
+        _release = threading.Timer(IDLE, _forget)
+        _release.daemon = True
+        _release.start()
+
+
+def _forget() -> None:
+    tokenizer_of.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _batches(texts: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
     at, total, out = 0, 0, []
     for i, t in enumerate(texts):
@@ -239,12 +269,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     kept = docs.drop("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(tokens, pattern)
-        for batch in batches:
-            for at, texts in _batches(batch.column("text")):
-                ids, starts = tokenizer.encode(texts)
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], names=[*part.schema.names, "ids"])
+        with tokenizer_for_task(tokens, pattern) as tokenizer:
+            for batch in batches:
+                for at, texts in _batches(batch.column("text")):
+                    ids, starts = tokenizer.encode(texts)
+                    part = batch.slice(at, len(texts))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))], names=[*part.schema.names, "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{schema}, ids array<int>")
@@ -256,13 +286,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kept = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(tokens, ".")
-        for batch in batches:
-            ids = batch.column("ids")
-            starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
-            decoded = tokenizer.decode(ids.flatten().to_numpy().astype(np.int32), starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
-                                             names=[*batch.schema.names, "decoded"])
+        with tokenizer_for_task(tokens, ".") as tokenizer:
+            for batch in batches:
+                ids = batch.column("ids")
+                starts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())])
+                decoded = tokenizer.decode(ids.flatten().to_numpy().astype(np.int32), starts)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())],
+                                                 names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{schema}, decoded binary")
@@ -273,15 +303,15 @@ def report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     tokens = tuple(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_of(tokens, pattern)
-        for batch in batches:
-            for at, texts in _batches(batch.column("text")):
-                ids, starts = tokenizer.encode(texts)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(starts), pa.int64()),
-                    pa.array([hashlib.sha256(text.encode()).hexdigest() for text in written(ids, starts)]),
-                    pa.array([hashlib.sha256(b).hexdigest() for b in tokenizer.decode(ids, starts)]),
-                ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with tokenizer_for_task(tokens, pattern) as tokenizer:
+            for batch in batches:
+                for at, texts in _batches(batch.column("text")):
+                    ids, starts = tokenizer.encode(texts)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column("doc_id").slice(at, len(texts)), pa.array(np.diff(starts), pa.int64()),
+                        pa.array([hashlib.sha256(text.encode()).hexdigest() for text in written(ids, starts)]),
+                        pa.array([hashlib.sha256(b).hexdigest() for b in tokenizer.decode(ids, starts)]),
+                    ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
