@@ -166,6 +166,80 @@ def test_levels_of_keep_first_are_one_job_each(spark):
     assert rounds == [500, 300, 100, 0]
 
 
+def _counting_links(monkeypatch):
+    """Collects how many links each step of keep-first writes."""
+    links, written = [], dedup._written
+
+    def count(df, **counts):
+        done, seen = written(df, **counts)
+        if done.columns == ["e", "l"]:
+            links.append(seen["open"])
+        return done, seen
+
+    monkeypatch.setattr(dedup, "_written", count)
+    return links
+
+
+@pytest.mark.parametrize("first,growth", [(7, 2), (50, 3), (1000, 8)])
+def test_prefixes_decide_as_the_sequential_rule(items, batch, first, growth):
+    kept = []
+    for r in batch:
+        if not any(r[2] == k[2] or distance(r[4], k[4]) <= 6 or (k[5] < 24 and title_match(r[3], k[3])) for k in kept):
+            kept.append(r)
+    slim = items.select("id", "arrival_idx", "guid", "simhash", "published_at",
+                        dedup.squeeze(tx.normalized_title("title")).alias("norm"), F.array_sort(tx.title_words("title")).alias("tokens"))
+    families = [dedup.guid_family(), dedup.fingerprint_family(), *dedup.title_families(now(), 0.85)]
+    got = sorted(r.id for r in dedup.keep_first_by_prefixes(slim, families, first, growth).collect())
+    assert got == [r[0] for r in kept]
+
+
+def test_links_do_not_grow_with_the_square_of_a_cluster(spark, monkeypatch):
+    """Ten clusters of near fingerprints: rows after a prefix fall to what it kept, and are never linked with each other."""
+    rng = random.Random(5)
+    centres = [rng.getrandbits(62) for _ in range(10)]
+    rows = [(i, i if i % 97 else None, rng.choice(centres) ^ 1 << rng.randrange(62) ^ 1 << rng.randrange(62)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, arrival_idx long, simhash long")
+    kept = []
+    for r in rows:
+        if r[1] is None or not any(distance(r[2], k[2]) <= 6 for k in kept if k[1] is not None):
+            kept.append(r)
+    links = _counting_links(monkeypatch)
+    got = sorted(r.id for r in dedup.keep_first_by_prefixes(df, [dedup.fingerprint_family()], first=64).collect())
+    assert got == [r[0] for r in kept]
+    assert max(links) < 2000 and len(kept) < 60
+
+
+def test_keys_of_titles_inside_titles(spark):
+    """A title and any title that holds it share a key, and a title shows fewer than two keys per word."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        whole = [rng.choice(words) for _ in range(rng.randint(3, 60))]
+        n = rng.randint(3, len(whole))
+        at = rng.randint(0, len(whole) - n)
+        part = whole[at:at + n]
+        part[0], part[-1] = part[0][rng.randrange(len(part[0])):], part[-1][:rng.randint(1, len(part[-1]))]
+        rows.append((" ".join(whole), " ".join(part)))
+    df = spark.createDataFrame(rows, "whole string, part string")
+    out = df.select("whole", "part", dedup.inner_keys(F.col("whole"), False).alias("w"), dedup.inner_keys(F.col("part"), True).alias("p")).collect()
+    for r in out:
+        assert r.part in r.whole and set(r.p) & set(r.w) and len(r.p) == 1
+        assert len(r.w) < 2 * len(r.whole.split(" "))
+    assert [r.w for r in spark.createDataFrame([("one two",), ("",)], "t string").select(dedup.inner_keys(F.col("t"), False).alias("w")).collect()] == [[], []]
+
+
+def test_sketches_differ_in_no_more_bits_than_titles_in_words(spark):
+    rng = random.Random(2)
+    pairs = [([f"w{rng.randrange(60)}" for _ in range(20)], [f"w{rng.randrange(60)}" for _ in range(20)]) for _ in range(100)]
+    pairs += [(a, a[:-1]) for a, _ in pairs[:20]]
+    df = spark.createDataFrame([(sorted(set(a)), sorted(set(b))) for a, b in pairs], "a array<string>, b array<string>")
+    sides = [dedup.title_sketch(F.col(c)) for c in ("a", "b")]
+    bits = sum((dedup.fp.hamming(x, y) for x, y in zip(sides[0].values(), sides[1].values())), F.lit(0))
+    got = [(len(set(r.a) ^ set(r.b)), r.bits) for r in df.select("a", "b", bits.alias("bits")).collect()]
+    assert all(d <= n and d % 2 == n % 2 for n, d in got) and max(d for _, d in got) > 10
+
+
 def test_staged_first_wins(spark):
     rng = random.Random(3)
     rows = [(i, i, f"T{rng.randrange(60)}", rng.choice(["", f"h{rng.randrange(50)}"]), rng.choice(["", f"c{rng.randrange(50)}"]), f"n{rng.randrange(70)}")
