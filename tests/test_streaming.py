@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from newslake.operators import dedup
 from newslake.streaming import jobs, store
 
 
@@ -175,3 +176,29 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
         assert sorted(r.id for r in drained(name).select("id", "url", "batch_id").collect()) == list(range(n))
     none = store.read_batches(spark, str(tmp_path / "absent"), "id long, url string").select("id", "url")
     assert none.count() == 0
+
+
+def test_near_duplicates_over_batches(spark, tmp_path, monkeypatch):
+    """Rows fall to near rows of earlier batches and of their own; equal fingerprints are never linked with each other."""
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    rows = [(i, (1 << 40) if i % 3 else (1 << 20) - 1 << i % 40) for i in range(300)] + [(300, None), (301, None)]
+    df = spark.createDataFrame(rows, "id long, simhash long").select(
+        "id", F.col("id").alias("arrival_idx"), F.lit("2024-01-30 20:00:00").cast("timestamp").alias("published_at"), "simhash")
+    kept = []
+    for r in rows:
+        if r[1] is None or not any(k[1] is not None and bin(k[1] ^ r[1]).count("1") <= 6 for k in kept):
+            kept.append(r)
+    links, written = [], dedup._written
+
+    def count(frame, **counts):
+        done, seen = written(frame, **counts)
+        links.extend([seen["open"]] if done.columns == ["e", "l"] else [])
+        return done, seen
+
+    monkeypatch.setattr(dedup, "_written", count)
+    path = str(tmp_path / "store")
+    handle = jobs.near_duplicate_handler(spark, path, now)
+    for batch_id, (low, high) in enumerate(((0, 200), (0, 200), (200, 400))):
+        handle(df.where(f"id >= {low} AND id < {high}"), max(0, batch_id - 1))
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [r[0] for r in kept]
+    assert max(links) < 400
