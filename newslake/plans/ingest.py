@@ -31,7 +31,7 @@ def split_fresh(items: DataFrame, as_of: Column, **kwargs) -> tuple[DataFrame, D
     return judged.filter(F.col("reason").isNull()).drop("reason"), gates.drop_event(judged)
 
 
-KEY_COLUMNS = ["id", "arrival_idx", "title", "guid", "url_hash", "checksum", "url_normalized", "simhash", "published_at", "category"]
+KEY_COLUMNS = ["id", "arrival_idx", "title", "guid", "url_hash", "checksum", "url_normalized", "simhash", "published_at"]
 
 
 def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category: str | None = None, limit: int | None = None,
@@ -39,11 +39,12 @@ def publishable_ids(items: DataFrame, store: DataFrame, as_of: Column, category:
     """Ids of the fresh, enriched items that survive all duplicate rules; with ``limit`` the first of them by arrival.
 
     Cheap rules run first, and all of them see key columns only; the caller joins the texts back for the
-    survivors.  ``store`` holds the items published before.
+    survivors.  ``store`` holds the items published before.  Categories are computed only for a wanted one, as they take
+    more time than all other keys.
     """
-    rows = cut(items.select(*KEY_COLUMNS))  # written once, because several rules read the computed keys
     if category:
-        rows = rows.filter(gates.category_matches(F.lit(category), F.col("category")))
+        items = items.filter(gates.category_matches(F.lit(category), F.col("category")))
+    rows = cut(items.select(*KEY_COLUMNS))  # written once, because several rules read the computed keys
     rows = dedup.staged_first_wins(rows)
     rows = dedup.unseen_keys(rows, store)
     rows = dedup.unseen_addresses(rows, store)

@@ -225,3 +225,22 @@ def test_phrases_go_one_after_the_other(one):
     assert one(pg.without_phrases("t", patterns), t="габвД АБВx ЖИ ᲀ Kek кот") == "x  ᲀ  кот".replace("x", " x", 1)
     assert one(pg.without_phrases("t", ["вода"]), t="ᲀода") == "" and one(pg.without_phrases("t", []), t="вода") == "вода"
     assert sum(not pg.sure_word(p) for p in pg.lx.JUNK_PATTERNS) < 15
+
+
+def test_keyword_counts_are_those_of_single_patterns(spark):
+    """Letters looked for first change no count: texts of keywords, of other words, without any letter of a keyword, and empty ones."""
+    import random
+    import re
+
+    from newslake.functions import lexicon as lx, tagging as tg
+
+    rng = random.Random(4)
+    hits = ["москва", "столичный", "мо", "мособласть", "иран", "иранский", "порту", "сша", "лига 1", "вооружен", "химки", "кремля", "смо", "амо", "полёт"]
+    texts = ["", "the lower river", "—", "мо", "xмо мо-мо мо_"] + [" ".join(rng.choice(hits + ["the", "и", "xx-"]) for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (*lx.CATEGORY_PATTERNS.values(), [r"\\bthe\\b|\\bи\\b", r"xx"], [r"\\bs?мо", r"\\bthe"]):
+        patterns = [p.replace("\\\\b", "\\b") for p in patterns]
+        got = [r.n for r in df.select(tg.keyword_score("t", patterns).alias("n")).collect()]
+        assert got == [sum(len(re.findall(p, t)) for p in patterns) for t in texts]
+    assert tg.alternation([r"\bмо\b", r"\bсша\b"]) == r"(?=[мс])\b(?:(?:мо\b)|(?:сша\b))"
+    assert tg.alternation([r"\bмо\b", r"сша"]) == r"(?:\bмо\b)|(?:сша)"

@@ -202,3 +202,17 @@ def test_near_duplicates_over_batches(spark, tmp_path, monkeypatch):
         handle(df.where(f"id >= {low} AND id < {high}"), max(0, batch_id - 1))
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [r[0] for r in kept]
     assert max(links) < 400
+
+
+def test_a_tick_without_a_wanted_category_computes_none_for_its_keys(spark):
+    from newslake.plans import ingest
+
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    rows = spark.range(4).select(
+        "id", F.col("id").alias("arrival_idx"), F.concat(F.lit("headline of item number "), "id").alias("title"), F.col("id").cast("string").alias("guid"),
+        F.col("id").cast("string").alias("url_hash"), F.col("id").cast("string").alias("checksum"), F.col("id").cast("string").alias("url_normalized"),
+        F.xxhash64("id").alias("simhash"), (now - F.expr("interval 30 hours")).alias("published_at"))
+    broken = rows.withColumn("category", F.raise_error(F.lit("category was computed")).cast("string"))
+    assert ingest.publishable_ids(broken, rows.limit(0), now).count() == 4
+    odd = rows.withColumn("category", F.when(F.col("id") % 2 == 1, "world").otherwise("moscow"))
+    assert sorted(r.id for r in ingest.publishable_ids(odd, rows.limit(0), now, "world").collect()) == [1, 3]
