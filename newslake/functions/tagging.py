@@ -169,8 +169,7 @@ def geo_tags(title: ColumnOrName, body: ColumnOrName, language: ColumnOrName | N
 
 def rubric_tag(title: ColumnOrName, body: ColumnOrName, tax: Taxonomy = DEFAULT) -> Column:
     """First rubric one of whose word stems occurs anywhere."""
-    content = F.lower(_title_text(title, body))
-    return F.coalesce(_first_tag(content, tax.rubric_keywords), F.lit(lx.DEFAULT_RUBRIC))
+    return let(F.lower(_title_text(title, body)), lambda content: F.coalesce(_first_tag(content, tax.rubric_keywords), F.lit(lx.DEFAULT_RUBRIC)))
 
 
 def _whole_word(content: Column, alternatives: str) -> Column:
